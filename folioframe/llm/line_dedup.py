@@ -32,7 +32,7 @@ def remove_repeated_lines(df: DataFrame, width: int = 3, id_col: str = "doc_id",
     docs = df.select(packed(df), k1.alias("k1"), k2.alias("k2"))
     text, doc = F.col(f"__in.`{text_col}`"), F.col(f"__in.`{id_col}`")
     window = [f"lines[i + {k}]" for k in range(width)]
-    hashes = f"transform(sequence(0, size(lines) - {width}), i -> struct(xxhash64({', '.join(window)}) AS h1, xxhash64({width}, {', '.join(window[::-1])}) AS h2))"
+    hashes = f"transform(slice(lines, {width}, size(lines)), (x, i) -> struct(xxhash64({', '.join(window)}) AS h1, xxhash64({width}, {', '.join(window[::-1])}) AS h2))"
     occurrences = (
         docs.select("k1", "k2", doc.alias("doc"), F.split(text, "\n", -1).alias("lines"))
         .filter(F.size("lines") >= width)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import Template, format_chats, read_back, unescape
 from .common import table
+from .licences import licence_sql, scan_licences
 from .line_dedup import remove_repeated_lines
 from .sharding import shuffle_into_shards
 
@@ -21,6 +23,31 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    probes = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text")
+    )
+    template = Template()
+    out = format_chats(given.unionByName(probes), template)
+    turns = F.transform(read_back(F.col("formatted"), template), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    return out.withColumn("turns", turns).withColumn("loss", loss).select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+        "valid",
+    )
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_lines(docs)
@@ -41,9 +68,27 @@ FROM docs d LEFT JOIN per p USING (doc_id)
 """
 
 
+_OP4_SQL = r"""
+WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '(\[|<)(/?(?:INST|SYS|ROLE)\]|/TURN\]|/?s>)', '\1\\\2', 'g') AS esc,
+  coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), 'start') AS before,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM rows_),
+f AS (SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 4 ELSE 22 + length(role) END AS extra,
+  (before || '>' || role) IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS good FROM e)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(length(esc) + extra) AS BIGINT) AS formatted_chars,
+  bool_and(good) AND bool_or(back = 1 AND role IN ('user', 'assistant')) AS valid
+FROM f GROUP BY conv_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hypergeometric_shards, op10_line_windows)}
+    return {f.__name__: f for f in (op1_hypergeometric_shards, op4_chat_turns, op6_licence_scan, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_windows": _OP10_SQL}
+    return {"op4_chat_turns": _OP4_SQL, "op6_licence_scan": licence_sql(), "op10_line_windows": _OP10_SQL}
