@@ -9,6 +9,7 @@ from .chat import Template, format_chats, read_back, unescape
 from .common import table
 from .licences import licence_sql, scan_licences
 from .line_dedup import remove_repeated_lines
+from .simhash import near_duplicates
 from .sharding import shuffle_into_shards
 
 
@@ -23,6 +24,11 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, width=3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -87,7 +93,7 @@ FROM f GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hypergeometric_shards, op4_chat_turns, op6_licence_scan, op10_line_windows)}
+    return {f.__name__: f for f in (op1_hypergeometric_shards, op3_simhash_components, op4_chat_turns, op6_licence_scan, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
