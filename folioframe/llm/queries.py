@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .chat import Template, format_chats, read_back, unescape
 from .common import table
+from .decontam import leaks
 from .licences import licence_sql, scan_licences
 from .line_dedup import remove_repeated_lines
+from .pieces import decode, encode, load
 from .simhash import near_duplicates
 from .sharding import shuffle_into_shards
 
@@ -54,6 +56,19 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = load(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", encode(F.col("text"), words))
+    same = decode(F.col("ids"), words).eqNullSafe(F.col("text"))
+    return docs.select("doc_id", F.size("ids").alias("n_pieces"), "ids", same.alias("same"))
+
+
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaks(docs, table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", F.inline(found))
+
+
 def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_lines(docs)
@@ -93,7 +108,7 @@ FROM f GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hypergeometric_shards, op3_simhash_components, op4_chat_turns, op6_licence_scan, op10_line_windows)}
+    return {f.__name__: f for f in (op1_hypergeometric_shards, op3_simhash_components, op4_chat_turns, op6_licence_scan, op7_piece_roundtrip, op9_benchmark_leaks, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
