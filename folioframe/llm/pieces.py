@@ -1,9 +1,14 @@
 """SentencePiece encoding and decoding with a shared-prefix Viterbi search.
 
 A text is a space mark, then the text with spaces as marks. No piece of the vocabulary has a mark
-behind another character, nor a line end, so the best segmentation is that of each marked word.
-Distinct words are sorted, so that neighbours share prefixes like a trie in depth-first order, and a
-word reuses the forward scores of the prefix that it shares with the word before it.
+behind another character, nor a line end, so the segmentation is that of each marked word. Distinct
+words are sorted, so that neighbours share prefixes like a trie in depth-first order, and a word
+reuses the forward states of the prefix that it shares with the word before it.
+
+The vocabulary's scores are ranks of merges, not log-likelihoods, so the best path has to be the one
+that merging by rank ends at. A path is that one exactly if each two neighbours, taken alone, merge
+to themselves again. The search gives all other steps no score, which leaves one path for each
+prefix; its pieces are those that the sentencepiece library returns.
 """
 
 from __future__ import annotations
@@ -47,39 +52,57 @@ class Vocabulary:
                 self.scores[piece] = (given.get_score(i), i)
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.scores))
-        self.unknown = min(s for s, _ in self.scores.values()) - 10.0
+        self.fits: dict[tuple[str, str], bool] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """Merging by rank, for a few characters."""
+        parts = list(text)
+        while len(parts) > 1:
+            ranked = [(-self.scores[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores]
+            if not ranked:
+                break
+            i = min(ranked)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """The best pieces of each word. Ties go to the longer last piece."""
-        out, scores, longest, unknown = {}, self.scores, self.longest, self.unknown
-        best, back, last = [0.0], [(0, None)], ""
+        """The pieces of each word."""
+        out, scores, longest, fits = {}, self.scores, self.longest, self.fits
+        if len(fits) > 2_000_000:
+            fits.clear()
+        back: list[tuple[int, str, int | None]] = [(0, "", None)]
+        before = ""
         for word in sorted(words):
             shared = 0
-            for x, y in zip(last, word):
+            for x, y in zip(before, word):
                 if x != y:
                     break
                 shared += 1
-            del best[shared + 1 :], back[shared + 1 :]
+            del back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top, how = best[end - 1] + unknown, (end - 1, None)
-                found = False
+                how = (end - 1, word[end - 1], None)
                 for start in range(max(0, end - longest), end):
-                    piece = scores.get(word[start:end])
-                    if piece is not None and (not found or best[start] + piece[0] > top) and (found or start == end - 1 or best[start] + piece[0] >= top):
-                        top, how, found = best[start] + piece[0], (start, piece[1]), True
-                best.append(top)
+                    piece = word[start:end]
+                    if piece in scores:
+                        step = (back[start][1], piece)
+                        fit = fits.get(step)
+                        if fit is None:
+                            fit = fits[step] = self.merged(step[0] + piece) == [x for x in step if x]
+                        if fit:
+                            how = (start, piece, scores[piece][1])
+                            break
                 back.append(how)
             ids, end = [], len(word)
             while end:
-                start, piece = back[end]
-                if piece is None:
-                    raw = MARK if word[start] == _OWN_MARK else word[start]
+                start, piece, number = back[end]
+                if number is None:
+                    raw = MARK if piece == _OWN_MARK else piece
                     ids.extend(self.byte_ids[b] for b in reversed(raw.encode("utf-8", "surrogatepass")))
                 else:
-                    ids.append(piece)
+                    ids.append(number)
                 end = start
             out[word] = ids[::-1]
-            last = word
+            before = word
         return out
 
     def decode(self, ids) -> str:
