@@ -13,6 +13,7 @@ from .line_dedup import remove_repeated_lines
 from .pieces import decode, encode, load
 from .simhash import near_duplicates
 from .sharding import shuffle_into_shards
+from .toxicity import score_toxicity
 
 
 def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,13 @@ def op7_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").alias("n_pieces"), "ids", same.alias("same"))
 
 
+def op8_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -108,7 +116,7 @@ FROM f GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hypergeometric_shards, op3_simhash_components, op4_chat_turns, op6_licence_scan, op7_piece_roundtrip, op9_benchmark_leaks, op10_line_windows)}
+    return {f.__name__: f for f in (op1_hypergeometric_shards, op3_simhash_components, op4_chat_turns, op6_licence_scan, op7_piece_roundtrip, op8_toxicity_scores, op9_benchmark_leaks, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
