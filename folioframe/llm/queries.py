@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .chat import Template, format_chats, read_back, unescape
 from .common import table
 from .decontam import leaks
@@ -27,6 +28,11 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, width=3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -116,7 +122,7 @@ FROM f GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hypergeometric_shards, op3_simhash_components, op4_chat_turns, op6_licence_scan, op7_piece_roundtrip, op8_toxicity_scores, op9_benchmark_leaks, op10_line_windows)}
+    return {f.__name__: f for f in (op1_hypergeometric_shards, op2_multiprobe_neighbours, op3_simhash_components, op4_chat_turns, op6_licence_scan, op7_piece_roundtrip, op8_toxicity_scores, op9_benchmark_leaks, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
