@@ -12,15 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder, cut its lineage, survive lost executors.
-
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is set only where
-    that is unset, which is the case in local tests.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder: the session's ``spark.checkpoint.dir``, and one of our own only
+    where that is unset, which is the case in local tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder: its lineage is cut, and it survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

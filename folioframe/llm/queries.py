@@ -9,6 +9,7 @@ from .ann import nearest_neighbours
 from .chat import Template, format_chats, read_back, unescape
 from .common import table
 from .decontam import leaks
+from .html_extract import extract
 from .licences import licence_sql, scan_licences
 from .line_dedup import remove_repeated_lines
 from .pieces import decode, encode, load
@@ -59,6 +60,11 @@ def op4_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.withColumn("text", extract(pages)).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -122,7 +128,7 @@ FROM f GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hypergeometric_shards, op2_multiprobe_neighbours, op3_simhash_components, op4_chat_turns, op6_licence_scan, op7_piece_roundtrip, op8_toxicity_scores, op9_benchmark_leaks, op10_line_windows)}
+    return {f.__name__: f for f in (op1_hypergeometric_shards, op2_multiprobe_neighbours, op3_simhash_components, op4_chat_turns, op5_page_text, op6_licence_scan, op7_piece_roundtrip, op8_toxicity_scores, op9_benchmark_leaks, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
