@@ -18,8 +18,10 @@ DEFAULT_PATTERNS = [
      "pattern": r"^\s*(?<title>[0-9\uff10-\uff19]+\.[0-9\uff10-\uff19]+\.[0-9\uff10-\uff19]+(?=.*[A-Za-z\u3040-\u30ff\u4e00-\u9fff])\s+.*\S)\s*$"},
 ]
 
-_DOC = Window.partitionBy("doc_id").orderBy("page_number", "line_no")
-_BEFORE = _DOC.rowsBetween(Window.unboundedPreceding, -1)
+
+def _before():
+    """The lines of the document before this one."""
+    return Window.partitionBy("doc_id").orderBy("page_number", "line_no").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def compile_patterns(spark: SparkSession, patterns: list[dict]) -> list[tuple[str, int, int]]:
@@ -47,13 +49,11 @@ def merge_patterns(stored: list[dict] | None, defaults: list[dict] = DEFAULT_PAT
 
 def match_heading(line: Column, compiled: list[tuple[str, int, int]]) -> Column:
     """struct<level, title> by the first pattern that gives a title, or null."""
-    tries = []
-    for pattern, group, level in compiled:
-        title = normalize_title(F.regexp_extract(line, pattern, group))
-        tries.append(F.when(line.rlike(pattern) & (title != ""), F.struct(F.lit(level).alias("level"), title.alias("title"))))
-    if not tries:
+    if not compiled:
         return F.lit(None).cast("struct<level:int,title:string>")
-    return F.when(~is_blank(line) & ~is_toc_leader(line), F.coalesce(*tries))
+    tries = [F.struct(F.lit(level).alias("level"), F.when(line.rlike(pattern), F.regexp_extract(line, pattern, group)).alias("raw")) for pattern, group, level in compiled]
+    titled = F.transform(F.array(*tries), lambda x: F.struct(x["level"].alias("level"), normalize_title(x["raw"]).alias("title")))
+    return F.when(~is_blank(line) & ~is_toc_leader(line), F.get(F.filter(titled, lambda x: F.length(x["title"]) > 0), 0))
 
 
 def find_headings(lines: DataFrame, compiled: list[tuple[str, int, int]]) -> DataFrame:
@@ -76,7 +76,7 @@ def sequence_filter(headings: DataFrame) -> DataFrame:
         out = out.withColumn("top", F.max(F.when(here, F.col("seq"))).over(stretch))
         out = out.withColumn("accepted", F.when(here, F.col("seq").isNull() | F.col("top").isNull() | (F.col("seq") >= F.col("top"))).otherwise(F.col("accepted")))
         resets = F.when((F.col("level") <= level) & F.col("seq").isNotNull() & F.col("accepted"), 1).otherwise(0)
-        out = out.withColumn("seg", F.coalesce(F.sum(resets).over(_BEFORE), F.lit(0)))
+        out = out.withColumn("seg", F.coalesce(F.sum(resets).over(_before()), F.lit(0)))
     return out.drop("seg", "top")
 
 
@@ -132,7 +132,7 @@ def build_hierarchy(headings: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def _latest_above(level: int) -> Column:
-    return F.last(F.when(F.col("level") < level, F.col("node_id")), ignorenulls=True).over(_BEFORE)
+    return F.last(F.when(F.col("level") < level, F.col("node_id")), ignorenulls=True).over(_before())
 
 
 def auto_outline(manifest: DataFrame, items: DataFrame, compiled: list[tuple[str, int, int]], start_page: int = 1) -> DataFrame:

@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 from ..functions.scalars import normalize_rotation, output_name, part_suffix
 
 MANIFEST = ["doc_id", "position", "page_id", "source_id", "source_index", "rotation"]
-_ORDER = Window.partitionBy("doc_id").orderBy("position")
-_UPTO = _ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_ALL = Window.partitionBy("doc_id")
+
+
+def _order():
+    return Window.partitionBy("doc_id").orderBy("position")
+
+
+def _upto():
+    return _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _all():
+    return Window.partitionBy("doc_id")
 
 
 def _dense(df: DataFrame) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(_ORDER))
+    return df.withColumn("position", F.row_number().over(_order()))
 
 
 def _into(low: int | Column, value: Column, high: Column) -> Column:
@@ -72,9 +81,9 @@ def reorder(manifest: DataFrame, moves: DataFrame) -> DataFrame:
     """
     flags = manifest.join(moves.select("doc_id", "ids", "to_index"), "doc_id", "left")
     m = F.coalesce(F.array_contains("ids", F.col("page_id")), F.lit(False)).cast("int")
-    flags = flags.withColumn("m", m).withColumn("k", F.sum("m").over(_UPTO)).withColumn("moved", F.sum("m").over(_ALL)).withColumn("n", F.count("*").over(_ALL))
+    flags = flags.withColumn("m", m).withColumn("k", F.sum("m").over(_upto())).withColumn("moved", F.sum("m").over(_all())).withColumn("n", F.count("*").over(_all()))
     at = _into(0, F.coalesce("to_index", F.lit(0)), F.col("n") - F.col("moved"))
-    rest = F.row_number().over(_ORDER) - F.col("k")
+    rest = F.row_number().over(_order()) - F.col("k")
     place = F.when(F.col("m") == 1, at + F.col("k")).when(rest <= at, rest).otherwise(rest + F.col("moved"))
     return flags.withColumn("position", place.cast("int")).select(*MANIFEST)
 
@@ -109,7 +118,7 @@ def split(manifest: DataFrame, boundaries: DataFrame) -> DataFrame:
     n = manifest.groupBy("doc_id").agg(F.count("*").alias("n"))
     cuts = boundaries.join(n, "doc_id").filter("boundary > 1 AND boundary <= n").select("doc_id", F.col("boundary").cast("int").alias("position"), F.lit(1).alias("cut")).distinct()
     parts = manifest.join(cuts.filter("position > 1"), ["doc_id", "position"], "left")
-    parts = parts.withColumn("part_no", (1 + F.sum(F.coalesce("cut", F.lit(0))).over(_UPTO)).cast("int"))
+    parts = parts.withColumn("part_no", (1 + F.sum(F.coalesce("cut", F.lit(0))).over(_upto())).cast("int"))
     return parts.withColumn("part_position", F.row_number().over(Window.partitionBy("doc_id", "part_no").orderBy("position"))).select(*MANIFEST, "part_no", "part_position")
 
 
@@ -128,7 +137,7 @@ def array_move(items: DataFrame, moves: DataFrame) -> DataFrame:
 
     ``moves`` is (doc_id, from_index, to_index), both from 0; a move out of range changes nothing.
     """
-    n = F.count("*").over(_ALL)
+    n = F.count("*").over(_all())
     both = items.join(moves.select("doc_id", "from_index", "to_index"), "doc_id", "left")
     fits = F.coalesce(F.col("from_index").between(0, n - 1) & F.col("to_index").between(0, n - 1), F.lit(False))
     i, a, b = F.col("position") - 1, F.col("from_index"), F.col("to_index")
@@ -182,7 +191,7 @@ def page_geometry(manifest: DataFrame, page_dims: DataFrame) -> DataFrame:
     page that wasn't measured takes the first page's size."""
     dims = page_dims.select("source_id", "source_index", "width", "height", "page_rotate").dropDuplicates(["source_id", "source_index"])
     joined = manifest.join(dims, ["source_id", "source_index"], "left")
-    whole = _ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = _order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     width, height = F.coalesce("width", F.first("width").over(whole)), F.coalesce("height", F.first("height").over(whole))
     sized = joined.select("doc_id", "position", "rotation", F.pmod(F.coalesce("page_rotate", F.lit(0)) + F.col("rotation"), F.lit(360)).alias("total_rotation"), width.alias("w"), height.alias("h"))
     turned = F.pmod(F.col("total_rotation"), F.lit(180)) == 90

@@ -13,7 +13,10 @@ from .manifest import source_order
 
 OUTLINE = ["doc_id", "node_id", "parent_id", "sib_index", "title", "source_id", "source_index"]
 _KEYS = ["doc_id", "node_id"]
-_SIBLINGS = Window.partitionBy("doc_id", "parent_id").orderBy("sib_index")
+
+
+def _siblings():
+    return Window.partitionBy("doc_id", "parent_id").orderBy("sib_index")
 
 
 def resolve_dests(raw: DataFrame, named_dests: DataFrame, page_refs: DataFrame) -> DataFrame:
@@ -119,7 +122,7 @@ def rename(outline: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def _renumbered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("sib_index", F.row_number().over(_SIBLINGS) - 1).select(*OUTLINE)
+    return rows.withColumn("sib_index", F.row_number().over(_siblings()) - 1).select(*OUTLINE)
 
 
 def remove(outline: DataFrame, ids: DataFrame) -> DataFrame:
@@ -152,7 +155,7 @@ def add_child(outline: DataFrame, new: DataFrame) -> DataFrame:
 def move_in_siblings(outline: DataFrame, ids: DataFrame, step: int) -> DataFrame:
     """One place up (-1) or down (1) for one node of a document; at the edge nothing changes."""
     marked = outline.join(ids.select(*_KEYS, F.lit(True).alias("hit")), _KEYS, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    other = F.lead("hit").over(_SIBLINGS) if step < 0 else F.lag("hit").over(_SIBLINGS)
+    other = F.lead("hit").over(_siblings()) if step < 0 else F.lag("hit").over(_siblings())
     last = F.count("*").over(Window.partitionBy("doc_id", "parent_id")) - 1
     moves = F.col("hit") & ((F.col("sib_index") > 0) if step < 0 else (F.col("sib_index") < last))
     to = F.when(moves, F.col("sib_index") + step).when(F.coalesce(other, F.lit(False)), F.col("sib_index") - step).otherwise(F.col("sib_index"))
@@ -169,7 +172,7 @@ def move_down(outline: DataFrame, ids: DataFrame) -> DataFrame:
 
 def indent(outline: DataFrame, ids: DataFrame) -> DataFrame:
     """One node of a document becomes the last child of the sibling before it; a first one stays."""
-    marked = outline.withColumn("before", F.lag("node_id").over(_SIBLINGS)).join(ids.select(*_KEYS, F.lit(True).alias("hit")), _KEYS, "left")
+    marked = outline.withColumn("before", F.lag("node_id").over(_siblings())).join(ids.select(*_KEYS, F.lit(True).alias("hit")), _KEYS, "left")
     moves = F.coalesce(F.col("hit"), F.lit(False)) & F.col("before").isNotNull()
     moved = marked.withColumn("parent_id", F.when(moves, F.col("before")).otherwise(F.col("parent_id"))).withColumn("sib_index", F.when(moves, 2**30).otherwise(F.col("sib_index")))
     return _renumbered(moved)
@@ -206,7 +209,7 @@ def remap(outline: DataFrame, manifest: DataFrame) -> DataFrame:
 def links(flat: DataFrame) -> DataFrame:
     """(doc_id, node_id, parent_id, prev_id, next_id, first_child, last_child, n_below)."""
     children = flat.filter("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min_by("node_id", "sib_index").alias("first_child"), F.max_by("node_id", "sib_index").alias("last_child"))
-    rows = flat.select(*_KEYS, "parent_id", F.lag("node_id").over(_SIBLINGS).alias("prev_id"), F.lead("node_id").over(_SIBLINGS).alias("next_id"))
+    rows = flat.select(*_KEYS, "parent_id", F.lag("node_id").over(_siblings()).alias("prev_id"), F.lead("node_id").over(_siblings()).alias("next_id"))
     return rows.join(children, _KEYS, "left").join(count_descendants(flat).withColumnRenamed("n_descendants", "n_below"), _KEYS, "left")
 
 
