@@ -51,26 +51,50 @@ class Vocabulary:
                     raise ValueError("a piece crosses marked words")
                 self.scores[piece] = (given.get_score(i), i)
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
-        self.longest = max(map(len, self.scores))
-        self.fits: dict[tuple[str, str], bool] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """Merging by rank, for a few characters."""
-        parts = list(text)
-        while len(parts) > 1:
-            ranked = [(-self.scores[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores]
-            if not ranked:
-                break
-            i = min(ranked)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """The pieces of each word."""
-        out, scores, longest, fits = {}, self.scores, self.longest, self.fits
-        if len(fits) > 2_000_000:
-            fits.clear()
-        back: list[tuple[int, str, int | None]] = [(0, "", None)]
+        ranked = sorted((x for x in self.scores if len(x) > 1), key=lambda x: -self.scores[x][0])
+        self.rank = {x: -1.0 for x in self.scores} | {x: -self.scores[x][0] for x in ranked}
+        self.tails = {x[i:] for x in self.scores for i in range(len(x))}
+        #: The two parts that a piece is merged from; a piece that merging never makes has none.
+        self.parts: dict[str, tuple[str, str]] = {}
+        for x in ranked:
+            found = next(((x[:i], x[i:]) for i in range(1, len(x)) if self._whole(x[:i]) and self._whole(x[i:]) and self.fits(x[:i], x[i:], self.rank[x])), None)
+            if found:
+                self.parts[x] = found
+        code = lambda i: np.int32(i).tobytes()
+        #: Pieces that merging can make, as bytes of their numbers; what may follow which, as found out so far.
+        self.coded = {x: code(i) for x, (_, i) in self.scores.items() if self._whole(x)}
+        self.byte_codes = [code(i) for i in self.byte_ids]
+        self.after: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, piece: str) -> bool:
+        return len(piece) == 1 or piece in self.parts
+
+    def fits(self, a: str, b: str, limit: float = float("inf")) -> bool:
+        """Whether two neighbouring pieces stay two under merges of a rank below ``limit``: their own
+        merges are undone from the last one on, and none may have come after one across the border."""
+        rank, parts = self.rank, self.parts
+        while True:
+            if rank.get(a + b, limit) < limit:
+                return False
+            x, y = rank[a], rank[b]
+            if x > y:
+                limit, a = x, parts[a][1]
+            elif y >= 0:
+                limit, b = y + 0.5, parts[b][0]
+            else:
+                return True
+
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """The pieces of each word, as 32-bit numbers.
+
+        A forward state is (bytes of the prefix's pieces, its last piece, which pieces may follow)."""
+        out, coded, tails, fits, after = {}, self.coded, self.tails, self.fits, self.after
+        if self.pairs > 300_000:
+            after.clear()
+            self.pairs = 0
+        states: list[tuple] = [(b"", "", None)]
         before = ""
         for word in sorted(words):
             shared = 0
@@ -78,30 +102,34 @@ class Vocabulary:
                 if x != y:
                     break
                 shared += 1
-            del back[shared + 1 :]
+            del states[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                how = (end - 1, word[end - 1], None)
-                for start in range(max(0, end - longest), end):
+                found = []
+                for start in range(end - 1, -1, -1):
                     piece = word[start:end]
-                    if piece in scores:
-                        step = (back[start][1], piece)
-                        fit = fits.get(step)
+                    if piece not in tails:
+                        break
+                    if piece in coded:
+                        found.append((start, piece))
+                while found:
+                    start, piece = found.pop()
+                    prefix, left, follows = states[start]
+                    if follows is not None:
+                        fit = follows.get(piece)
                         if fit is None:
-                            fit = fits[step] = self.merged(step[0] + piece) == [x for x in step if x]
-                        if fit:
-                            how = (start, piece, scores[piece][1])
-                            break
-                back.append(how)
-            ids, end = [], len(word)
-            while end:
-                start, piece, number = back[end]
-                if number is None:
-                    raw = MARK if piece == _OWN_MARK else piece
-                    ids.extend(self.byte_ids[b] for b in reversed(raw.encode("utf-8", "surrogatepass")))
+                            fit = follows[piece] = fits(left, piece)
+                            self.pairs += 1
+                        if not fit:
+                            continue
+                    follows = after.get(piece)
+                    if follows is None:
+                        follows = after[piece] = {}
+                    states.append((prefix + coded[piece], piece, follows))
+                    break
                 else:
-                    ids.append(number)
-                end = start
-            out[word] = ids[::-1]
+                    raw = MARK if word[end - 1] == _OWN_MARK else word[end - 1]
+                    states.append((states[end - 1][0] + b"".join(self.byte_codes[b] for b in raw.encode("utf-8", "surrogatepass")), "", None))
+            out[word] = states[len(word)][0]
             before = word
         return out
 
@@ -118,28 +146,48 @@ def load(spark: SparkSession, model: str = MODEL) -> Broadcast:
     return spark.sparkContext.broadcast(Vocabulary(model))
 
 
-def encode(text: Column, vocabulary: Broadcast, chunk_chars: int = 2_000_000, cached_words: int = 300_000) -> Column:
+def _encoded(texts: pd.Series, words: Vocabulary, chunk_chars: int, cached_words: int) -> Iterator[list[np.ndarray | None]]:
+    """The ids of the texts, chunk by chunk."""
+    known, waiting, size = words.known, [], 0
+    for i, text in enumerate(texts):
+        waiting.append(None if text is None else _marked(text))
+        size += len(text or "")
+        if size >= chunk_chars or i == len(texts) - 1:
+            if len(known) > cached_words:
+                known.clear()
+            known.update(words.encode_words(set(chain.from_iterable(filter(None, waiting))).difference(known)))
+            yield [None if x is None else np.frombuffer(b"".join(map(known.__getitem__, x)), np.int32) for x in waiting]
+            waiting, size = [], 0
+
+
+def encode(text: Column, vocabulary: Broadcast, chunk_chars: int = 500_000, cached_words: int = 150_000) -> Column:
     """array<int> of piece ids. Null gives null, empty text an empty array; equal texts equal arrays.
 
-    Texts go through in chunks of about ``chunk_chars`` characters; words of earlier chunks are kept
+    Texts go through in chunks of about ``chunk_chars`` characters; a worker keeps the words it has met
     until there are ``cached_words``, which bounds memory and changes no result.
     """
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words, known = vocabulary.value, {}
         for batch in batches:
-            out, waiting, size = [], [], 0
-            for i, text in enumerate(batch):
-                waiting.append(None if text is None else _marked(text))
-                size += len(text or "")
-                if size >= chunk_chars or i == len(batch) - 1:
-                    if len(known) > cached_words:
-                        known.clear()
-                    known |= words.encode_words(set(chain.from_iterable(filter(None, waiting))).difference(known))
-                    out += [None if x is None else np.fromiter(chain.from_iterable(map(known.__getitem__, x)), np.int32) for x in waiting]
-                    waiting, size = [], 0
-            yield pd.Series(out, dtype=object)
+            for ids in _encoded(batch, vocabulary.value, chunk_chars, cached_words):
+                yield pd.Series(ids, dtype=object)
+
+    return run(text)
+
+
+def encode_and_check(text: Column, vocabulary: Broadcast, chunk_chars: int = 500_000, cached_words: int = 150_000) -> Column:
+    """struct<ids, same>: as ``encode``, and whether decoding the ids gives the very text again; done in
+    one worker, so that neither ids nor text go back and forth for it. Null text: null ids, same."""
+
+    @F.pandas_udf("ids array<int>, same boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at, words = 0, vocabulary.value
+            for ids in _encoded(batch, words, chunk_chars, cached_words):
+                texts = batch.iloc[at : at + len(ids)]
+                at += len(ids)
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": [t is None if x is None else words.decode(x.tolist()) == t for x, t in zip(ids, texts)]})
 
     return run(text)
 

@@ -12,7 +12,7 @@ from .decontam import leaks
 from .html_extract import extract
 from .licences import licence_sql, scan_licences
 from .line_dedup import remove_repeated_lines
-from .pieces import decode, encode, load
+from .pieces import encode_and_check, load
 from .simhash import near_duplicates
 from .sharding import shuffle_into_shards
 from .toxicity import score_toxicity
@@ -70,10 +70,9 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = load(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", encode(F.col("text"), words))
-    same = decode(F.col("ids"), words).eqNullSafe(F.col("text"))
-    return docs.select("doc_id", F.size("ids").alias("n_pieces"), "ids", same.alias("same"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = docs.select("doc_id", encode_and_check(F.col("text"), load(spark)).alias("e"))
+    return coded.select("doc_id", F.size("e.ids").alias("n_pieces"), "e.ids", "e.same")
 
 
 def op8_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
