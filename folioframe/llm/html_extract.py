@@ -122,19 +122,14 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html", prior: float = 2.0, most_features: int = 5_000) -> dict[str, float]:
-    """Log ratios of the features' shares in and out of marked articles, over all labelled pages.
+    """Log ratios of the features' counts in and out of marked articles, over all labelled pages.
 
     A page is labelled if it marks an article or main element. Names of elements and hints that HTML
     knows are few; of made-up element names the ``most_features`` commonest have weights."""
     rows = pages.select(F.col(f"`{html_col}`").alias("html")).mapInPandas(_count, "feature string, inside boolean, n long")
     kept = rows.groupBy("feature").agg(F.sum(F.expr("IF(inside, n, 0)")).alias("a"), F.sum(F.expr("IF(inside, 0, n)")).alias("b")).orderBy(F.desc(F.col("a") + F.col("b")), "feature").limit(most_features)
     found = {r["feature"]: (r["a"], r["b"]) for r in kept.collect()}
-    out = {}
-    for kind in (True, False):
-        group = {f: x for f, x in found.items() if f.startswith("tag:") == kind}
-        total_a, total_b = sum(a for a, _ in group.values()) + prior, sum(b for _, b in group.values()) + prior
-        out |= {f: math.log((a + prior) / total_a) - math.log((b + prior) / total_b) for f, (a, b) in group.items()}
-    return out
+    return {f: math.log((a + prior) / (b + prior)) for f, (a, b) in found.items()}
 
 
 def main_text(page: str | None, weights: dict[str, float], word: float = 1.0, tag: float = -0.5, hint: float = -2.0, link: float = -1.2) -> str:
