@@ -42,6 +42,8 @@ r AS (SELECT doc_id, node_id, parent_id, [sib_index] AS path, CAST([] AS VARCHAR
   UNION ALL SELECT t.doc_id, t.node_id, t.parent_id, list_append(r.path, t.sib_index), list_append(r.anc, t.parent_id) FROM t JOIN r ON r.doc_id = t.doc_id AND r.node_id = t.parent_id),
 flat AS (SELECT *, CAST(len(path) - 1 AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, node_id) - 1 AS INTEGER) AS preorder FROM r),
 clo AS (SELECT doc_id, unnest(anc) AS ancestor_id, node_id FROM flat)"""
+_LOG = """e AS (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS seq, event_id % 9 AS dest,
+  CASE event_type WHEN 'signup' THEN 'undo' WHEN 'error' THEN 'redo' WHEN 'click' THEN 'rotate' WHEN 'view' THEN 'reorder' ELSE 'delete' END AS kind FROM events)"""
 _NEW_INDEX = "CAST(row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY sib_index) - 1 AS INTEGER) AS sib_index"
 
 
@@ -184,4 +186,32 @@ ORACLES: dict[str, str] = {
     "outline_append": f"""WITH {_M}, {_TREE} SELECT doc_id, node_id, parent_id, sib_index, title FROM t
         UNION ALL SELECT doc_id, 'g' || node_id, 'g' || parent_id, CAST(sib_index + CASE WHEN parent_id IS NULL THEN count(*) FILTER (parent_id IS NULL) OVER (PARTITION BY doc_id) ELSE 0 END AS INTEGER), title FROM t""",
     "outline_dirty": """SELECT o_custkey AS doc_id, coalesce(max(o_orderkey) FILTER (o_orderkey % 5 != 0 AND o_orderkey % 7 != 0) > coalesce(max(o_orderkey) FILTER (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0), -1), FALSE) AS dirty FROM orders GROUP BY 1""",
+    "outline_move_subtree": f"""WITH {_M}, {_TREE} SELECT doc_id, node_id, parent_id, CAST(CASE WHEN n = 2 THEN 0 WHEN n = 1 AND EXISTS (SELECT 1 FROM t x WHERE x.doc_id = t.doc_id AND x.n = 2) THEN 1 ELSE sib_index END AS INTEGER) AS sib_index, title FROM t""",
+    "history_resolve": f"""WITH RECURSIVE {_LOG}, r AS (SELECT DISTINCT user_id, 0 AS seq, 0 AS a, 0 AS u FROM e UNION ALL
+        SELECT r.user_id, r.seq + 1, CASE WHEN kind = 'undo' THEN greatest(a - 1, 0) WHEN kind = 'redo' THEN a + CASE WHEN u > 0 THEN 1 ELSE 0 END ELSE a + 1 END,
+          CASE WHEN kind = 'undo' THEN u + CASE WHEN a > 0 THEN 1 ELSE 0 END WHEN kind = 'redo' THEN greatest(u - 1, 0) ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.seq = r.seq + 1),
+        l AS (SELECT user_id, arg_max(a, seq) AS a, arg_max(u, seq) AS u FROM r GROUP BY user_id)
+        SELECT user_id AS doc_id, a AS n_applied, u AS n_undone, a > 0 AS can_undo, u > 0 AS can_redo, a > 0 AS is_dirty, a != 0 AS unsaved FROM l""",
+    "manifest_replay": f"""WITH RECURSIVE {_LOG}, r AS (SELECT DISTINCT user_id, 0 AS seq, CAST([] AS BIGINT[]) AS a, CAST([] AS BIGINT[]) AS u FROM e UNION ALL
+        SELECT r.user_id, r.seq + 1, CASE WHEN kind = 'undo' THEN a[1:len(a) - 1] WHEN kind = 'redo' THEN list_concat(a, u[len(u):]) ELSE list_append(a, e.seq) END,
+          CASE WHEN kind = 'undo' THEN list_concat(u, a[len(a):]) WHEN kind = 'redo' THEN u[1:len(u) - 1] ELSE CAST([] AS BIGINT[]) END FROM r JOIN e ON e.user_id = r.user_id AND e.seq = r.seq + 1),
+        l AS (SELECT user_id, arg_max(a, seq) AS a FROM r GROUP BY user_id),
+        o AS (SELECT l.user_id, i, e.kind, e.dest, [l.user_id || '-' || e.event_id % 400, l.user_id || '-' || (e.event_id * 7 + 1) % 400] AS ids
+          FROM (SELECT user_id, unnest(a) AS seq, unnest(range(1, len(a) + 1)) AS i FROM l) l JOIN e ON e.user_id = l.user_id AND e.seq = l.seq),
+        p AS (SELECT user_id, 0 AS i, list_transform(range(0, 400), lambda x: {{'p': user_id || '-' || x, 'n': CAST(x AS INTEGER), 'r': 0}}) AS pages FROM l UNION ALL
+          SELECT p.user_id, p.i + 1, CASE o.kind
+            WHEN 'rotate' THEN list_transform(pages, lambda x: {{'p': x.p, 'n': x.n, 'r': CASE WHEN list_contains(o.ids, x.p) THEN (x.r + 90) % 360 ELSE x.r END}})
+            WHEN 'delete' THEN list_filter(pages, lambda x: NOT list_contains(o.ids, x.p))
+            ELSE list_concat(list_filter(pages, lambda x: NOT list_contains(o.ids, x.p))[1:o.dest], list_concat(list_filter(pages, lambda x: list_contains(o.ids, x.p)), list_filter(pages, lambda x: NOT list_contains(o.ids, x.p))[o.dest + 1:])) END
+          FROM p JOIN o ON o.user_id = p.user_id AND o.i = p.i + 1),
+        f AS (SELECT user_id, arg_max(pages, i) AS pages FROM p GROUP BY user_id), g AS (SELECT user_id, unnest(pages) AS x, unnest(range(1, len(pages) + 1)) AS position FROM f)
+        SELECT user_id AS doc_id, CAST(position AS INTEGER) AS position, x.p AS page_id, CAST(user_id AS VARCHAR) AS source_id, x.n AS source_index, x.r AS rotation FROM g""",
+    "lines_reconstruct": """WITH RECURSIVE w AS (SELECT doc_id, unnest(p) AS str, unnest(range(0, len(p))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS p FROM documents)),
+        t AS (SELECT doc_id AS source_id, CAST(i // 200 AS INTEGER) AS source_index, i % 200 AS k, str, (i % 200) * 7 % 10 * 50 AS x, -(800 - (i % 200) // 10 * 14 + (i % 200) % 3) AS down, (i % 200) % 4 + 10 AS font FROM w),
+        m AS (SELECT source_id, source_index, greatest(2, 0.3 * list_sort(list(font))[count(*) // 2 + 1]) AS tol FROM t GROUP BY 1, 2),
+        q AS (SELECT t.*, m.tol, row_number() OVER (PARTITION BY source_id, source_index ORDER BY down, k) AS rank FROM t JOIN m USING (source_id, source_index)),
+        r AS (SELECT source_id, source_index, rank, down AS anchor, 1 AS g FROM q WHERE rank = 1 UNION ALL
+          SELECT q.source_id, q.source_index, q.rank, CASE WHEN abs(q.down - r.anchor) <= q.tol THEN r.anchor ELSE q.down END, CASE WHEN abs(q.down - r.anchor) <= q.tol THEN r.g ELSE r.g + 1 END
+          FROM r JOIN q ON q.source_id = r.source_id AND q.source_index = r.source_index AND q.rank = r.rank + 1)
+        SELECT source_id, source_index, CAST(g AS INTEGER) AS line_no, md5(string_agg(str, '' ORDER BY x, rank)) AS line FROM r JOIN q USING (source_id, source_index, rank) GROUP BY 1, 2, 3""",
 }
