@@ -108,6 +108,14 @@ FROM docs d LEFT JOIN per p USING (doc_id)
 """
 
 
+#: For pages of the given tables' shape, which all mark their article; tests/llm has others.
+_OP5_SQL = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\z)', 1), '') AS body FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(body, '</?(?:p|h1)>', chr(1), 'g'), '<br>', ' ', 'g'), '</?[A-Za-z][^>]*(?:>|\z)', '', 'g'), chr(1)) AS parts FROM a),
+c AS (SELECT page_id, url, list_filter([trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) FOR x IN parts], lambda y: y != '') AS lines FROM b)
+SELECT page_id, url, array_to_string(lines, chr(10)) AS text, CAST(length(array_to_string(lines, chr(10))) AS BIGINT) AS n_chars FROM c
+"""
+
 _OP4_SQL = r"""
 WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -131,4 +139,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_turns": _OP4_SQL, "op6_licence_scan": licence_sql(), "op10_line_windows": _OP10_SQL}
+    return {"op4_chat_turns": _OP4_SQL, "op5_page_text": _OP5_SQL, "op6_licence_scan": licence_sql(), "op10_line_windows": _OP10_SQL}
