@@ -13,6 +13,7 @@ prefix; its pieces are those that the sentencepiece library returns.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -53,7 +54,6 @@ class Vocabulary:
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         ranked = sorted((x for x in self.scores if len(x) > 1), key=lambda x: -self.scores[x][0])
         self.rank = {x: -1.0 for x in self.scores} | {x: -self.scores[x][0] for x in ranked}
-        self.tails = {x[i:] for x in self.scores for i in range(len(x))}
         #: The two parts that a piece is merged from; a piece that merging never makes has none.
         self.parts: dict[str, tuple[str, str]] = {}
         for x in ranked:
@@ -63,10 +63,14 @@ class Vocabulary:
         code = lambda i: np.int32(i).tobytes()
         #: Pieces that merging can make, as bytes of their numbers; what may follow which, as found out so far.
         self.coded = {x: code(i) for x, (_, i) in self.scores.items() if self._whole(x)}
+        #: The same, and all ends of pieces without bytes: where a longer piece can't end any more.
+        self.tails = {x[i:]: b"" for x in self.coded for i in range(len(x))} | self.coded
         self.byte_codes = [code(i) for i in self.byte_ids]
         self.after: dict[str, dict[str, bool]] = {}
         self.pairs = 0
-        self.known: dict[str, bytes] = {}
+        #: Words met lately, and those met before them.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, piece: str) -> bool:
         return len(piece) == 1 or piece in self.parts
@@ -90,7 +94,7 @@ class Vocabulary:
         """The pieces of each word, as 32-bit numbers.
 
         A forward state is (bytes of the prefix's pieces, its last piece, which pieces may follow)."""
-        out, coded, tails, fits, after = {}, self.coded, self.tails, self.fits, self.after
+        out, tails, fits, after = {}, self.tails.get, self.fits, self.after
         if self.pairs > 300_000:
             after.clear()
             self.pairs = 0
@@ -107,12 +111,13 @@ class Vocabulary:
                 found = []
                 for start in range(end - 1, -1, -1):
                     piece = word[start:end]
-                    if piece not in tails:
+                    code = tails(piece)
+                    if code:
+                        found.append((start, piece, code))
+                    elif code is None:
                         break
-                    if piece in coded:
-                        found.append((start, piece))
                 while found:
-                    start, piece = found.pop()
+                    start, piece, code = found.pop()
                     prefix, left, follows = states[start]
                     if follows is not None:
                         fit = follows.get(piece)
@@ -124,7 +129,7 @@ class Vocabulary:
                     follows = after.get(piece)
                     if follows is None:
                         follows = after[piece] = {}
-                    states.append((prefix + coded[piece], piece, follows))
+                    states.append((prefix + code, piece, follows))
                     break
                 else:
                     raw = MARK if word[end - 1] == _OWN_MARK else word[end - 1]
@@ -147,24 +152,34 @@ def load(spark: SparkSession, model: str = MODEL) -> Broadcast:
 
 
 def _encoded(texts: pd.Series, words: Vocabulary, chunk_chars: int, cached_words: int) -> Iterator[list[np.ndarray | None]]:
-    """The ids of the texts, chunk by chunk."""
-    known, waiting, size = words.known, [], 0
+    """The ids of the texts, chunk by chunk. What is made here holds no cycles, so the collector rests."""
+    waiting, size = [], 0
     for i, text in enumerate(texts):
         waiting.append(None if text is None else _marked(text))
         size += len(text or "")
         if size >= chunk_chars or i == len(texts) - 1:
-            if len(known) > cached_words:
-                known.clear()
-            known.update(words.encode_words(set(chain.from_iterable(filter(None, waiting))).difference(known)))
-            yield [None if x is None else np.frombuffer(b"".join(map(known.__getitem__, x)), np.int32) for x in waiting]
+            if len(words.young) > cached_words:
+                words.old, words.young = words.young, {}
+            young, old, collects = words.young, words.old, gc.isenabled()
+            gc.disable()
+            try:
+                new = set(chain.from_iterable(filter(None, waiting))).difference(young)
+                again = new.intersection(old)
+                young.update(zip(again, map(old.__getitem__, again)))
+                young.update(words.encode_words(new.difference(again)))
+                ids = [None if x is None else np.frombuffer(b"".join(map(young.__getitem__, x)), np.int32) for x in waiting]
+            finally:
+                if collects:
+                    gc.enable()
+            yield ids
             waiting, size = [], 0
 
 
-def encode(text: Column, vocabulary: Broadcast, chunk_chars: int = 500_000, cached_words: int = 150_000) -> Column:
+def encode(text: Column, vocabulary: Broadcast, chunk_chars: int = 1_000_000, cached_words: int = 200_000) -> Column:
     """array<int> of piece ids. Null gives null, empty text an empty array; equal texts equal arrays.
 
     Texts go through in chunks of about ``chunk_chars`` characters; a worker keeps the words it has met
-    until there are ``cached_words``, which bounds memory and changes no result.
+    until there are ``cached_words`` new ones, which bounds memory and changes no result.
     """
 
     @F.pandas_udf("array<int>")
@@ -176,7 +191,7 @@ def encode(text: Column, vocabulary: Broadcast, chunk_chars: int = 500_000, cach
     return run(text)
 
 
-def encode_and_check(text: Column, vocabulary: Broadcast, chunk_chars: int = 500_000, cached_words: int = 150_000) -> Column:
+def encode_and_check(text: Column, vocabulary: Broadcast, chunk_chars: int = 1_000_000, cached_words: int = 200_000) -> Column:
     """struct<ids, same>: as ``encode``, and whether decoding the ids gives the very text again; done in
     one worker, so that neither ids nor text go back and forth for it. Null text: null ids, same."""
 
