@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Pass one counts in how many documents each word n-gram of a test item occurs. Of every few
-neighbouring n-grams of an item the rarest becomes a seed, so each stretch of an item keeps one
-however common a passage is. Pass two aligns an item with the words around each seed found.
-Both passes are narrow: text never crosses the network.
+Every word n-gram of a test item is a seed, however common, so an edited copy is met wherever one
+n-gram of it is whole. An item is aligned with the words around each seed found, unless too few of
+them are the item's for the score to suffice. All of it is narrow: text never crosses the network.
 """
 
 from __future__ import annotations
@@ -28,13 +27,17 @@ class Alignment:
     ``least_words``: an alignment scores at least as much as so many equal words (or all of the item)."""
 
     seed_words: int = 3
-    stride: int = 4
     match: int = 2
     mismatch: int = -1
     gap: int = -1
     least: float = 0.5
     least_words: int = 8
 
+    def lowest(self, words: int) -> float:
+        """The least score to report for an item of so many words."""
+        full = self.match * words
+        return max(self.least * full, min(full, self.match * self.least_words))
+
 
 class _Items:
     """A block of test items: words as numbers, n-grams as sorted keys with their occurrences."""
@@ -84,20 +87,9 @@ class _Items:
         hit = self.seeds[where] == key
         return words, at[hit], where[hit]
 
-    def rarest(self, documents: np.ndarray) -> None:
-        """Keep, of each ``stride`` neighbouring n-grams of an item, the one in the fewest documents."""
-        count = documents[np.searchsorted(self.seeds, self.occurrence_key)]
-        order = np.lexsort((self.place, count, self.place // self.how.stride, self.item))
-        block = np.stack([self.item[order], self.place[order] // self.how.stride])
-        first = np.ones(len(order), bool)
-        first[1:] = (block[:, 1:] != block[:, :-1]).any(axis=0)
-        kept = np.unique(self.occurrence_key[order[first]])
-        use = np.isin(self.occurrence_key, kept)
-        self.occurrence_key, self.item, self.place = self.occurrence_key[use], self.item[use], self.place[use]
-        self.seeds, self.first = np.unique(self.occurrence_key, return_index=True)
-
     def regions(self, words: np.ndarray, at: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-        """(item, words, start) around the seeds found: overlapping stretches of an item are one."""
+        """(item, words, start) around the seeds found: overlapping stretches of an item are one. Each
+        equal pair of words scores ``match`` at most, so stretches with too few words of the item are left out."""
         last = np.append(self.first, len(self.item))
         n = last[which + 1] - last[which]
         occurrence = np.repeat(last[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -108,7 +100,9 @@ class _Items:
             starts = np.unique(np.maximum(diagonal[item == i] - slack, 0))
             cut = np.flatnonzero(np.diff(starts) > length + 2 * slack) + 1
             for part in np.split(starts, cut):
-                yield int(i), words[part[0] : part[-1] + length + 2 * slack], int(part[0])
+                near = words[part[0] : part[-1] + length + 2 * slack]
+                if np.isin(near, self.words[i]).sum() * self.how.match >= self.how.lowest(length):
+                    yield int(i), near, int(part[0])
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray], how: Alignment) -> list[tuple[int, int]]:
@@ -152,30 +146,14 @@ def leaks(df: DataFrame, benchmark: DataFrame, how: Alignment = Alignment(), tex
     the item's best possible one, ``end_word`` the text's word after the alignment. A benchmark of any
     size goes through in blocks of ``most_words`` words. Items of fewer than ``seed_words`` words, null
     or empty items and texts match nothing; repeated items are each reported; equal texts give equal
-    results. This runs pass one at once and returns pass two as an expression.
+    results. A copy in which every run of ``seed_words`` words is edited has no seed and is not met.
     """
     spark, found = df.sparkSession, []
     kind = benchmark.schema[item_id_col].dataType.simpleString()
     shape = f"array<struct<item_id:{kind},score:double,end_word:int>>"
     for rows in _blocks(benchmark, item_id_col, item_text_col, most_words):
-        items = _Items(rows, how)
-        held = spark.sparkContext.broadcast(items)
-
-        def count(batches, held=held):
-            items, total = held.value, np.zeros(len(held.value.seeds), np.int64)
-            for batch in batches:
-                for text in batch["text"]:
-                    if text:
-                        total[np.unique(items.found(text)[2])] += 1
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"seed": at, "n": total[at]})
-
-        seen = df.select(F.col(f"`{text_col}`").alias("text")).mapInPandas(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
-        documents = np.zeros(len(items.seeds), np.int64)
-        documents[seen["seed"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
-        items.rarest(documents)
-        rare = spark.sparkContext.broadcast(items)
-        found.append(_searcher(rare, shape)(F.col(f"`{text_col}`")))
+        held = spark.sparkContext.broadcast(_Items(rows, how))
+        found.append(_searcher(held, shape)(F.col(f"`{text_col}`")))
     return F.concat(*found) if found else F.array().cast(shape)
 
 
@@ -194,8 +172,7 @@ def _search(items: _Items, texts: pd.Series) -> list[list[dict]]:
     def finish() -> None:
         if waiting:
             for (k, i, _, start), (score, end) in zip(waiting, align([items.words[w[1]] for w in waiting], [w[2] for w in waiting], how)):
-                full = how.match * len(items.words[i])
-                if score >= how.least * full and score >= min(full, how.match * how.least_words) and score > out[k].get(i, (0, 0))[0]:
+                if score >= how.lowest(len(items.words[i])) and score > out[k].get(i, (0, 0))[0]:
                     out[k][i] = (score, start + end)
             waiting.clear()
 

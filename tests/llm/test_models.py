@@ -77,6 +77,24 @@ def test_leaks(spark):
     assert drop_contaminated(df, bench.limit(0)).count() == len(rows) and drop_contaminated(df.limit(0), bench).count() == 0
 
 
+def test_leaks_edited_at_every_offset_and_period(spark):
+    rng = random.Random(18)
+    items, rows = [], []
+    for period in (5, 6, 7, 8):
+        for offset in range(period):
+            words = [f"v{rng.randrange(2000)}" for _ in range(40)]
+            edited = [f"edit{i}" if i % period == offset else w for i, w in enumerate(words)]
+            rows.append((len(items), "before it " + " ".join(edited) + " after it"))
+            # What the edits broke, and no other n-gram, stands in another document too.
+            rows.append((1000 + len(items), " xx ".join(" ".join(words[i : i + 3]) for i in range(38) if edited[i : i + 3] != words[i : i + 3])))
+            items.append((len(items), " ".join(words)))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for docs in (df, df.filter("doc_id < 1000")):
+        got = {(r.doc_id, r.leak.item_id): r.leak.score for r in docs.select("doc_id", F.explode(leaks(docs, bench)).alias("leak")).collect()}
+        copies = {k: v for k, v in got.items() if k[0] < 1000}
+        assert copies.keys() == {(i, i) for i, _ in items} and min(copies.values()) > 0.6
+
+
 def test_toxicity_finds_new_endings_of_bad_words(spark):
     rng = random.Random(9)
     clean = ["mo" + rng.choice("aeiou") + rng.choice("lrnst") for _ in range(1)] + [a + b + c for a in ("ta", "re", "no") for b in ("li", "mu", "se") for c in ("n", "ra", "to")]
