@@ -124,6 +124,34 @@ def test_near_duplicates(spark):
     assert drop_near_duplicates(given.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_joins_edited_copies(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(12), [(900, None), (901, ""), (902, " "), (903, "a b"), (904, "A b"), (905, "a c")]
+    for g in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 60, 120, 400]))]
+        for k in range(4):
+            edited = list(words)
+            for at in rng.sample(range(len(words)), min(len(words), rng.randrange(0, len(words) // 25 + 2))):
+                edited[at] = f"edit{g}x{k}x{at}"
+            rows.append((g * 4 + k, " ".join(edited)))
+    sets = {i: frozenset(tuple(w[at : at + 5]) for at in range(max(1, len(w) - 4))) for i, w in ((i, (t or "").lower().split()) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    given = docs(spark, rows)
+    kept = corpus_pipeline.near_dedup(spark, given, "")
+    assert kept.columns == given.columns and sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in sets})
+    assert 40 < len({find(i) for i in sets}) < 150
+
+
 CHAT = "conv_id long, turn long, role string, text string, turns string"
 
 
