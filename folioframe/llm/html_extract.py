@@ -2,7 +2,7 @@
 
 Every word and tag of a page gets a weight: words score positive where pages mark such places as
 their article, tags score negative. One linear scan finds the contiguous stretch with the largest
-sum; its blocks, without what is nested boilerplate, are the text. The weights are log ratios of
+sum; its blocks, without what is nested boilerplate (which costs an article nothing), are the text. The weights are log ratios of
 counts on labelled pages, which are the pages that mark their article themselves.
 """
 
@@ -22,7 +22,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HINT = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|menus?|nav\w*|breadcrumbs?|pagination|pager"
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|menus?|nav\w*|breadcrumbs?|pagination|pager"
     r"|sidebars?|aside|widgets?|headers?|masthead|foot\w*|copyright|comments?|replies|respond|disqus|social|shar(?:e|es|ing)|follow|related|recommend\w*|newsletter|subscribe\w*"
     r"|signup|login|search\w*|forms?|tags?|tracking|complementary|navigation|contentinfo|toolbar|skip\w*)(?=$|[\s_-])",
     re.I,
@@ -39,19 +39,21 @@ _HOLDS = frozenset("html body div section article main".split())
 
 
 class _Open:
-    __slots__ = ("tag", "out", "article", "hints", "link")
+    __slots__ = ("tag", "out", "hidden", "article", "kept", "hints", "link")
 
-    def __init__(self, tag: str, out: bool, article: bool, hints: tuple[str, ...], link: bool):
-        self.tag, self.out, self.article, self.hints, self.link = tag, out, article, hints, link
+    def __init__(self, tag: str, out: bool, hidden: bool, article: bool, kept: bool, hints: tuple[str, ...], link: bool):
+        self.tag, self.out, self.hidden, self.article, self.kept, self.hints, self.link = tag, out, hidden, article, kept, hints, link
 
 
 def tokens(page: str) -> Iterator[tuple]:
-    """("tag", name, inside an article) and ("text", text, features, furniture, inside an article, breaks).
+    """("tag", name, inside an article, inside its furniture) and ("text", text, features, furniture, inside an
+    article, breaks).
 
-    ``breaks``: a block begins here. Unclosed and stray tags are put up with: an end tag closes the
+    ``breaks``: a block begins here. An article that stands in no other is no furniture whatever its
+    wrappers are called, unless it is hidden. Unclosed and stray tags are put up with: an end tag closes the
     nearest open element of its name, a block closes an open paragraph, the page's end closes all.
     """
-    stack = [_Open("", False, False, (), False)]
+    stack = [_Open("", False, False, False, False, (), False)]
     raw, breaks = "", True
     for m in _TOKEN.finditer(page):
         end, name, more = m.group(1), m.group(2), m.group(3)
@@ -74,7 +76,7 @@ def tokens(page: str) -> Iterator[tuple]:
             breaks = True
         if end:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
-            yield "tag", "/" + name, stack[-1].article
+            yield "tag", "/" + name, stack[-1].article, stack[-1].out and stack[-1].kept
             if at:
                 del stack[at:]
             continue
@@ -82,7 +84,7 @@ def tokens(page: str) -> Iterator[tuple]:
             while len(stack) > 1 and (stack[-1].tag in _CLOSED_BY_BLOCK or stack[-1].tag in _INLINE and any(s.tag in _CLOSED_BY_BLOCK for s in stack)):
                 stack.pop()
         top = stack[-1]
-        yield "tag", name, top.article
+        yield "tag", name, top.article, top.out and top.kept
         if name == "br":
             yield "text", " ", [], top.out, top.article, False
         if name in _VOID or more.endswith("/") and name not in _HOLDS:
@@ -93,9 +95,11 @@ def tokens(page: str) -> Iterator[tuple]:
                 continue
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(more))
         hints = tuple(sorted({h.lower() for h in _HINT.findall(names)})) if name not in ("html", "body") else ()
-        out = name in _FURNITURE or name in _RAW or (name == "header" and not top.article) or bool(hints) and name not in _ARTICLE and name not in _INLINE or bool(_HIDDEN.search(more))
-        article = top.article or name in _ARTICLE or "main" in names.lower().split()
-        stack.append(_Open(name, top.out or out, article, top.hints + hints, top.link or name == "a"))
+        hidden = top.hidden or bool(_HIDDEN.search(more))
+        out = hidden or name in _FURNITURE or name in _RAW or (name == "header" and not top.article) or bool(hints) and name not in _ARTICLE and name not in _INLINE
+        marks = name in _ARTICLE or "main" in names.lower().split()
+        first = marks and not out and not top.kept
+        stack.append(_Open(name, out or top.out and not first, hidden, top.article or marks, top.kept or first, hints if first else top.hints + hints, top.link or name == "a"))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,12 +145,12 @@ def main_text(page: str | None, weights: dict[str, float], word: float = 1.0, ta
     begin, chosen, items = 0, (0, 0), []
     for t in tokens(page):
         if t[0] == "tag":
-            score = min(-0.05, max(-4.0, tag + min(0.0, weights.get("tag:" + t[1], 0.0)) / 4))
+            score = 0.0 if t[3] else min(-0.05, max(-4.0, tag + min(0.0, weights.get("tag:" + t[1], 0.0)) / 4))
             items.append(None)
         else:
             n = len(t[1].split())
             unit = word + sum(weights.get(f, hint if f.startswith("hint:") else link if f == "link" else 0.0) for f in t[2])
-            score = n * (max(-6.0, min(6.0, unit)) if not t[3] else min(-0.5, max(-6.0, unit)))
+            score = n * (max(-6.0, min(6.0, unit)) if not t[3] else 0.0 if t[4] else min(-0.5, max(-6.0, unit)))
             items.append((t[1], t[3], t[5]))
         if total <= 0:
             total, begin = 0.0, len(items) - 1

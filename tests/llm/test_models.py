@@ -146,6 +146,22 @@ def test_page_text(spark):
     assert main_text(PAGE.format("div"), {}).startswith("Head & line\nFirst para graph goes on\nSecond")
 
 
+def test_page_text_in_wrappers_and_around_furniture():
+    body = "<p>First words of it here</p><p>And the second ones</p>"
+    want = "First words of it here\nAnd the second ones"
+    for name in ("content has-sidebar", "no-sidebar", "with-header", "search-results", "page form tags"):
+        for tag in ("article", "main", "div role=main"):
+            page = f"<body><nav>Home Help</nav><div class='{name}'><{tag}>{body}</{tag.split()[0]}></div><footer>Bye now</footer></body>"
+            assert main_text(page, {}) == want, page
+    assert main_text(f"<div class='no-sidebar'>{body}</div>", {}) == want
+    assert main_text(f"<div style='display:none'><article>{body}</article></div>", {}) == ""
+    assert main_text(f"<article>{body}<div class=comments><article>Not this one of all the words</article></div></article>", {}) == want
+    for block in ("aside", "div class=share-bar"):
+        nested = f"<{block}><ul>" + "<li><a href=x>share it all now</a></li>" * 40 + f"</ul></{block.split()[0]}>"
+        page = f"<body><article><h1>Six words are in this head</h1>{nested}{body}{nested}<p>Some more at its end</p></article></body>"
+        assert main_text(page, {"hint:share": -9.0, "tag:aside": -6.0, "link": -3.0}) == f"Six words are in this head\n{want}\nSome more at its end"
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((12, 24))
