@@ -28,23 +28,35 @@ _FEATURES = "mean double, most double, excess double, n double"
 
 @dataclass(frozen=True)
 class Settings:
-    """``order``: characters of an n-gram. ``slots``: size of the hashed tables that go to executors,
-    a power of two; of n-grams that share a slot the commonest speaks. ``fit_rows``: at most so many
-    labelled rows fit the four weights of the logistic model. ``stand_out``: log ratio beyond which a
+    """``order``: characters of an n-gram. ``fit_rows``: at most so many labelled rows fit the four weights of the logistic model. ``stand_out``: log ratio beyond which a
     word counts as telling. ``broadcast_labels``: with more labels than that they are joined by shuffle."""
 
     order: int = 5
     discount: float = 0.75
-    slots: int = 2**21
     fit_rows: int = 20_000
     stand_out: float = 3.0
     broadcast_labels: int = 2_000_000
 
 
+@dataclass
+class Table:
+    """Values by the sorted 64-bit hashes of all keys; what is not in it has the value ``missing``."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    missing: float
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), self.missing, np.float64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at].astype(np.float64), self.missing)
+
+
 @dataclass
 class Model:
-    gram: np.ndarray
-    context: np.ndarray
+    gram: Table
+    context: Table
     settings: Settings
 
 
@@ -109,25 +121,30 @@ def language_models(labelled: DataFrame, settings: Settings) -> Model:
         seen = F.when(F.col(f"t{c}") > 0, F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / F.col(f"t{c}")).otherwise(0.0)
         return seen + back(c) * F.col("p_below")
 
-    def table(rows: DataFrame, key: str, value: Column, weight: str) -> np.ndarray:
-        slot = F.pmod(F.xxhash64(key), F.lit(settings.slots)).alias("slot")
-        held = rows.select(slot, value.alias("v"), F.struct(weight, key).alias("w")).groupBy("slot").agg(F.max_by("v", "w").alias("v")).toArrow()
-        out = np.full(settings.slots, np.nan, np.float32)
-        out[held["slot"].to_numpy()] = held["v"].to_numpy()
-        return out
+    def table(rows: DataFrame, key: str, value: Column, missing: float) -> Table:
+        held = rows.select(F.xxhash64(key).alias("k"), value.cast("float").alias("v")).toArrow()
+        keys, values = held["k"].to_numpy().view(np.uint64), held["v"].to_numpy()
+        order = np.argsort(keys)
+        return Table(keys[order], values[order], missing)
+
+    full = grams.withColumn("below", tail(settings.order - 2)).join(shared, ["below", "x"]).join(contexts, "h")
+    gram = table(full, "g", F.log(probability(1) / probability(0)), np.nan)
+    return Model(gram, table(contexts, "h", F.log(back(1) / back(0)), 0.0), settings)
+
 
-    full = grams.withColumn("below", tail(settings.order - 2)).join(shared, ["below", "x"]).join(contexts, "h").withColumn("n", F.col("n0") + F.col("n1"))
-    gram = table(full, "g", F.log(probability(1) / probability(0)), "n")
-    context = table(contexts.withColumn("n", F.col("t0") + F.col("t1")), "h", F.log(back(1) / back(0)), "n")
-    return Model(gram, np.nan_to_num(context), settings)
+def word_values(model: Model, words: list[str]) -> np.ndarray:
+    """Each word's value: its n-grams' log ratios, and for those not seen their contexts'."""
+    digest, grams = xxhash.xxh64_intdigest, [list(_grams(w, model.settings.order)) for w in words]
+    flat = [g for found in grams for g in found]
+    hashes = lambda texts: np.array([digest(t, 42) for t in texts], np.uint64)
+    v = model.gram.get(hashes(flat))
+    unseen = np.flatnonzero(np.isnan(v))
+    v[unseen] = model.context.get(hashes([flat[i][:-1] for i in unseen]))
+    return np.bincount(np.repeat(np.arange(len(words)), [len(found) for found in grams]), v, len(words))
 
 
 def word_value(model: Model, word: str) -> float:
-    total, mask, digest = 0.0, model.settings.slots - 1, xxhash.xxh64_intdigest
-    for g in _grams(word, model.settings.order):
-        v = model.gram[digest(g, 42) & mask]
-        total += v if v == v else model.context[digest(g[:-1], 42) & mask]
-    return float(total)
+    return float(word_values(model, [word])[0])
 
 
 def features(text: Column, model: Broadcast, cached_words: int = 300_000) -> Column:
@@ -144,8 +161,9 @@ def features(text: Column, model: Broadcast, cached_words: int = 300_000) -> Col
                 if words:
                     if len(known) > cached_words:
                         known.clear()
-                    for w in set(words).difference(known):
-                        known[w] = word_value(held, w)
+                    new = list(set(words).difference(known))
+                    if new:
+                        known.update(zip(new, word_values(held, new).tolist()))
                     v = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
                     out[i] = v.mean(), v.max(), np.maximum(v - line, 0).sum(), len(words)
             yield pd.DataFrame(out, columns=["mean", "most", "excess", "n"])
@@ -173,8 +191,8 @@ def score_toxicity(df: DataFrame, labelled_docs: DataFrame, labels: DataFrame, s
     """``df`` with ``score`` (double, 0 to 1, higher: likelier toxic), from every whole text.
 
     Learns from rows of ``labelled_docs`` (id, text) whose id has a row in ``labels`` (id, toxic) and
-    crc32(id as text) mod 3 other than 1; a fifth of them fits the logistic weights, the others the
-    language models. Of repeated labels the largest counts, null labels and ids count as none, null
+    crc32(id as text) mod 3 other than 1; a fifth of them, ``fit_rows`` ids at most, fits the logistic
+    weights, all others the language models. Of repeated labels the largest counts, null labels and ids count as none, null
     and empty texts have no words. Without labels of both classes every score is 0. A column named
     score is replaced.
     """
@@ -190,8 +208,13 @@ def score_toxicity(df: DataFrame, labelled_docs: DataFrame, labels: DataFrame, s
     unscored = given_rows.select(*unpacked(columns, ("score",)), F.lit(0.0).alias("score"))
     if labels.select("toxic").distinct().count() < 2:
         return unscored
+    many = labels.count() > 5 * settings.fit_rows
+    if many:
+        chosen = durable(rows.filter(fits).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(settings.fit_rows).withColumn("fit", F.lit(True)))
+        rows = rows.join(F.broadcast(chosen), "id", "left")
+        fits = F.coalesce("fit", F.lit(False))
     held = spark.sparkContext.broadcast(language_models(rows.filter(~fits).select("text", "toxic"), settings))
-    sample = rows.filter(fits).orderBy(F.xxhash64("id"), "id").limit(settings.fit_rows) if labels.count() > 5 * settings.fit_rows else rows.filter(fits)
+    sample = rows.filter(fits).orderBy(F.xxhash64("id"), "id").limit(settings.fit_rows) if many else rows.filter(fits)
     given = sample.select("toxic", features(F.col("text"), held).alias("f")).select("toxic", "f.*").toPandas()
     if given["toxic"].nunique() < 2:
         return unscored

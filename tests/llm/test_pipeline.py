@@ -5,10 +5,12 @@ import random
 import zlib
 from collections import Counter
 
+import xxhash
+
 import corpus_pipeline
 from folioframe.llm import pieces
 from folioframe.llm.simhash import fingerprint
-from folioframe.llm.toxicity import Settings, language_models, word_value
+from folioframe.llm.toxicity import Settings, _grams, language_models, word_value
 
 
 def plain_models(rows, order=5, d=0.75):
@@ -61,6 +63,32 @@ def test_language_models(spark):
         assert math.isclose(word_value(model, w), plain(w), abs_tol=1e-4)
 
 
+def test_language_models_keep_every_n_gram(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = [(" ".join(word() for _ in range(30)), int(i % 3 == 0)) for i in range(30)]
+    model, plain = language_models(spark.createDataFrame(rows, "text string, toxic int"), Settings()), plain_models(rows)
+    grams, slots = lambda w: set(_grams(w, 5)), {}
+    words = " ".join(t for t, _ in rows).split()
+    for g in set().union(*map(grams, words)):
+        slots.setdefault(xxhash.xxh64_intdigest(g, 42) % 2**21, []).append(g)
+    shared = {g for found in slots.values() if len(found) > 1 for g in found}
+    meeting = [w for w in words if grams(w) & shared]
+    assert len(meeting) > 5
+    for w in meeting + [word() for _ in range(20)]:
+        assert math.isclose(word_value(model, w), plain(w), abs_tol=1e-4)
+
+
+def test_language_models_learn_all_rows_outside_the_sample(spark, monkeypatch):
+    from folioframe.llm import toxicity
+
+    learned = []
+    monkeypatch.setattr(toxicity, "language_models", lambda rows, settings: learned.append(rows.count()) or language_models(rows, settings))
+    docs = spark.createDataFrame([(i, "some words" + " grawl" * (i % 2)) for i in range(600)], "doc_id long, text string")
+    toxicity.score_toxicity(docs, docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"), Settings(fit_rows=20))
+    assert learned == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(600)) - 20]
+
+
 def fixture(spark, folder):
     rng = random.Random(12)
     clean = [a + b + c for a in ("ta", "re", "no", "vi") for b in ("li", "mu", "se", "do") for c in ("n", "ra", "to")]
