@@ -2,8 +2,10 @@
 
 Every word and tag of a page gets a weight: words score positive where pages mark such places as
 their article, tags score negative. One linear scan finds the contiguous stretch with the largest
-sum; its blocks, without what is nested boilerplate (which costs an article nothing), are the text. The weights are log ratios of
-counts on labelled pages, which are the pages that mark their article themselves.
+sum; its blocks are the text. Class names and elements that hint at page furniture are weights too: a
+block whose hints outweigh its words is cut out of the stretch. Hints on what wraps the article don't
+count. The weights are log ratios of counts on labelled pages, which are the pages that mark their
+article themselves. A page takes time in proportion to its length, however malformed it is.
 """
 
 from __future__ import annotations
@@ -11,167 +13,289 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: A quote opens a value only behind "="; one that is never closed is a character like others.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)(?:>|\Z)|[^<]++|<", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|menus?|nav\w*|breadcrumbs?|pagination|pager"
-    r"|sidebars?|aside|widgets?|headers?|masthead|foot\w*|copyright|comments?|replies|respond|disqus|social|shar(?:e|es|ing)|follow|related|recommend\w*|newsletter|subscribe\w*"
-    r"|signup|login|search\w*|forms?|tags?|tracking|complementary|navigation|contentinfo|toolbar|skip\w*)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:"
+    r"(ads?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|menus?|breadcrumbs?|pagination|pager|sidebars?|aside|widgets?|headers?|masthead|copyright"
+    r"|replies|respond|disqus|social|shar(?:e|es|ing)|follow|related|newsletter|signup|login|forms?|tags?|tracking|complementary|contentinfo|toolbar)"
+    r"|(advert|sponsor|promo|nav|foot|comment|recommend|subscribe|search|skip)\w*)(?=$|[\s_-])",
     re.I,
 )
-#: Fixed values of HTML: elements that never hold text to read, that hold page furniture, that have no
-#: end tag, and that do not break a line of text.
+#: Fixed values of HTML: elements that never hold text to read, those of them that hold no markup, elements of
+#: page furniture, and elements that have no end tag, don't break a line of text, or do.
 _RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video head select option button datalist".split())
+_PLAIN = frozenset("script style noscript template textarea title iframe".split())
+_IN_HEAD = frozenset("title meta link script style base noscript template head".split())
 _FURNITURE = frozenset("nav aside footer form dialog menu fieldset".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
-_CLOSED_BY_BLOCK = frozenset("p".split())
-_ARTICLE = frozenset("article main".split())
+_INLINE = (_RAW - {"head"}) | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label link mark meta q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
+_BLOCK = frozenset("html body div section article main header p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary center".split())
 _HOLDS = frozenset("html body div section article main".split())
+#: An open element that a new one closes, unless one of the others was opened since.
+_CLOSES = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+_NAMED = _RAW | _FURNITURE | _VOID | _INLINE | _BLOCK
+#: Hints of blocks that may well be longer than the article, and so are never taken for its wrapper.
+_FIRM = frozenset("<nav> <aside> <footer> <dialog> <menu> comment replies respond disqus".split())
+_COMMENTS = frozenset("comment replies respond disqus".split())
+_HEADERS = frozenset("header headers masthead".split())
+_NONE: frozenset[str] = frozenset()
 
 
-class _Open:
-    __slots__ = ("tag", "out", "hidden", "article", "kept", "hints", "link")
+@lru_cache(4_096)
+def _attributes(more: str) -> tuple[frozenset[str], bool, bool]:
+    """(hints of furniture, invisible, role of main content) of a start tag's attributes."""
+    names, hidden, main, hints = [], False, False, set()
+    for name, a, b, c in _ATTRIBUTE.findall(more):
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role"):
+            names.append(value)
+            main = main or value.strip().lower() == "main"
+        elif name == "hidden" or name == "style" and _INVISIBLE.search(value):
+            hidden = True
+        elif name == "aria-hidden" and value.lower() == "true":
+            hints.add("aria-hidden")
+    for word, stem in _HINT.findall(" ".join(names)):
+        hints.add((word or stem).lower())
+    return frozenset(hints), hidden, main
 
-    def __init__(self, tag: str, out: bool, hidden: bool, article: bool, kept: bool, hints: tuple[str, ...], link: bool):
-        self.tag, self.out, self.hidden, self.article, self.kept, self.hints, self.link = tag, out, hidden, article, kept, hints, link
 
+class _Element:
+    __slots__ = ("parent", "tag", "hints", "hidden", "marks", "words", "active", "root", "link", "holder", "weight")
 
-def tokens(page: str) -> Iterator[tuple]:
-    """("tag", name, inside an article, inside its furniture) and ("text", text, features, furniture, inside an
-    article, breaks).
+    def __init__(self, parent: _Element | None, tag: str, hints: frozenset[str], hidden: bool, marks: str):
+        self.parent, self.tag, self.hints, self.hidden, self.marks, self.words = parent, tag, hints, hidden, marks, 0
+        self.active, self.root, self.link, self.holder, self.weight = _NONE, False, False, "", 0.0
 
-    ``breaks``: a block begins here. An article that stands in no other is no furniture whatever its
-    wrappers are called, unless it is hidden. Unclosed and stray tags are put up with: an end tag closes the
-    nearest open element of its name, a block closes an open paragraph, the page's end closes all.
+
+def _parse(page: str) -> tuple[list[_Element], list[tuple]]:
+    """The page's elements, parents first, and its tokens: (element, tag's name) and
+    (element, "", text, number of words, whether a block begins here).
+
+    An end tag closes the nearest open element of its name (one within a line none beyond its block), a
+    block closes an open paragraph, an item the item before it, the page's end everything.
     """
-    stack = [_Open("", False, False, False, False, (), False)]
-    raw, breaks = "", True
-    for m in _TOKEN.finditer(page):
-        end, name, more = m.group(1), m.group(2), m.group(3)
-        if name is None:
-            text = m.group(0)
-            if raw or (text.startswith("<") and len(text) > 1):
+    top = _Element(None, "", _NONE, False, "")
+    elements, found, stack, depths, blocks = [top], [], [top], defaultdict(list), [0]
+    breaks, at = True, 0
+
+    def close(to: int) -> None:
+        while len(stack) > to:
+            depths[stack.pop().tag].pop()
+            blocks.pop()
+
+    while at < len(page):
+        for m in _TOKEN.finditer(page, at):
+            end, name, more = m.group(1), m.group(2), m.group(3)
+            at = m.end()
+            if name is None:
+                text = m.group(0)
+                if not text.startswith("<") or len(text) == 1:
+                    n = len(text.split())
+                    found.append((stack[-1], "", text, n, breaks))
+                    stack[-1].words += n
+                    breaks = False
                 continue
-            top = stack[-1]
-            features = ["in:" + next((s.tag for s in reversed(stack) if s.tag not in _INLINE), "")]
-            features += ["link"] * top.link + ["article"] * top.article + [f"hint:{h}" for h in top.hints]
-            yield "text", text, features, top.out, top.article, breaks
-            breaks = False
-            continue
-        name = name.lower()
-        if raw:
-            if end and name == raw:
-                raw = ""
-            continue
-        if name not in _INLINE:
-            breaks = True
-        if end:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
-            yield "tag", "/" + name, stack[-1].article, stack[-1].out and stack[-1].kept
-            if at:
-                del stack[at:]
-            continue
-        if name not in _INLINE:
-            while len(stack) > 1 and (stack[-1].tag in _CLOSED_BY_BLOCK or stack[-1].tag in _INLINE and any(s.tag in _CLOSED_BY_BLOCK for s in stack)):
-                stack.pop()
-        top = stack[-1]
-        yield "tag", name, top.article, top.out and top.kept
-        if name == "br":
-            yield "text", " ", [], top.out, top.article, False
-        if name in _VOID or more.endswith("/") and name not in _HOLDS:
-            continue
-        if name in _RAW:
-            raw = name if name in ("script", "style", "textarea", "title", "iframe", "noscript", "template") else ""
-            if raw:
+            name = name.lower()
+            inline = name in _INLINE
+            if not inline:
+                breaks = True
+            known = name if name in _NAMED else "other"
+            if end:
+                if name not in _PLAIN:
+                    found.append((stack[-1], "/" + known))
+                if depths[name] and (not inline or blocks[-1] == blocks[depths[name][-1]]):
+                    close(depths[name][-1])
                 continue
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(more))
-        hints = tuple(sorted({h.lower() for h in _HINT.findall(names)})) if name not in ("html", "body") else ()
-        hidden = top.hidden or bool(_HIDDEN.search(more))
-        out = hidden or name in _FURNITURE or name in _RAW or (name == "header" and not top.article) or bool(hints) and name not in _ARTICLE and name not in _INLINE
-        marks = name in _ARTICLE or "main" in names.lower().split()
-        first = marks and not out and not top.kept
-        stack.append(_Open(name, out or top.out and not first, hidden, top.article or marks, top.kept or first, hints if first else top.hints + hints, top.link or name == "a"))
+            if stack[-1].tag == "head" and name not in _IN_HEAD:
+                close(len(stack) - 1)
+            if not inline and depths["p"] and blocks[-1] == blocks[depths["p"][-1]]:
+                close(depths["p"][-1])
+            if name in _CLOSES:
+                mine, over = (max((depths[x][-1] for x in names if depths[x]), default=0) for names in _CLOSES[name])
+                if mine > over:
+                    close(mine)
+            if name not in _PLAIN:
+                found.append((stack[-1], known))
+            if name == "br":
+                found.append((stack[-1], "", " ", 0, False))
+            if name in _VOID or name not in _HOLDS and _SELF_CLOSED.search(more):
+                continue
+            if name in _PLAIN:
+                last = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+                at = last.start() if last else len(page)
+                break
+            hints, hidden, main = _attributes(more) if more else (_NONE, False, False)
+            marks = name if name in ("article", "main") else "main" if main else ""
+            if marks:
+                hints = hints & _COMMENTS
+            elif inline or name in ("html", "body"):
+                hints = _NONE
+            if name in _FURNITURE:
+                hints = hints | {f"<{name}>"}
+            elif name == "header":
+                hints = hints | {"header"}
+            e = _Element(stack[-1], name, hints, hidden or name in _RAW, marks)
+            depths[name].append(len(stack))
+            blocks.append(blocks[-1] + (not inline))
+            elements.append(e)
+            stack.append(e)
+    return elements, found
+
+
+def _settle(elements: list[_Element]) -> bool:
+    """Which hints count where, and what the marked article is; whether there is one.
+
+    The roots are the articles that stand in no other and in no comments, or else such main elements. A hint doesn't
+    count on what holds the only roots, nor, unless it is firm, on what holds over half of the page's
+    words; in a root a header's doesn't.
+    """
+    for e in elements:
+        e.hidden = e.hidden or e.parent is not None and e.parent.hidden
+        e.link = e.tag == "a" or e.parent is not None and e.parent.link
+        e.holder = (e.tag if e.tag in _NAMED or not e.tag else "other") if e.tag not in _INLINE else e.parent.holder
+    for e in reversed(elements):
+        if e.parent is not None and not e.hidden:
+            e.parent.words += e.words
+    roots: list[_Element] = []
+    for kind in ("article", "main"):
+        inside: dict[int, tuple[bool, bool]] = {}
+        clear: list[_Element] = []
+        wrapped: list[_Element] = []
+        for e in elements:
+            within, hinted = inside[id(e.parent)] if e.parent is not None else (False, False)
+            hinted = hinted or bool(e.hints)
+            if e.marks == kind and not within and not e.hidden and not e.hints & _COMMENTS:
+                (wrapped if hinted else clear).append(e)
+                within = True
+            inside[id(e)] = within, hinted
+        roots = clear or [max(wrapped, key=lambda e: e.words)] if clear or wrapped else []
+        if roots:
+            break
+    holders: set[int] = set()
+    for e in roots:
+        e.root = True
+        up = e.parent
+        while up is not None and id(up) not in holders:
+            holders.add(id(up))
+            up = up.parent
+    half = elements[0].words / 2
+    for e in elements[1:]:
+        up = e.parent
+        own = e.hints
+        if e.root or id(e) in holders:
+            own = _NONE
+        elif own and e.words > half:
+            own = own & _FIRM
+        if own and up.root:
+            own = own - _HEADERS
+        e.active = up.active if own <= up.active else up.active | own
+        e.root = e.root or up.root
+    return bool(roots)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How often each feature stands at a word, and each tag, in and out of the marked article. Words in
-    page furniture count for its hints alone: a list in a menu says nothing about lists."""
+    """How often each feature stands at a word, and each tag, in and out of the marked article. Words with
+    hints count as out, and for their hints alone: a list in a menu says nothing about lists."""
     for batch in batches:
         found: Counter = Counter()
         for page in batch["html"]:
             if not page:
                 continue
-            seen = list(tokens(page))
-            if not any(t[-2] if t[0] == "text" else t[2] for t in seen):
+            elements, seen = _parse(page)
+            if not _settle(elements):
                 continue
             for t in seen:
-                if t[0] == "tag":
-                    found["tag:" + t[1], t[2]] += 1
+                e = t[0]
+                if e.hidden:
+                    continue
+                if t[1]:
+                    if not e.active:
+                        found["tag:" + t[1], e.root] += 1
+                elif e.active:
+                    for h in e.active:
+                        found["hint:" + h, False] += t[3]
                 else:
-                    n = len(t[1].split())
-                    for f in t[2]:
-                        if not t[3] or f.startswith("hint:"):
-                            found[f, t[4] and not t[3]] += n
+                    for f in _features(e):
+                        found[f, e.root] += t[3]
         keys = list(found)
         yield pd.DataFrame({"feature": [k[0] for k in keys], "inside": [bool(k[1]) for k in keys], "n": [found[k] for k in keys]})
 
 
-def learn_weights(pages: DataFrame, html_col: str = "html", prior: float = 2.0, most_features: int = 5_000) -> dict[str, float]:
+def _features(e: _Element) -> list[str]:
+    return ["in:" + e.holder] + ["link"] * e.link + ["article"] * e.root
+
+
+def learn_weights(pages: DataFrame, html_col: str = "html", prior: float = 2.0) -> dict[str, float]:
     """Log ratios of the features' counts in and out of marked articles, over all labelled pages.
 
-    A page is labelled if it marks an article or main element. Names of elements and hints that HTML
-    knows are few; of made-up element names the ``most_features`` commonest have weights."""
+    A page is labelled if it marks an article or main element. Features are HTML's elements and the
+    stems of hints, so they are a few hundred whatever the pages hold; other elements are one feature."""
     rows = pages.select(F.col(f"`{html_col}`").alias("html")).mapInPandas(_count, "feature string, inside boolean, n long")
-    kept = rows.groupBy("feature").agg(F.sum(F.expr("IF(inside, n, 0)")).alias("a"), F.sum(F.expr("IF(inside, 0, n)")).alias("b")).orderBy(F.desc(F.col("a") + F.col("b")), "feature").limit(most_features)
-    found = {r["feature"]: (r["a"], r["b"]) for r in kept.collect()}
-    return {f: math.log((a + prior) / (b + prior)) for f, (a, b) in found.items()}
+    counts = rows.groupBy("feature").agg(F.sum(F.expr("IF(inside, n, 0)")).alias("a"), F.sum(F.expr("IF(inside, 0, n)")).alias("b"))
+    return {r["feature"]: math.log((r["a"] + prior) / (r["b"] + prior)) for r in counts.collect()}
 
 
-def main_text(page: str | None, weights: dict[str, float], word: float = 1.0, tag: float = -0.5, hint: float = -2.0, link: float = -1.2) -> str:
+def main_text(page: str | None, weights: dict[str, float], word: float = 1.0, tag: float = -0.5, hint: float = -2.0, link: float = -1.2, cut: float = -0.5) -> str:
     """Blocks of the best stretch, each on one line. ``word``, ``tag``, ``hint`` and ``link`` are the
-    weights of a word, a tag, a hint of furniture and a link before anything was learned."""
+    weights of a word, a tag, a hint of furniture and a link before anything was learned. A word whose hints
+    outweigh it is cut, and costs ``cut``, or nothing in a marked article."""
     if not page:
         return ""
+    elements, seen = _parse(page)
+    _settle(elements)
+    for e in elements:
+        if e.active:
+            unit = word + sum(weights.get("hint:" + h, hint) for h in e.active)
+        else:
+            unit = word + sum(weights.get(f, link if f == "link" else 0.0) for f in _features(e))
+        e.weight = max(-6.0, min(6.0, unit))
+    tags = {t: min(-0.05, max(-4.0, tag + min(0.0, weights.get("tag:" + t, 0.0)) / 4)) for t in {t[1] for t in seen}}
     best = total = 0.0
-    begin, chosen, items = 0, (0, 0), []
-    for t in tokens(page):
-        if t[0] == "tag":
-            score = 0.0 if t[3] else min(-0.05, max(-4.0, tag + min(0.0, weights.get("tag:" + t[1], 0.0)) / 4))
-            items.append(None)
+    begin, chosen = 0, (0, 0)
+    for at, t in enumerate(seen):
+        e = t[0]
+        if e.hidden:
+            score = 0.0
+        elif t[1]:
+            score = 0.0 if e.active else tags[t[1]]
+        elif e.active and e.weight < 0:
+            score = 0.0 if e.root else cut * t[3]
         else:
-            n = len(t[1].split())
-            unit = word + sum(weights.get(f, hint if f.startswith("hint:") else link if f == "link" else 0.0) for f in t[2])
-            score = n * (max(-6.0, min(6.0, unit)) if not t[3] else 0.0 if t[4] else min(-0.5, max(-6.0, unit)))
-            items.append((t[1], t[3], t[5]))
+            score = e.weight * t[3]
         if total <= 0:
-            total, begin = 0.0, len(items) - 1
+            total, begin = 0.0, at
         total += score
         if total > best:
-            best, chosen = total, (begin, len(items))
+            best, chosen = total, (begin, at + 1)
     blocks: list[list[str]] = []
-    for i, item in enumerate(items[: chosen[1]]):
-        if item is None or item[1]:
+    for at, t in enumerate(seen[: chosen[1]]):
+        e = t[0]
+        if t[1] or e.hidden or e.active and e.weight < 0:
             continue
-        if item[2] or not blocks or i == chosen[0]:
+        if t[4] or not blocks or at == chosen[0]:
             blocks.append([])
-        if i >= chosen[0]:
-            blocks[-1].append(item[0])
+        if at >= chosen[0]:
+            blocks[-1].append(t[2])
     lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 
 
 def extract(pages: DataFrame, html_col: str = "html", weights: dict[str, float] | None = None) -> Column:
     """The main text as a column. Null and empty pages, and pages without a stretch that scores above
-    zero, give an empty string; equal pages give equal texts; whole pages are read however long."""
+    zero, give an empty string; equal pages give equal texts; whole pages are read however long.
+    Without ``weights`` a job over ``pages`` learns them first."""
     learned = learn_weights(pages, html_col) if weights is None else weights
 
     @F.pandas_udf("string")

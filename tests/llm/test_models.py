@@ -149,10 +149,14 @@ def test_page_text(spark):
 def test_page_text_in_wrappers_and_around_furniture():
     body = "<p>First words of it here</p><p>And the second ones</p>"
     want = "First words of it here\nAnd the second ones"
-    for name in ("content has-sidebar", "no-sidebar", "with-header", "search-results", "page form tags"):
-        for tag in ("article", "main", "div role=main"):
-            page = f"<body><nav>Home Help</nav><div class='{name}'><{tag}>{body}</{tag.split()[0]}></div><footer>Bye now</footer></body>"
+    names = ("content has-sidebar", "no-sidebar", "with-header", "search-results", "page form tags", "layout has-sidebar", "no-comments", "content-search", "tags", "flex hidden lg:block")
+    for name in names:
+        for inner in (body, *(f"<{tag}>{body}</{tag.split()[0]}>" for tag in ("article", "main", "div role=main"))):
+            page = f"<body class='search has-sidebar'><nav>Home Help</nav><div class='{name}'>{inner}</div><footer>Bye now</footer></body>"
             assert main_text(page, {}) == want, page
+    for inner in (body, f"<article>{body}</article>"):
+        assert main_text(f"<form id=aspnetForm action=x/><div class=nav>Home all</div>{inner}<div class=footer>bye</div></form>", {}) == want
+        assert main_text(f"<body>{inner}<div id=comments><article class=comment><p>{'A reader says more words. ' * 20}</p></article></div>", {}) == want
     assert main_text(f"<div class='no-sidebar'>{body}</div>", {}) == want
     assert main_text(f"<div style='display:none'><article>{body}</article></div>", {}) == ""
     assert main_text(f"<article>{body}<div class=comments><article>Not this one of all the words</article></div></article>", {}) == want
@@ -162,6 +166,25 @@ def test_page_text_in_wrappers_and_around_furniture():
         assert main_text(page, {"hint:share": -9.0, "tag:aside": -6.0, "link": -3.0}) == f"Six words are in this head\n{want}\nSome more at its end"
 
 
+def test_malformed_pages_take_linear_time():
+    import time
+
+    pages = ["<a " * 300_000 + '"', "<div>" * 8_000 + "</b>" * 200_000, "<div>" * 100_000 + "</b>" * 100_000, "<div class=ad>" * 70_000 + "x", "<i><div>" + "<b>" * 150_000 + "</i>" * 150_000,
+             '<a href="x>y ' * 80_000 + "'", "<b>x " * 200_000, "<" * 1_000_000, "<script>" * 120_000, "<!--" * 250_000, "<li class=ad>x " * 60_000, "<a ='" * 200_000]
+    for page in pages:
+        began = time.perf_counter()
+        main_text(page, {})
+        assert time.perf_counter() - began < 20, page[:20]
+
+
+def test_pages_of_odd_markup():
+    assert main_text("<p>a <script>if (a < b) '<p class=\"'</script>b</p>", {}) == "a b"
+    assert main_text("<ul><li class=ad>buy this<li>one two<li>three four</ul>", {}) == "one two\nthree four"
+    assert main_text("<p>x <a href=http://e.org/>y</a> z w v</p>", {}) == "x y z w v"
+    assert main_text("<article><div class=article-header><h1>A b</h1></div><p>c d</article>", {}) == "A b\nc d"
+    assert main_text("<head><title>t</title><p>one two three", {}) == "one two three"
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((12, 24))
