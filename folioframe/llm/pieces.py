@@ -2,13 +2,13 @@
 
 A text is a space mark, then the text with spaces as marks. No piece of the vocabulary has a mark
 behind another character, nor a line end, so the segmentation is that of each marked word. Distinct
-words are sorted, so that neighbours share prefixes like a trie in depth-first order, and a word
-reuses the forward states of the prefix that it shares with the word before it.
+words are sorted, which walks their trie depth-first: a word takes over the forward scores and back
+pointers of the prefix that it shares with the word before it.
 
-The vocabulary's scores are ranks of merges, not log-likelihoods, so the best path has to be the one
-that merging by rank ends at. A path is that one exactly if each two neighbours, taken alone, merge
-to themselves again. The search gives all other steps no score, which leaves one path for each
-prefix; its pieces are those that the sentencepiece library returns.
+A path's score is the sum of its steps'. With log-likelihoods as scores (a unigram model) a step's is its
+piece's. Where the scores are ranks of merges, the best path has to be the one that merging by rank ends at; it
+is that one exactly if each two neighbours, taken alone, merge to themselves again. So there a step's
+score is 0 if it fits the piece before it, else minus infinity, and one path is left for each prefix.
 """
 
 from __future__ import annotations
@@ -33,44 +33,54 @@ _MARKED = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
 class Vocabulary:
-    """Pieces with scores; characters outside them become byte pieces, so nothing is ever lost."""
+    """Pieces with scores; characters outside them become byte pieces, so nothing is ever lost.
+
+    ``pieces`` are (text, score, id), ``byte_ids`` the ids of the 256 byte pieces. ``merges`` says
+    whether scores are merge ranks, 0, -1, -2 and so on, or log-likelihoods."""
+
+    def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: list[int], merges: bool):
+        for piece, _, _ in pieces:
+            if MARK in piece.lstrip(MARK) or "\n" in piece:
+                raise ValueError("a piece crosses marked words")
+        self.merges = merges
+        self.scores = {x: (score, i) for x, score, i in pieces}
+        self.bytes_of = {i: x.replace(MARK, " ").encode() for x, _, i in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        #: The two parts that a piece is merged from; a piece that merging never makes has none.
+        self.rank, self.parts = {x: -1.0 for x in self.scores}, {}
+        if merges:
+            ranked = sorted((x for x in self.scores if len(x) > 1), key=lambda x: -self.scores[x][0])
+            self.rank |= {x: -self.scores[x][0] for x in ranked}
+            for x in ranked:
+                found = next(((x[:i], x[i:]) for i in range(1, len(x)) if self._whole(x[:i]) and self._whole(x[i:]) and self.fits(x[:i], x[i:], self.rank[x])), None)
+                if found:
+                    self.parts[x] = found
+        code = lambda i: np.int32(i).tobytes()
+        usable = {x: (code(i), x, {}, score) for x, (score, i) in self.scores.items() if not merges or self._whole(x)}
+        #: Usable pieces as (bytes of the id, text, which pieces may follow as found out so far, score), and all
+        #: other ends of pieces with nothing: beyond what is not there no longer piece can end.
+        self.tails: dict[str, tuple] = {x[i:]: () for x in usable for i in range(len(x))} | usable
+        self.usable, self.pairs = list(usable.values()), 0
+        self.byte_codes = [code(i) for i in byte_ids]
+        #: The score of a character that has to be written as bytes.
+        self.raw_score = 0.0 if merges else min((score for score, _ in self.scores.values()), default=0.0) - 10.0
+        #: Words met lately, and those met before them.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __init__(self, model: str = MODEL):
+    @classmethod
+    def read(cls, model: str = MODEL) -> Vocabulary:
+        """The vocabulary of a model file, whose scores are taken for merge ranks if all are whole numbers."""
         import sentencepiece
 
         given = sentencepiece.SentencePieceProcessor(model_file=model)
-        n = given.get_piece_size()
-        self.scores: dict[str, tuple[float, int]] = {}
-        self.bytes_of, self.byte_ids = [b""] * n, [0] * 256
-        for i in range(n):
+        pieces, byte_ids = [], [0] * 256
+        for i in range(given.get_piece_size()):
             piece = given.id_to_piece(i)
             if given.is_byte(i):
-                self.byte_ids[int(piece[1:-1], 16)] = i
-                self.bytes_of[i] = bytes([int(piece[1:-1], 16)])
+                byte_ids[int(piece[1:-1], 16)] = i
             elif not (given.is_control(i) or given.is_unknown(i) or given.is_unused(i)):
-                if MARK in piece.lstrip(MARK) or "\n" in piece:
-                    raise ValueError("a piece crosses marked words")
-                self.scores[piece] = (given.get_score(i), i)
-                self.bytes_of[i] = piece.replace(MARK, " ").encode()
-        ranked = sorted((x for x in self.scores if len(x) > 1), key=lambda x: -self.scores[x][0])
-        self.rank = {x: -1.0 for x in self.scores} | {x: -self.scores[x][0] for x in ranked}
-        #: The two parts that a piece is merged from; a piece that merging never makes has none.
-        self.parts: dict[str, tuple[str, str]] = {}
-        for x in ranked:
-            found = next(((x[:i], x[i:]) for i in range(1, len(x)) if self._whole(x[:i]) and self._whole(x[i:]) and self.fits(x[:i], x[i:], self.rank[x])), None)
-            if found:
-                self.parts[x] = found
-        code = lambda i: np.int32(i).tobytes()
-        #: Pieces that merging can make, as bytes of their numbers; what may follow which, as found out so far.
-        self.coded = {x: code(i) for x, (_, i) in self.scores.items() if self._whole(x)}
-        #: The same, and all ends of pieces without bytes: where a longer piece can't end any more.
-        self.tails = {x[i:]: b"" for x in self.coded for i in range(len(x))} | self.coded
-        self.byte_codes = [code(i) for i in self.byte_ids]
-        self.after: dict[str, dict[str, bool]] = {}
-        self.pairs = 0
-        #: Words met lately, and those met before them.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+                pieces.append((piece, given.get_score(i), i))
+        return cls(pieces, byte_ids, all(score == int(score) for _, score, _ in pieces))
 
     def _whole(self, piece: str) -> bool:
         return len(piece) == 1 or piece in self.parts
@@ -90,15 +100,25 @@ class Vocabulary:
             else:
                 return True
 
+    def _allowed(self, left: tuple, piece: str) -> bool:
+        """Whether ``piece`` may follow ``left``; what was found out is kept, up to a bounded number of pairs."""
+        follows = left[2]
+        fit = follows.get(piece)
+        if fit is None:
+            if self.pairs > 300_000:
+                for x in self.usable:
+                    x[2].clear()
+                self.pairs = 0
+            fit = follows[piece] = self.fits(left[1], piece)
+            self.pairs += 1
+        return fit
+
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """The pieces of each word, as 32-bit numbers.
 
-        A forward state is (bytes of the prefix's pieces, its last piece, which pieces may follow)."""
-        out, tails, fits, after = {}, self.tails.get, self.fits, self.after
-        if self.pairs > 300_000:
-            after.clear()
-            self.pairs = 0
-        states: list[tuple] = [(b"", "", None)]
+        ``states[end]`` is the best path to ``end``: (its score, where its last piece starts, that piece)."""
+        out, tails, merges = {}, self.tails.get, self.merges
+        states: list[tuple] = [(0.0, 0, None)]
         before = ""
         for word in sorted(words):
             shared = 0
@@ -110,31 +130,34 @@ class Vocabulary:
             for end in range(shared + 1, len(word) + 1):
                 found = []
                 for start in range(end - 1, -1, -1):
-                    piece = word[start:end]
-                    code = tails(piece)
-                    if code:
-                        found.append((start, piece, code))
-                    elif code is None:
+                    piece = tails(word[start:end])
+                    if piece:
+                        found.append((start, piece))
+                    elif piece is None:
                         break
-                while found:
-                    start, piece, code = found.pop()
-                    prefix, left, follows = states[start]
-                    if follows is not None:
-                        fit = follows.get(piece)
-                        if fit is None:
-                            fit = follows[piece] = fits(left, piece)
-                            self.pairs += 1
-                        if not fit:
-                            continue
-                    follows = after.get(piece)
-                    if follows is None:
-                        follows = after[piece] = {}
-                    states.append((prefix + code, piece, follows))
-                    break
+                best = None
+                if merges:
+                    # One step at most fits, and the long ones are the likelier.
+                    for start, piece in reversed(found):
+                        left = states[start][2]
+                        if left is None or not left[1] or self._allowed(left, piece[1]):
+                            best = (states[start][0], start, piece)
+                            break
                 else:
+                    for start, piece in found:
+                        score = states[start][0] + piece[3]
+                        if best is None or score >= best[0]:
+                            best = (score, start, piece)
+                score = states[end - 1][0] + self.raw_score
+                if best is None or best[0] < score:
                     raw = MARK if word[end - 1] == _OWN_MARK else word[end - 1]
-                    states.append((states[end - 1][0] + b"".join(self.byte_codes[b] for b in raw.encode("utf-8", "surrogatepass")), "", None))
-            out[word] = states[len(word)][0]
+                    best = (score, end - 1, (b"".join(self.byte_codes[b] for b in raw.encode("utf-8", "surrogatepass")), ""))
+                states.append(best)
+            codes, at = [], len(word)
+            while at:
+                _, at, piece = states[at]
+                codes.append(piece[0])
+            out[word] = b"".join(reversed(codes))
             before = word
         return out
 
@@ -148,7 +171,7 @@ def _marked(text: str) -> list[str]:
 
 def load(spark: SparkSession, model: str = MODEL) -> Broadcast:
     """The vocabulary for the executors: of fixed size, a few MB."""
-    return spark.sparkContext.broadcast(Vocabulary(model))
+    return spark.sparkContext.broadcast(Vocabulary.read(model))
 
 
 def _encoded(texts: pd.Series, words: Vocabulary, chunk_chars: int, cached_words: int) -> Iterator[list[np.ndarray | None]]:

@@ -72,7 +72,7 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = docs.select("doc_id", encode_and_check(F.col("text"), load(spark)).alias("e"))
-    return coded.select("doc_id", F.size("e.ids").alias("n_pieces"), "e.ids", "e.same")
+    return coded.select("doc_id", F.when(F.col("e.ids").isNotNull(), F.size("e.ids")).alias("n_pieces"), "e.ids", "e.same")
 
 
 def op8_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

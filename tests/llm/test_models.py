@@ -38,6 +38,51 @@ def test_pieces_are_the_librarys(spark, library):
     assert df.limit(0).select(pieces.encode(F.col("text"), held)).count() == 0
 
 
+def best_splits(word, scores, raw):
+    """The best score of all ways to cut a word, and those ways."""
+    best, ways = [0.0], [[[]]]
+    for end in range(1, len(word) + 1):
+        options = [(best[start] + scores[word[start:end]], start, word[start:end]) for start in range(end) if word[start:end] in scores]
+        options.append((best[end - 1] + raw, end - 1, None))
+        top = max(o[0] for o in options)
+        best.append(top)
+        ways.append([w + [p] for score, start, p in options if score == top for w in ways[start]])
+    return best[-1], ways[-1]
+
+
+def test_unigram_scores_take_the_best_path():
+    rng = random.Random(11)
+    for _ in range(20):
+        made = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(25)} | {"▁", "▁a", "▁bc"}
+        scores = {p: float(-rng.randint(1, 40)) / 4 - 0.1 for p in sorted(made)}
+        vocabulary = pieces.Vocabulary([(p, s, 300 + i) for i, (p, s) in enumerate(scores.items())], list(range(256)), merges=False)
+        names = {300 + i: p for i, p in enumerate(scores)}
+        words = {"▁" + "".join(rng.choice("abcd") for _ in range(rng.randint(0, 9))) for _ in range(60)}
+        for word, code in vocabulary.encode_words(words).items():
+            ids, path = np.frombuffer(code, np.int32).tolist(), []
+            while ids:
+                if ids[0] >= 300:
+                    path.append(names[ids.pop(0)])
+                else:
+                    size = len(word[sum(len(p or "x") for p in path)].encode())
+                    path.append(None)
+                    del ids[:size]
+            _, ways = best_splits(word, scores, min(scores.values()) - 10)
+            assert path in ways
+
+
+def test_one_word_of_a_million_characters(library):
+    import resource
+
+    vocabulary, rng = pieces.Vocabulary.read(), random.Random(5)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/", k=1_000_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    code = vocabulary.encode_words({"▁" + word, "▁" + word[:500_000]})["▁" + word]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    assert vocabulary.decode(np.frombuffer(code, np.int32).tolist()) == word
+    assert np.frombuffer(vocabulary.encode_words({"▁" + word[:3_000]})["▁" + word[:3_000]], np.int32).tolist() == library.encode(word[:3_000])
+
+
 def plain_smith_waterman(a, b, how):
     best, row = 0, [0] * (len(b) + 1)
     for x in a:
