@@ -1,8 +1,10 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every word n-gram of a test item is a seed, however common, so an edited copy is met wherever one
-n-gram of it is whole. An item is aligned with the words around each seed found, unless too few of
-them are the item's for the score to suffice. All of it is narrow: text never crosses the network.
+The seeds of the test items join the training texts inside the scan of the texts: a block of items, of
+bounded size, is broadcast as a sorted table of its n-grams. Every word n-gram of an item is a seed, rare or
+common, so an edited copy is met wherever one n-gram of it is whole. An item is aligned with the passages
+around its seeds, unless too few of their words are the item's for the score to suffice; that leaves out
+what only common n-grams join. All of it is narrow: text never crosses the network.
 """
 
 from __future__ import annotations
@@ -54,8 +56,12 @@ class _Items:
         item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
         order = np.lexsort((place, item, keys))
-        self.occurrence_key, self.item, self.place = keys[order], item[order], place[order]
-        self.seeds, self.first = np.unique(self.occurrence_key, return_index=True)
+        keys, item, place = keys[order], item[order], place[order]
+        # Of an n-gram that an item repeats, the first and the last place: the passages between are one.
+        same = (keys[1:] == keys[:-1]) & (item[1:] == item[:-1])
+        ends = ~(np.append(False, same) & np.append(same, False)) if len(keys) else np.zeros(0, bool)
+        self.item, self.place = item[ends], place[ends]
+        self.seeds, self.first = np.unique(keys[ends], return_index=True)
 
     def keys(self, words: np.ndarray) -> np.ndarray:
         n, base = self.how.seed_words, len(self.vocab) + 1
@@ -87,22 +93,39 @@ class _Items:
         hit = self.seeds[where] == key
         return words, at[hit], where[hit]
 
-    def regions(self, words: np.ndarray, at: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-        """(item, words, start) around the seeds found: overlapping stretches of an item are one. Each
-        equal pair of words scores ``match`` at most, so stretches with too few words of the item are left out."""
+    def regions(self, words: np.ndarray, at: np.ndarray, which: np.ndarray, at_once: int = 500_000) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(item, words, start): passages around the seeds found, ``at_once`` pairs of seeds at a time.
+
+        Overlapping passages of an item are one; one longer than four times what an alignment can cover
+        comes in stretches that overlap by as much. Each equal pair of words scores ``match`` at most, so
+        passages with too few words of the item are left out."""
         last = np.append(self.first, len(self.item))
-        n = last[which + 1] - last[which]
-        occurrence = np.repeat(last[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.item[occurrence], np.repeat(at, n) - self.place[occurrence]
-        for i in np.unique(item):
-            length = len(self.words[i])
-            slack = max(8, length // 2)
-            starts = np.unique(np.maximum(diagonal[item == i] - slack, 0))
-            cut = np.flatnonzero(np.diff(starts) > length + 2 * slack) + 1
-            for part in np.split(starts, cut):
-                near = words[part[0] : part[-1] + length + 2 * slack]
-                if np.isin(near, self.words[i]).sum() * self.how.match >= self.how.lowest(length):
-                    yield int(i), near, int(part[0])
+        many = last[which + 1] - last[which]
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(many) // at_once)) + 1):
+            n = many[part]
+            occurrence = np.repeat(last[which[part]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item, diagonal = self.item[occurrence], np.repeat(at[part], n) - self.place[occurrence]
+            order = np.lexsort((diagonal, item))
+            item, diagonal = item[order], diagonal[order]
+            for group in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+                yield from self._of_item(int(item[group[0]]), words, np.unique(diagonal[group]))
+
+    def _of_item(self, i: int, words: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        how, length = self.how, len(self.words[i])
+        lowest = how.lowest(length)
+        # More words than these an alignment of at least the lowest score can't cover.
+        covers = length + int((how.match * length - lowest) / -how.gap) + 1
+        slack = max(8, length // 2)
+        starts = np.maximum(diagonal - slack, 0)
+        for part in np.split(starts, np.flatnonzero(np.diff(starts) > length + 2 * slack) + 1):
+            begin, end = int(part[0]), int(part[-1]) + length + 2 * slack
+            step = 3 * max(covers, length + 2 * slack)
+            near = words[begin:end]
+            held = np.append(0, np.cumsum(np.isin(near, self.words[i])))
+            for at in range(0, max(1, len(near) - step // 3), step):
+                stop = min(len(near), at + step + step // 3)
+                if (held[stop] - held[at]) * how.match >= lowest:
+                    yield i, near[at:stop], begin + at
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray], how: Alignment) -> list[tuple[int, int]]:
@@ -126,17 +149,12 @@ def align(items: list[np.ndarray], texts: list[np.ndarray], how: Alignment) -> l
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int) -> Iterator[list[tuple]]:
-    """The items in blocks of at most ``most_words`` words (or one item), so a broadcast is bounded."""
-    block, n = [], 0
-    for row in benchmark.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).toLocalIterator():
-        words = len(row[1] or "") // 2 + 1
-        if block and n + words > most_words:
-            yield block
-            block, n = [], 0
-        block.append((row[0], row[1]))
-        n += words
-    if block:
-        yield block
+    """The items in blocks of about ``most_words`` words, dealt by hash, so that a broadcast is bounded."""
+    items = benchmark.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    words = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
+    blocks = int(-(-words // most_words))
+    for block in range(blocks):
+        yield sorted((tuple(r) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()), key=repr)
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, how: Alignment = Alignment(), text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", most_words: int = 400_000) -> Column:
@@ -144,7 +162,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, how: Alignment = Alignment(), tex
 
     Words are lower-cased runs of letters and digits. ``score`` is the alignment's score as a share of
     the item's best possible one, ``end_word`` the text's word after the alignment. A benchmark of any
-    size goes through in blocks of ``most_words`` words. Items of fewer than ``seed_words`` words, null
+    size goes through in blocks of ``most_words`` words, in one scan of ``df``; reading them is a job of its own.
+    Of equal scores the first in the text counts. Items of fewer than ``seed_words`` words, null
     or empty items and texts match nothing; repeated items are each reported; equal texts give equal
     results. A copy in which every run of ``seed_words`` words is edited has no seed and is not met.
     """
@@ -166,29 +185,34 @@ def _searcher(items: Broadcast, shape: str):
     return search
 
 
-def _search(items: _Items, texts: pd.Series) -> list[list[dict]]:
+def _search(items: _Items, texts: pd.Series, at_once: int = 300_000) -> list[list[dict]]:
+    """What ``leaks`` finds in each text. Alignments wait for each other until their passages have
+    ``at_once`` words, and then go in groups of like widths, which bounds the memory of a group."""
     how, out, waiting, cells = items.how, [{} for _ in range(len(texts))], [], 0
 
     def finish() -> None:
-        if waiting:
-            for (k, i, _, start), (score, end) in zip(waiting, align([items.words[w[1]] for w in waiting], [w[2] for w in waiting], how)):
-                if score >= how.lowest(len(items.words[i])) and score > out[k].get(i, (0, 0))[0]:
-                    out[k][i] = (score, start + end)
-            waiting.clear()
+        waiting.sort(key=lambda w: len(w[2]))
+        while waiting:
+            size = max(1, at_once // max(1, len(waiting[-1][2])))
+            group = waiting[-size:]
+            del waiting[-size:]
+            for (k, i, _, start), (score, end) in zip(group, align([items.words[w[1]] for w in group], [w[2] for w in group], how)):
+                if score >= how.lowest(len(items.words[i])) and (score, -start - end) > out[k].get(i, (0, 0)):
+                    out[k][i] = (score, -start - end)
 
     for k, text in enumerate(texts):
         if not text:
             continue
         words, at, which = items.found(text)
         if len(at):
-            for i, part, start in items.regions(words, at, which):
-                waiting.append((k, i, part, start))
-                cells += len(part)
-                if cells > 100_000:
+            for passage in items.regions(words, at, which):
+                waiting.append((k, *passage))
+                cells += len(passage[1])
+                if cells > at_once:
                     finish()
                     cells = 0
     finish()
-    return [[{"item_id": items.ids[i], "score": s / (how.match * len(items.words[i])), "end_word": e} for i, (s, e) in sorted(x.items())] for x in out]
+    return [[{"item_id": items.ids[i], "score": s / (how.match * len(items.words[i])), "end_word": -e} for i, (s, e) in sorted(x.items())] for x in out]
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, how: Alignment = Alignment(), **columns: str) -> DataFrame:

@@ -122,6 +122,47 @@ def test_leaks(spark):
     assert drop_contaminated(df, bench.limit(0)).count() == len(rows) and drop_contaminated(df.limit(0), bench).count() == 0
 
 
+def test_leaks_are_those_of_aligning_all_pairs(spark):
+    """Copies with a fifth to a third of the words replaced, dropped or doubled, beside texts that share common words."""
+    rng, how = random.Random(28), Alignment()
+    common = [f"c{i}" for i in range(12)]
+    words = lambda n: [rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(4000)}" for _ in range(n)]
+    items, rows = [words(rng.randint(12, 45)) for _ in range(24)], []
+    for k in range(160):
+        text = words(rng.randint(0, 60))
+        if k % 4:
+            for w in rng.choice(items):
+                at = rng.random()
+                text += [f"e{k}x{len(text)}"] if at < 0.1 else [] if at < 0.15 else [w, w] if at < 0.2 else [w]
+        rows.append((k, " ".join(text + words(rng.randint(0, 60)))))
+    want = {}
+    for k, text in rows:
+        for i, item in enumerate(items):
+            score = plain_smith_waterman(item, text.split(), how)
+            if score >= how.lowest(len(item)):
+                want[k, i] = score / (2 * len(item))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.leak.item_id): r.leak.score for r in df.select("doc_id", F.explode(leaks(df, bench)).alias("leak")).collect()}
+    assert len(want) > 80 and not got.keys() - want.keys() and len(got) >= 0.98 * len(want)
+    assert all(s == pytest.approx(want[k]) for k, s in got.items())
+
+
+def test_leaks_in_long_texts_of_one_seed():
+    import resource
+
+    import pandas as pd
+
+    from folioframe.llm.decontam import _Items, _search
+
+    item = "a b c " * 10 + " ".join(f"w{i}" for i in range(30))
+    items = _Items([(i, item + f" x{i}") for i in range(50)], Alignment())
+    texts = pd.Series(["a b c other " + item] * 500 + ["a b c " * 100_000 + item + " x7"])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = _search(items, texts)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+    assert all(len(x) == 50 for x in found) and max(found[-1], key=lambda x: x["score"])["item_id"] == 7
+
+
 def test_leaks_edited_at_every_offset_and_period(spark):
     rng = random.Random(18)
     items, rows = [], []
