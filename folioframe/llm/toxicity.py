@@ -28,14 +28,17 @@ _FEATURES = "mean double, most double, excess double, n double"
 
 @dataclass(frozen=True)
 class Settings:
-    """``order``: characters of an n-gram. ``fit_rows``: at most so many labelled rows fit the four weights of the logistic model. ``stand_out``: log ratio beyond which a
-    word counts as telling. ``broadcast_labels``: with more labels than that they are joined by shuffle."""
+    """``order``: characters of an n-gram. ``fit_rows``: at most so many labelled rows fit the four weights of the logistic
+    model. ``stand_out``: log ratio beyond which a word counts as telling. ``broadcast_labels``: with more labels than
+    that they are joined by shuffle. ``broadcast_grams``: with more n-grams than that (12 bytes each) the words'
+    values are joined by shuffle."""
 
     order: int = 5
     discount: float = 0.75
     fit_rows: int = 20_000
     stand_out: float = 3.0
     broadcast_labels: int = 2_000_000
+    broadcast_grams: int = 20_000_000
 
 
 @dataclass
@@ -88,9 +91,9 @@ def _gram_counts(order: int):
     return run
 
 
-def language_models(labelled: DataFrame, settings: Settings) -> Model:
-    """Both classes' models from (text, toxic 0 or 1), as one table of log ratios for n-grams and one
-    for contexts whose next character was not seen. All counts are sums over all rows."""
+def language_models(labelled: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Both classes' models from (text, toxic 0 or 1), as one table (k, v) of log ratios for n-grams and one
+    for contexts whose next character was not seen; k is the 64-bit hash. All counts are sums over all rows."""
     words = labelled.mapInPandas(_word_counts, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     grams = words.mapInPandas(_gram_counts(settings.order), "g string, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     grams = durable(grams.select("g", F.expr("left(g, length(g) - 1)").alias("h"), F.expr("right(g, 1)").alias("x"), "n0", "n1"))
@@ -121,15 +124,21 @@ def language_models(labelled: DataFrame, settings: Settings) -> Model:
         seen = F.when(F.col(f"t{c}") > 0, F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / F.col(f"t{c}")).otherwise(0.0)
         return seen + back(c) * F.col("p_below")
 
-    def table(rows: DataFrame, key: str, value: Column, missing: float) -> Table:
-        held = rows.select(F.xxhash64(key).alias("k"), value.cast("float").alias("v")).toArrow()
+    table = lambda rows, key, value: durable(rows.select(F.xxhash64(key).alias("k"), value.cast("float").alias("v")))
+    full = grams.withColumn("below", tail(settings.order - 2)).join(shared, ["below", "x"]).join(contexts, "h")
+    return table(full, "g", F.log(probability(1) / probability(0))), table(contexts, "h", F.log(back(1) / back(0)))
+
+
+def held_model(grams: DataFrame, contexts: DataFrame, settings: Settings) -> Model:
+    """The two tables of ``language_models`` in memory, for a bounded number of n-grams."""
+
+    def table(rows: DataFrame, missing: float) -> Table:
+        held = rows.toArrow()
         keys, values = held["k"].to_numpy().view(np.uint64), held["v"].to_numpy()
         order = np.argsort(keys)
         return Table(keys[order], values[order], missing)
 
-    full = grams.withColumn("below", tail(settings.order - 2)).join(shared, ["below", "x"]).join(contexts, "h")
-    gram = table(full, "g", F.log(probability(1) / probability(0)), np.nan)
-    return Model(gram, table(contexts, "h", F.log(back(1) / back(0)), 0.0), settings)
+    return Model(table(grams, np.nan), table(contexts, 0.0), settings)
 
 
 def word_values(model: Model, words: list[str]) -> np.ndarray:
@@ -171,6 +180,41 @@ def features(text: Column, model: Broadcast, cached_words: int = 300_000) -> Col
     return run(text)
 
 
+def _document_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [Counter(_WORD.findall(t.lower())) if t else Counter() for t in batch["text"]]
+        sizes, side = [len(c) for c in found], {"word": [w for c in found for w in c], "n": [n for c in found for n in c.values()]}
+        yield pd.DataFrame({"k1": np.repeat(batch["k1"].to_numpy(), sizes), "k2": np.repeat(batch["k2"].to_numpy(), sizes)} | side)
+
+
+def _word_grams(order: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(w, g) for w in batch["word"] for g in _grams(w, order)]
+            yield pd.DataFrame({"word": [w for w, _ in rows], "g": [g for _, g in rows]})
+
+    return run
+
+
+def joined_features(df: DataFrame, text: Column, grams: DataFrame, contexts: DataFrame, settings: Settings) -> DataFrame:
+    """``df`` with ``f`` as from ``features``, by joins alone: the documents' distinct words take their values from
+    the n-grams' tables, and each distinct text its features from its words."""
+    keyed = df.withColumn("__text", text).withColumn("k1", F.xxhash64("__text")).withColumn("k2", F.xxhash64(F.lit("2"), F.reverse(F.coalesce("__text", F.lit("")))))
+    texts = keyed.select("k1", "k2", F.col("__text").alias("text")).dropDuplicates(["k1", "k2"])
+    words = durable(texts.mapInPandas(_document_words, "k1 long, k2 long, word string, n long"))
+    pairs = words.select("word").distinct().mapInPandas(_word_grams(settings.order), "word string, g string")
+    pairs = pairs.withColumn("k", F.xxhash64("g")).join(grams.withColumnRenamed("v", "seen"), "k", "left").drop("k")
+    pairs = pairs.withColumn("k", F.xxhash64(F.expr("left(g, length(g) - 1)"))).join(contexts, "k", "left")
+    values = pairs.groupBy("word").agg(F.sum(F.coalesce("seen", "v", F.lit(0.0)).cast("double")).alias("v"))
+    n, v = F.col("n"), F.col("v")
+    told = words.join(values, "word").groupBy("k1", "k2").agg(
+        (F.sum(n * v) / F.sum(n)).alias("mean"), F.max(v).alias("most"), F.sum(n * F.greatest(v - settings.stand_out, F.lit(0.0))).alias("excess"), F.sum(n).cast("double").alias("n")
+    )
+    names = ("mean", "most", "excess", "n")
+    f = F.struct(*(F.coalesce(x, F.lit(0.0)).alias(x) for x in names)).alias("f")
+    return keyed.join(told, ["k1", "k2"], "left").select(*(F.col(f"`{c}`") for c in df.columns), f)
+
+
 def _scaled(f: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(f)), f[:, 0].clip(-2, 2), f[:, 1].clip(0, 20), np.log1p(f[:, 2]), np.log1p(f[:, 3])])
 
@@ -191,10 +235,10 @@ def score_toxicity(df: DataFrame, labelled_docs: DataFrame, labels: DataFrame, s
     """``df`` with ``score`` (double, 0 to 1, higher: likelier toxic), from every whole text.
 
     Learns from rows of ``labelled_docs`` (id, text) whose id has a row in ``labels`` (id, toxic) and
-    crc32(id as text) mod 3 other than 1; a fifth of them, ``fit_rows`` ids at most, fits the logistic
-    weights, all others the language models. Of repeated labels the largest counts, null labels and ids count as none, null
-    and empty texts have no words. Without labels of both classes every score is 0. A column named
-    score is replaced.
+    crc32(id as text) mod 3 other than 1; of a fifth of them the ``fit_rows`` first by hash fit the logistic
+    weights, all others the language models. Of repeated labels the largest counts, null labels and ids count as
+    none, null and empty texts have no words. Without labels of both classes every score is 0. A column named
+    score is replaced. Learning is a few jobs, which run when this is called.
     """
     spark = df.sparkSession
     ident = F.col(f"`{id_col}`")
@@ -202,25 +246,28 @@ def score_toxicity(df: DataFrame, labelled_docs: DataFrame, labels: DataFrame, s
     labels = durable(labels.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1).groupBy("id").agg(F.max("toxic").alias("toxic")))
     side = F.broadcast(labels) if labels.count() <= settings.broadcast_labels else labels
     rows = labelled_docs.select(ident.alias("id"), F.col(f"`{text_col}`").alias("text")).join(side, "id")
-    fits = F.crc32(F.concat(F.lit("fit"), F.col("id").cast("string")).cast("binary")) % 5 == 0
     columns = df.columns
     given_rows = df.select(packed(df))
     unscored = given_rows.select(*unpacked(columns, ("score",)), F.lit(0.0).alias("score"))
     if labels.select("toxic").distinct().count() < 2:
         return unscored
-    many = labels.count() > 5 * settings.fit_rows
-    if many:
-        chosen = durable(rows.filter(fits).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(settings.fit_rows).withColumn("fit", F.lit(True)))
-        rows = rows.join(F.broadcast(chosen), "id", "left")
-        fits = F.coalesce("fit", F.lit(False))
-    held = spark.sparkContext.broadcast(language_models(rows.filter(~fits).select("text", "toxic"), settings))
-    sample = rows.filter(fits).orderBy(F.xxhash64("id"), "id").limit(settings.fit_rows) if many else rows.filter(fits)
-    given = sample.select("toxic", features(F.col("text"), held).alias("f")).select("toxic", "f.*").toPandas()
+    fits = F.crc32(F.concat(F.lit("fit"), F.col("id").cast("string")).cast("binary")) % 5 == 0
+    first = [F.xxhash64("id"), F.col("id")]
+    chosen = durable(rows.filter(fits).select("id").distinct().orderBy(*first).limit(settings.fit_rows).withColumn("fit", F.lit(True)))
+    rows = rows.join(F.broadcast(chosen), "id", "left")
+    grams, contexts = language_models(rows.filter("fit IS NULL").select("text", "toxic"), settings)
+    if grams.count() <= settings.broadcast_grams:
+        held = spark.sparkContext.broadcast(held_model(grams, contexts, settings))
+        with_features = lambda given, text: given.withColumn("f", features(text, held))
+    else:
+        with_features = lambda given, text: joined_features(given, text, grams, contexts, settings)
+    sample = rows.filter("fit").orderBy(*first).limit(settings.fit_rows).select("toxic", "text")
+    given = with_features(sample, F.col("text")).select("toxic", "f.*").toPandas()
     if given["toxic"].nunique() < 2:
         return unscored
     w = logistic_weights(given[["mean", "most", "excess", "n"]].to_numpy(float), given["toxic"].to_numpy(float))
     f = F.col("f")
     clipped = lambda c, lo, hi: F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c))
     z = F.lit(float(w[0])) + clipped(f["mean"], -2, 2) * float(w[1]) + clipped(f["most"], 0, 20) * float(w[2]) + F.log1p(f["excess"]) * float(w[3]) + F.log1p(f["n"]) * float(w[4])
-    scored = given_rows.withColumn("f", features(F.col(f"__in.`{text_col}`"), held))
+    scored = with_features(given_rows, F.col(f"__in.`{text_col}`"))
     return scored.select(*unpacked(columns, ("score",)), (1 / (1 + F.exp(-z))).alias("score"))

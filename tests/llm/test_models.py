@@ -207,6 +207,8 @@ def test_toxicity_finds_new_endings_of_bad_words(spark):
     assert out[1000] < 0.7 and out[1001] < 0.7 and out[1002] < 0.7
     shuffled = {r.doc_id: r.score for r in score_toxicity(df, df, given, ToxicSettings(broadcast_labels=0)).collect()}
     assert shuffled == pytest.approx(out)
+    joined = score_toxicity(df, df, given, ToxicSettings(broadcast_grams=0))
+    assert joined.columns == df.columns and {r.doc_id: r.score for r in joined.collect()} == pytest.approx(out, abs=1e-5) and joined.count() == len(rows)
     assert {r.score for r in score_toxicity(df, df, given.limit(0)).collect()} == {0.0}
     assert score_toxicity(df.limit(0), df.limit(0), given).count() == 0
 

@@ -10,7 +10,7 @@ import xxhash
 import corpus_pipeline
 from folioframe.llm import pieces
 from folioframe.llm.simhash import fingerprint
-from folioframe.llm.toxicity import Settings, _grams, language_models, word_value
+from folioframe.llm.toxicity import Settings, _grams, held_model, language_models, word_value
 
 
 def plain_models(rows, order=5, d=0.75):
@@ -57,7 +57,7 @@ def test_language_models(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 6))) for _ in range(40)]
     rows = [(" ".join(rng.choice(words[: 30 if i % 4 else 40]) for _ in range(20)), int(i % 4 == 0)) for i in range(40)]
-    model = language_models(spark.createDataFrame(rows, "text string, toxic int"), Settings())
+    model = held_model(*language_models(spark.createDataFrame(rows, "text string, toxic int"), Settings()), Settings())
     plain = plain_models(rows)
     for w in [*words, "abcabc", "zzz", "éé"]:
         assert math.isclose(word_value(model, w), plain(w), abs_tol=1e-4)
@@ -67,7 +67,7 @@ def test_language_models_keep_every_n_gram(spark):
     rng = random.Random(16)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
     rows = [(" ".join(word() for _ in range(30)), int(i % 3 == 0)) for i in range(30)]
-    model, plain = language_models(spark.createDataFrame(rows, "text string, toxic int"), Settings()), plain_models(rows)
+    model, plain = held_model(*language_models(spark.createDataFrame(rows, "text string, toxic int"), Settings()), Settings()), plain_models(rows)
     grams, slots = lambda w: set(_grams(w, 5)), {}
     words = " ".join(t for t, _ in rows).split()
     for g in set().union(*map(grams, words)):
