@@ -44,7 +44,11 @@ class Vocabulary:
                 raise ValueError("a piece crosses marked words")
         self.merges = merges
         self.scores = {x: (score, i) for x, score, i in pieces}
-        self.bytes_of = {i: x.replace(MARK, " ").encode() for x, _, i in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        self.bytes_of = [b""] * (1 + max(0, *byte_ids, *(i for _, _, i in pieces)))
+        for x, _, i in pieces:
+            self.bytes_of[i] = x.replace(MARK, " ").encode()
+        for b, i in enumerate(byte_ids):
+            self.bytes_of[i] = bytes([b])
         #: The two parts that a piece is merged from; a piece that merging never makes has none.
         self.rank, self.parts = {x: -1.0 for x in self.scores}, {}
         if merges:
@@ -55,11 +59,9 @@ class Vocabulary:
                 if found:
                     self.parts[x] = found
         code = lambda i: np.int32(i).tobytes()
-        usable = {x: (code(i), x, {}, score) for x, (score, i) in self.scores.items() if not merges or self._whole(x)}
-        #: Usable pieces as (bytes of the id, text, which pieces may follow as found out so far, score), and all
-        #: other ends of pieces with nothing: beyond what is not there no longer piece can end.
-        self.tails: dict[str, tuple] = {x[i:]: () for x in usable for i in range(len(x))} | usable
-        self.usable, self.pairs = list(usable.values()), 0
+        #: Pieces that a path can hold: bytes of the id, text, which may follow as found out so far, score, length.
+        self.usable = [(code(i), x, {}, score, len(x)) for x, (score, i) in self.scores.items() if not merges or self._whole(x)]
+        self.pairs, self.found_in = 0, None
         self.byte_codes = [code(i) for i in byte_ids]
         #: The score of a character that has to be written as bytes.
         self.raw_score = 0.0 if merges else min((score for score, _ in self.scores.values()), default=0.0) - 10.0
@@ -100,25 +102,32 @@ class Vocabulary:
             else:
                 return True
 
-    def _allowed(self, left: tuple, piece: str) -> bool:
-        """Whether ``piece`` may follow ``left``; what was found out is kept, up to a bounded number of pairs."""
-        follows = left[2]
-        fit = follows.get(piece)
-        if fit is None:
-            if self.pairs > 300_000:
-                for x in self.usable:
-                    x[2].clear()
-                self.pairs = 0
-            fit = follows[piece] = self.fits(left[1], piece)
-            self.pairs += 1
-        return fit
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"found_in": None}
+
+    def _pieces_in(self):
+        """The automaton that finds all pieces in a word, by their ends and then the longest first."""
+        if self.found_in is None:
+            import ahocorasick
+
+            self.found_in = ahocorasick.Automaton()
+            for piece in self.usable:
+                self.found_in.add_word(piece[1], piece)
+            self.found_in.make_automaton()
+        return self.found_in.iter if self.usable else lambda word: ()
+
+    def _forget(self) -> None:
+        for piece in self.usable:
+            piece[2].clear()
+        self.pairs = 0
 
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """The pieces of each word, as 32-bit numbers.
 
-        ``states[end]`` is the best path to ``end``: (its score, where its last piece starts, that piece)."""
-        out, tails, merges = {}, self.tails.get, self.merges
-        states: list[tuple] = [(0.0, 0, None)]
+        Of the best path to each place in the word: its score, its last piece (None: a character as bytes) and
+        where that starts. What a word shares with the one before it is settled already."""
+        out, pieces_in, fits, merges, raw_score = {}, self._pieces_in(), self.fits, self.merges, self.raw_score
+        scores, last, back = [0.0], [None], [0]
         before = ""
         for word in sorted(words):
             shared = 0
@@ -126,41 +135,61 @@ class Vocabulary:
                 if x != y:
                     break
                 shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                found = []
-                for start in range(end - 1, -1, -1):
-                    piece = tails(word[start:end])
-                    if piece:
-                        found.append((start, piece))
-                    elif piece is None:
-                        break
-                best = None
+            del scores[shared + 1 :], last[shared + 1 :], back[shared + 1 :]
+            done, settled = shared, shared
+            for end, piece in pieces_in(word):
+                end += 1
+                if end <= settled:
+                    continue
+                while done < end - 1:
+                    scores.append(scores[done] + raw_score)
+                    last.append(None)
+                    back.append(done)
+                    done += 1
+                start = end - piece[4]
+                score = scores[start]
                 if merges:
-                    # One step at most fits, and the long ones are the likelier.
-                    for start, piece in reversed(found):
-                        left = states[start][2]
-                        if left is None or not left[1] or self._allowed(left, piece[1]):
-                            best = (states[start][0], start, piece)
-                            break
+                    left = last[start]
+                    if left is not None:
+                        fit = left[2].get(piece[1])
+                        if fit is None:
+                            if self.pairs > 300_000:
+                                self._forget()
+                            self.pairs += 1
+                            fit = left[2][piece[1]] = fits(left[1], piece[1])
+                        if not fit:
+                            continue
+                    # One step at most fits, so there is no better one.
+                    settled = end
                 else:
-                    for start, piece in found:
-                        score = states[start][0] + piece[3]
-                        if best is None or score >= best[0]:
-                            best = (score, start, piece)
-                score = states[end - 1][0] + self.raw_score
-                if best is None or best[0] < score:
-                    raw = MARK if word[end - 1] == _OWN_MARK else word[end - 1]
-                    best = (score, end - 1, (b"".join(self.byte_codes[b] for b in raw.encode("utf-8", "surrogatepass")), ""))
-                states.append(best)
+                    score += piece[3]
+                    if score < (scores[end] if end == done else scores[done] + raw_score):
+                        continue
+                    if end == done:
+                        scores[end], last[end], back[end] = score, piece, start
+                        continue
+                scores.append(score)
+                last.append(piece)
+                back.append(start)
+                done = end
+            while done < len(word):
+                scores.append(scores[done] + raw_score)
+                last.append(None)
+                back.append(done)
+                done += 1
             codes, at = [], len(word)
             while at:
-                _, at, piece = states[at]
-                codes.append(piece[0])
-            out[word] = b"".join(reversed(codes))
+                piece = last[at]
+                codes.append(piece[0] if piece is not None else self._raw(word[at - 1]))
+                at = back[at]
+            codes.reverse()
+            out[word] = b"".join(codes)
             before = word
         return out
 
+    def _raw(self, character: str) -> bytes:
+        return b"".join(self.byte_codes[b] for b in (MARK if character == _OWN_MARK else character).encode("utf-8", "surrogatepass"))
+
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
