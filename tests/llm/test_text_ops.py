@@ -8,7 +8,7 @@ import xxhash
 
 from folioframe.llm.chat import Template, format_chats, read_back, unescape
 from folioframe.llm.components import connected_components
-from folioframe.llm.licences import scan_licences
+from folioframe.llm.licences import LICENCE_TEXTS, _bigrams, _telling_words, licence_sql, scan_licences
 from folioframe.llm.line_dedup import remove_repeated_lines
 from folioframe.llm.simhash import drop_near_duplicates, fingerprint, fingerprint_links, near_duplicates
 from pyspark.sql import functions as F
@@ -182,6 +182,46 @@ def test_licences(spark):
     assert scan_licences(docs(spark, [])).count() == 0
 
 
+def test_licences_agree_with_sql(spark):
+    import duckdb
+
+    rng, rows = random.Random(21), ["ce texte released under the mit license", "Intro. This tool is small. Released under the MIT License. See the docs for more.", "SPDX-License-Identifier: Apache-2.0", "x = 1  # SPDX-License-Identifier: GPL-2.0-or-later",
+            "GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n", "mit license mit license mit license released under the", "the mit license mit the mit license mit", "", None, "license", "Released under the MIT"]
+    header = LICENCE_TEXTS["Apache-2.0-header"]
+    rows += [header.replace("You may obtain", "\n\nYou may obtain").replace("Unless", "\n\nUnless"), "Words before it. " + header + " And after.", "/* " + LICENCE_TEXTS["MIT-full"].replace(". ", ".\n * ") + " */"]
+    # Units on and next to each bound, and copies with words dropped, put in and replaced.
+    for name in ("MIT", "CC-BY-4.0", "BSD-notice", "ISC", "MIT-title"):
+        words = LICENCE_TEXTS[name].split()
+        for extra in range(len(words) // 2 + 3):
+            rows += [" ".join(f"q{i}" for i in range(extra)) + " " + " ".join(words), " ".join(words[extra:]), "some text before " + " ".join(words[: len(words) - extra])]
+        for _ in range(6):
+            rows.append(" ".join(w if rng.random() < 0.85 else rng.choice(["", w + " " + w, "other"]) for w in words * 2))
+    given = docs(spark, list(enumerate(rows)))
+    got = sorted((r.doc_id, r.unit, r.pos, r.licence, round(r.dice, 12)) for r in scan_licences(given).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(rows)))
+    assert got == sorted((*r[:4], round(r[4], 12)) for r in con.execute(licence_sql()).fetchall())
+    by = {}
+    for r in got:
+        by.setdefault(r[0], set()).add((r[1], r[3]))
+    assert ("line", "MIT") in by[0] and ("passage", "MIT") in by[1] and ("line", "SPDX-Apache-2.0") in by[2] and ("passage", "SPDX-GPL-2.0-or-later") in by[3]
+    assert ("paragraph", "LGPL-3.0-title") in by[4] and not {7, 8, 9} & by.keys()
+    assert ("document", "Apache-2.0-header") in by[11] and ("passage", "Apache-2.0-header") in by[12] and ("passage", "MIT-full") in by[13]
+    assert any(r[4] == 0.8 for r in got) and len(LICENCE_TEXTS) >= 30
+
+
+def test_telling_words_cover_every_unit_that_can_reach_the_threshold():
+    from fractions import Fraction
+
+    rng = random.Random(3)
+    for text in LICENCE_TEXTS.values():
+        bag, telling = _bigrams(text), _telling_words(text, Fraction(2, 3))
+        for _ in range(50):
+            kept = rng.sample(sorted(bag), -(-len(bag) * 2 // 3))
+            assert telling.intersection(" ".join(kept).split())
+
+
 def test_hash_helper_matches_spark(spark):
     text = "Some Ünïcode text"
     assert spark.range(1).select(F.xxhash64(F.lit(text))).first()[0] & (2**64 - 1) == xxhash.xxh64_intdigest(text, 42)
