@@ -32,7 +32,7 @@ class Settings:
     sample_rows: int = 6_000
     sample_queries: int = 200
     most_probes: int = 128
-    group_rows: int = 4_096
+    group_rows: int = 1_024
     seed: int = 42
 
 
@@ -120,15 +120,25 @@ def _nearest(k: int):
                 if q.shape[1] not in sides:
                     continue
                 there, m = sides[q.shape[1]]
-                near, size = ids[there], np.linalg.norm(m, axis=1)
+                order = np.argsort(ids[there], kind="stable")
+                m, near = m[order], ids[there][order]
+                size = np.linalg.norm(m, axis=1)
+                # Where the vectors of each id begin, so that a repeated id takes one place.
+                own_ids = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
+                places = min(k, len(own_ids))
                 for i in range(0, len(at), 256):
                     block, own = q[i : i + 256], queries["query_id"].to_numpy()[at[i : i + 256]]
                     norm = np.linalg.norm(block, axis=1)
                     score = block @ m.T / norm[:, None] / size
                     score[own[:, None] == near] = -np.inf
-                    least = np.partition(score, -min(k, len(near)), axis=1)[:, -min(k, len(near))]
+                    of_ids = np.maximum.reduceat(score, own_ids, axis=1) if len(own_ids) < len(near) else score
+                    least = np.partition(of_ids, -places, axis=1)[:, -places]
                     a, b = np.nonzero((score >= least[:, None] - 1e-9) & np.isfinite(score))
                     exact = (block[a] * m[b]).sum(axis=1) / (norm[a] * size[b])
+                    order = np.lexsort((-exact, near[b], a))
+                    a, b, exact = a[order], b[order], exact[order]
+                    best = np.append(True, (a[1:] != a[:-1]) | (near[b[1:]] != near[b[:-1]]))[: len(a)]
+                    a, b, exact = a[best], b[best], exact[best]
                     order = np.lexsort((near[b], -exact, a))
                     a, b, exact = a[order], b[order], exact[order]
                     first = np.searchsorted(a, a)
@@ -159,6 +169,7 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, settings:
     Null ids, and vectors that are null, zero or hold null or non-finite components, take no part.
     Only vectors of the same length are compared. A repeated id counts with its nearest vector. A
     query for which the buckets hold fewer than ``k`` rows is compared with all rows, exactly.
+    Fitting, and finding such queries, are jobs that run when this is called.
     """
     spark = df.sparkSession
     rows, asked = usable(df, id_col, vector_col), usable(queries, id_col, vector_col).withColumnRenamed("vec_id", "query_id")
@@ -179,7 +190,7 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, settings:
 
     indexed = rows.select("vec_id", "v", F.posexplode(spread(buckets)(F.col("v"))).alias("table", "bucket"))
     probing = asked.select("query_id", "v", F.posexplode(spread(probes)(F.col("v"))).alias("at", "bucket"))
-    per = s.probes if s.hashes > 3 else min(s.probes, 5**s.hashes)
+    per = min(s.probes, 5**s.hashes)
     probing = probing.select("query_id", "v", F.floor(F.col("at") / per).cast("int").alias("table"), "bucket")
     cell = ["table", "bucket"]
     parts = lambda n: F.ceil(F.col(n) / s.group_rows).cast("int")

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Template:
-    """``roles``: role to (before, after), each ``after`` of its own. A role that is not listed is
+    """``roles``: role to (before, after); no two roles have the same two. A role that is not listed is
     written out by name with ``named``: (before name, after name, after text). ``loss``: the roles
     whose texts are under the loss mask. ``moves``: state to {role: next state}, from ``start``;
-    ``accept``: the states in which a conversation may end."""
+    ``accept``: the states in which a conversation may end. A template whose output could not be read
+    back is a ValueError."""
 
     begin: str = "<s>"
     roles: dict[str, tuple[str, str]] = field(default_factory=lambda: {"system": ("[SYS] ", " [/SYS]"), "user": ("[INST] ", " [/INST]"), "assistant": ("", "</s>")})
@@ -29,6 +30,19 @@ class Template:
     )
     accept: tuple[str, ...] = ("user", "assistant")
 
+    def __post_init__(self) -> None:
+        starts = {self.named[0], self.named[1], *(b for b, _ in self.roles.values() if b)}
+        stops = {self.named[2], *(a for _, a in self.roles.values())}
+        cores = {x.strip() for x in self.marks()}
+        if any(len(x) < 2 or "\\" in x for x in cores) or not all(stops) or not all(self.named):
+            raise ValueError("a mark needs two characters besides white space and no backslash, and only those before a text may be empty")
+        if len(set(self.roles.values())) < len(self.roles) or self.named[1:] in self.roles.values() or starts & (stops | {self.begin}):
+            raise ValueError("the marks do not tell the roles apart")
+        for x in cores:
+            for y in {*self.marks(), *cores}:
+                if any(y.startswith(x[i:]) for i in range(1, len(x))):
+                    raise ValueError(f"a text before {y!r} could end in {x!r}")
+
     def marks(self) -> list[str]:
         found = [self.begin, *self.named, *(x for pair in self.roles.values() for x in pair)]
         return sorted({x for x in found if x}, key=lambda x: (-len(x), x))
@@ -99,12 +113,14 @@ def read_back(formatted: Column, template: Template = Template()) -> Column:
     """array<struct<role, text>> of a formatted conversation, without its segments."""
     pattern = template.mark_pattern()
     pieces = F.arrays_zip(F.split(formatted, pattern, -1).alias("text"), F.regexp_extract_all(formatted, F.lit(f"({pattern})"), F.lit(1)).alias("mark"))
-    ends = {after: name for name, (_, after) in template.roles.items()}
+    before = [template.named[1], *(b for b, _ in template.roles.values() if b)]
 
     def turn(piece: Column, i: Column) -> Column:
-        role = F.when(piece["mark"] == template.named[2], unescape(F.get(pieces, i - 1)["text"]))
-        for mark, name in ends.items():
-            role = role.when(piece["mark"] == mark, F.lit(name))
-        return F.struct(role.alias("role"), unescape(piece["text"]).alias("text"), piece["mark"].isin(*ends, template.named[2]).alias("end"))
+        last = F.get(pieces, i - 1)
+        role = F.when((piece["mark"] == template.named[2]) & (last["mark"] == template.named[1]), unescape(last["text"]))
+        for name, (b, a) in template.roles.items():
+            opened = last["mark"] == b if b else ~F.coalesce(last["mark"].isin(before), F.lit(False))
+            role = role.when((piece["mark"] == a) & opened, F.lit(name))
+        return F.struct(role.alias("role"), unescape(piece["text"]).alias("text"))
 
-    return F.filter(F.transform(pieces, turn), lambda x: x["end"])
+    return F.filter(F.transform(pieces, turn), lambda x: x["role"].isNotNull())

@@ -6,16 +6,10 @@ are found by a 128-bit hash; all lines under later occurrences go, the first occ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
-
-
-def _identity(doc_id: Column, text: Column) -> tuple[Column, Column]:
-    plain = F.coalesce(text, F.lit(""))
-    shown = F.coalesce(doc_id.cast("string"), F.lit("\u0000null"))
-    return F.xxhash64(shown, plain, text.isNull()), F.xxhash64(plain, F.lit("|"), shown)
+from .common import identity, packed
 
 
 def remove_repeated_lines(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,8 +22,7 @@ def remove_repeated_lines(df: DataFrame, width: int = 3, id_col: str = "doc_id",
     input named n_lines or n_removed are replaced.
     """
     columns = df.columns
-    k1, k2 = _identity(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    docs = df.select(packed(df), k1.alias("k1"), k2.alias("k2"))
+    docs = df.select(packed(df), identity(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("k")).select("__in", F.col("k.h1").alias("k1"), F.col("k.h2").alias("k2"))
     text, doc = F.col(f"__in.`{text_col}`"), F.col(f"__in.`{id_col}`")
     window = [f"lines[i + {k}]" for k in range(width)]
     hashes = f"transform(slice(lines, {width}, size(lines)), (x, i) -> struct(xxhash64({', '.join(window)}) AS h1, xxhash64({width}, {', '.join(window[::-1])}) AS h2))"

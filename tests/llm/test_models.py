@@ -300,3 +300,27 @@ def test_neighbours(spark):
     small = nearest_neighbours(df, queries, 5, Settings(group_rows=16))
     assert small.count() == sum(len(x) for x in found.values())
     assert nearest_neighbours(df.limit(0), queries.limit(0), 5).count() == 0
+
+
+def test_neighbours_with_repeated_ids_and_few_cells(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((300, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1, vectors[0].tolist())] * 9 + [(2, (vectors[0] * 2).tolist()), (2, vectors[1].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.filter("vec_id % 50 = 0")
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    for settings in (Settings(), Settings(hashes=4, probes=1000), Settings(hashes=2, probes=25), Settings(hashes=5, probes=100, group_rows=64)):
+        found = {}
+        for r in nearest_neighbours(df, queries, 5, settings).orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append(r.vec_id)
+        hits = 0
+        for q in range(0, 300, 50):
+            best = {}
+            for i, v in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -2), round(cosine(vectors[q], np.array(v)), 12))
+            want = sorted(best, key=lambda i: (-best[i], i))[:5]
+            assert len(set(found[q])) == 5
+            hits += len(set(want) & set(found[q]))
+        assert hits >= 27, settings
+        assert found[0][:2] == [1, 2]
