@@ -51,9 +51,12 @@ def match_heading(line: Column, compiled: list[tuple[str, int, int]]) -> Column:
     """struct<level, title> by the first pattern that gives a title, or null."""
     if not compiled:
         return F.lit(None).cast("struct<level:int,title:string>")
-    tries = [F.struct(F.lit(level).alias("level"), F.when(line.rlike(pattern), F.regexp_extract(line, pattern, group)).alias("raw")) for pattern, group, level in compiled]
-    titled = F.transform(F.array(*tries), lambda x: F.struct(x["level"].alias("level"), normalize_title(x["raw"]).alias("title")))
-    return F.when(~is_blank(line) & ~is_toc_leader(line), F.get(F.filter(titled, lambda x: F.length(x["title"]) > 0), 0))
+    tries = []
+    for pattern, group, level in compiled:
+        # An array of one, so that a title is worked out once, and only where its pattern is the first to fit.
+        titled = F.array(F.struct(F.lit(level).alias("level"), normalize_title(F.regexp_extract(line, pattern, group)).alias("title")))
+        tries.append(F.when(line.rlike(pattern), F.get(F.filter(titled, lambda x: F.length(x["title"]) > 0), 0)))
+    return F.when(~is_blank(line) & ~is_toc_leader(line), F.coalesce(*tries))
 
 
 def find_headings(lines: DataFrame, compiled: list[tuple[str, int, int]]) -> DataFrame:
@@ -101,15 +104,16 @@ def reconstruct_lines(items: DataFrame, ratio: float = 0.3, least: float = 2.0)
     sizes = F.array_sort(F.collect_list(F.when(F.col("font_size") > 0, F.col("font_size"))))
     pages = items.groupBy("source_id", "source_index").agg(F.array_sort(F.collect_list(item)).alias("items"), sizes.alias("sizes"))
     pages = pages.withColumn("tol", F.expr(f"greatest({float(least)}D, {float(ratio)}D * coalesce(get(sizes, CAST(floor(size(sizes) / 2) AS INT)), 0D))"))
-    groups = F.expr(
-        "aggregate(items, named_struct('anchor', CAST(NULL AS DOUBLE), 'g', 0, 'out', CAST(array() AS ARRAY<INT>)), (s, i) -> IF(abs(i.down - s.anchor) <= tol, "
-        "named_struct('anchor', s.anchor, 'g', s.g, 'out', concat(s.out, array(s.g))), "
-        "named_struct('anchor', i.down, 'g', s.g + 1, 'out', concat(s.out, array(s.g + 1)))), s -> s.out)"
+    starts = F.expr(
+        "aggregate(items, named_struct('anchor', CAST(NULL AS DOUBLE), 'i', 1, 'out', CAST(array() AS ARRAY<INT>)), (s, x) -> IF(abs(x.down - s.anchor) <= tol, "
+        "named_struct('anchor', s.anchor, 'i', s.i + 1, 'out', s.out), named_struct('anchor', x.down, 'i', s.i + 1, 'out', concat(s.out, array(s.i)))), s -> s.out)"
     )
-    rows = pages.select("source_id", "source_index", F.posexplode(F.arrays_zip("items", groups.alias("g"))).alias("rank", "z"))
-    line = F.array_sort(F.collect_list(F.struct("z.items.x", "rank", "z.items.str")))
-    lines = rows.groupBy("source_id", "source_index", F.col("z.g").alias("line_no")).agg(F.array_join(F.transform(line, lambda i: i["str"]), "").alias("line"))
-    return lines
+    lines = F.expr(
+        "transform(starts, (a, k) -> array_join(transform(array_sort(transform("
+        "slice(items, a, coalesce(get(starts, k + 1), size(items) + 1) - a), (x, rank) -> struct(x.x, rank, x.str))), z -> z.str), ''))"
+    )
+    rows = pages.withColumn("starts", starts).select("source_id", "source_index", F.posexplode(lines).alias("n", "line"))
+    return rows.select("source_id", "source_index", (F.col("n") + 1).alias("line_no"), "line")
 
 
 def page_lines(lines: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,66 +1,94 @@
 """Edit logs: undo and redo, and replay of the operations that stay in force.
 
-A document's log is one array that is folded inside the JVM; documents go in parallel. A log must
-fit into one row: ``log_sizes`` finds those that are too long to fold in a batch.
+Both are folds over a document's rows in order. Spark partitions rows by document and sorts them, and a
+task runs through its rows with the state of one document at a time: two numbers for undo and redo, the
+pages for a replay. So a log of any length streams through, and nothing is collected into one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from .manifest import MANIFEST
 
 PAGE = "struct<page_id:string,source_id:string,source_index:int,rotation:int>"
 OP = f"struct<type:string,ids:array<string>,to_index:int,delta:int,pages:array<{PAGE}>>"
-
-#: One step of the fold over pages ``acc`` with operation ``op``.
-_APPLY = """CASE op.type
-WHEN 'rotate' THEN transform(acc, p -> IF(array_contains(coalesce(op.ids, array()), p.page_id),
-  named_struct('page_id', p.page_id, 'source_id', p.source_id, 'source_index', p.source_index,
-    'rotation', CAST(pmod(CAST(floor((p.rotation + coalesce(op.delta, 0)) / 90 + 0.5) * 90 AS BIGINT), 360) AS INT)), p))
-WHEN 'delete' THEN filter(acc, p -> NOT array_contains(coalesce(op.ids, array()), p.page_id))
-WHEN 'reorder' THEN transform(array(filter(acc, p -> NOT array_contains(coalesce(op.ids, array()), p.page_id))), rest -> concat(
-  slice(rest, 1, greatest(0, coalesce(op.to_index, 0))),
-  filter(acc, p -> array_contains(coalesce(op.ids, array()), p.page_id)),
-  slice(rest, greatest(0, coalesce(op.to_index, 0)) + 1, size(acc))))[0]
-WHEN 'merge' THEN concat(slice(acc, 1, greatest(0, coalesce(op.to_index, 0))), coalesce(op.pages, array()),
-  slice(acc, greatest(0, coalesce(op.to_index, 0)) + 1, size(acc) + 1))
-ELSE acc END"""
-
-_RESOLVE = f"""aggregate(log,
-  named_struct('applied', CAST(array() AS array<{OP}>), 'undone', CAST(array() AS array<{OP}>), 'saved_len', 0),
-  (s, e) -> CASE
-    WHEN e.action = 'apply' THEN named_struct('applied', concat(s.applied, array(e.op)), 'undone', CAST(array() AS array<{OP}>), 'saved_len', s.saved_len)
-    WHEN e.action = 'undo' AND size(s.applied) > 0 THEN named_struct('applied', slice(s.applied, 1, size(s.applied) - 1),
-      'undone', concat(s.undone, array(element_at(s.applied, -1))), 'saved_len', s.saved_len)
-    WHEN e.action = 'redo' AND size(s.undone) > 0 THEN named_struct('applied', concat(s.applied, array(element_at(s.undone, -1))),
-      'undone', slice(s.undone, 1, size(s.undone) - 1), 'saved_len', s.saved_len)
-    WHEN e.action = 'save' THEN named_struct('applied', s.applied, 'undone', s.undone, 'saved_len', size(s.applied))
-    ELSE s END)"""
+_STATES = "doc_id string, seq long, action string, n_applied long, n_undone long, saved_len long"
+_PAGES = "doc_id string, position int, page_id string, source_id string, source_index int, rotation int"
 
 
 def log_sizes(log: DataFrame) -> DataFrame:
     return log.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    doc, applied, undone, saved = object(), 0, 0, 0
+    for batch in batches:
+        out = []
+        for d, seq, action in zip(batch["doc_id"], batch["seq"].tolist(), batch["action"]):
+            if d != doc:
+                doc, applied, undone, saved = d, 0, 0, 0
+            if action == "apply":
+                applied, undone = applied + 1, 0
+            elif action == "undo" and applied:
+                applied, undone = applied - 1, undone + 1
+            elif action == "redo" and undone:
+                applied, undone = applied + 1, undone - 1
+            elif action == "save":
+                saved = applied
+            out.append((d, seq, action, applied, undone, saved))
+        yield pd.DataFrame(out, columns=["doc_id", "seq", "action", "n_applied", "n_undone", "saved_len"])
+
+
 def resolve_history(log: DataFrame) -> DataFrame:
-    """(doc_id, applied, undone, saved_len) from log rows (doc_id, seq, action, op).
+    """(doc_id, n_applied, n_undone, saved_len) from log rows (doc_id, seq, action).
 
     apply pushes and clears what was undone; undo and redo move the last operation between the two
-    stacks, or do nothing when there is none; save notes how many are in force.
+    stacks, or do nothing when there is none; save notes how many are in force. ``operations`` has
+    the stacks themselves. Rows without a doc_id or a seq don't count.
+    """
+    return _final(_states(log), log)
+
+
+def _states(log: DataFrame) -> DataFrame:
+    """How many operations are applied and undone after each row of the log."""
+    rows = log.filter("doc_id IS NOT NULL AND seq IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("seq").cast("bigint").alias("seq"), "action")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInPandas(_walk, _STATES)
+
+
+def _final(states: DataFrame, log: DataFrame) -> DataFrame:
+    last = states.groupBy("doc_id").agg(F.max_by(F.struct("n_applied", "n_undone", "saved_len"), "seq").alias("s"))
+    return last.select(F.col("doc_id").cast(log.schema["doc_id"].dataType).alias("doc_id"), F.col("s.n_applied").cast("int").alias("n_applied"), F.col("s.n_undone").cast("int").alias("n_undone"), F.col("s.saved_len").cast("int").alias("saved_len"))
+
+
+def operations(log: DataFrame) -> DataFrame:
+    """(doc_id, place from 1, in_force, op): each document's operations in force, and behind them those undone,
+    the next to redo first.
+
+    What stands at a place of the stacks is the last operation applied at that depth. The states of
+    the log are written to the checkpoint folder when this is called.
     """
-    rows = log.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", F.col("op").cast(OP).alias("op")))).alias("log"))
-    return rows.select("doc_id", F.expr(_RESOLVE).alias("s")).select("doc_id", "s.applied", "s.undone", "s.saved_len")
+    states = durable(_states(log))
+    final = _final(states, log)
+    doc_type = log.schema["doc_id"].dataType
+    at = states.filter("action = 'apply'").groupBy(F.col("doc_id").cast(doc_type).alias("doc_id"), F.col("n_applied").alias("place")).agg(F.max("seq").alias("seq"))
+    at = at.join(final, "doc_id").filter("place <= n_applied + n_undone").select("doc_id", "place", "seq", (F.col("place") <= F.col("n_applied")).alias("in_force"))
+    given = log.filter("action = 'apply'").select("doc_id", F.col("seq").cast("bigint").alias("seq"), F.col("op").cast(OP).alias("op"))
+    return given.join(at, ["doc_id", "seq"]).select("doc_id", F.col("place").cast("int").alias("place"), "in_force", "op")
 
 
 def history_flags(history: DataFrame) -> DataFrame:
     """can_undo, can_redo, is_dirty, and unsaved, which compares lengths alone: after saving, undoing
     and applying another operation a document counts as saved."""
-    applied = F.size("applied")
     return history.select(
-        "doc_id", applied.alias("n_applied"), F.size("undone").alias("n_undone"), (applied > 0).alias("can_undo"), (F.size("undone") > 0).alias("can_redo"),
-        (applied > 0).alias("is_dirty"), (applied != F.col("saved_len")).alias("unsaved"),
+        "doc_id", "n_applied", "n_undone", (F.col("n_applied") > 0).alias("can_undo"), (F.col("n_undone") > 0).alias("can_redo"),
+        (F.col("n_applied") > 0).alias("is_dirty"), (F.col("n_applied") != F.col("saved_len")).alias("unsaved"),
     )
 
 
@@ -70,18 +98,102 @@ def document_dirty(pages: DataFrame, outlines: DataFrame) -> DataFrame:
     return both.select("doc_id", (F.coalesce("a", F.lit(False)) | F.coalesce("b", F.lit(False))).alias("dirty"))
 
 
-def replay_history(manifest: DataFrame, history: DataFrame) -> DataFrame:
-    """The manifest after the operations of ``history`` (doc_id, applied), in order."""
-    page = F.struct("page_id", "source_id", F.col("source_index").cast("int").alias("source_index"), F.col("rotation").cast("int").alias("rotation"))
-    pages = manifest.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", page.alias("p")))), lambda x: x["p"]).alias("pages"))
-    both = pages.join(history.select("doc_id", "applied"), "doc_id", "left")
-    folded = both.select("doc_id", F.expr(f"aggregate(coalesce(applied, CAST(array() AS array<{OP}>)), CAST(pages AS array<{PAGE}>), (acc, op) -> {_APPLY})").alias("pages"))
-    out = folded.select("doc_id", F.posexplode("pages").alias("i", "p"))
-    return out.select("doc_id", (F.col("i") + 1).alias("position"), "p.page_id", "p.source_id", "p.source_index", "p.rotation").select(*MANIFEST)
+class Pages:
+    """One document's pages while operations are applied: their order as numbers, and what they are."""
+
+    def __init__(self) -> None:
+        self.what: list[tuple] = []
+        self.turns: list[int] = []
+        self.of_id: dict[str, list[int]] = {}
+        self.order = np.zeros(0, np.int64)
+
+    def insert(self, at: int | None, pages: Iterable[tuple]) -> None:
+        """Pages (page_id, source_id, source_index, rotation) at a place, or at the end."""
+        first = len(self.what)
+        for page_id, source_id, source_index, rotation in pages:
+            self.of_id.setdefault(page_id, []).append(len(self.what))
+            self.what.append((page_id, source_id, source_index))
+            self.turns.append(rotation or 0)
+        new = np.arange(first, len(self.what))
+        at = len(self.order) if at is None else max(0, at)
+        self.order = np.concatenate([self.order[:at], new, self.order[at:]])
+
+    def apply(self, kind: str, ids: Iterable[str | None] | None, to_index: int | None, delta: int | None, pages: Iterable[tuple] | None) -> None:
+        """Unknown and null ids do nothing, an unknown kind neither; a missing place is the start, a missing turn 0."""
+        if kind == "merge":
+            self.insert(int(to_index or 0), () if pages is None else pages)
+            return
+        hit = [n for i in {i for i in (() if ids is None else ids) if i is not None} for n in self.of_id.get(i, ())]
+        if kind == "rotate":
+            for n in hit:
+                self.turns[n] = int((self.turns[n] + int(delta or 0) + 45) // 90 * 90 % 360)
+        elif kind in ("delete", "reorder"):
+            flags = np.zeros(len(self.what), bool)
+            flags[hit] = True
+            moved = flags[self.order]
+            rest = self.order[~moved]
+            at = max(0, int(to_index or 0))
+            self.order = rest if kind == "delete" else np.concatenate([rest[:at], self.order[moved], rest[at:]])
+
+    def rows(self) -> list[tuple]:
+        return [(i + 1, *self.what[n], self.turns[n]) for i, n in enumerate(self.order.tolist())]
+
+
+def _number(x) -> int | None:
+    return None if x is None or x != x else int(x)
+
+
+def _page(p: dict) -> tuple:
+    return p["page_id"], p["source_id"], _number(p["source_index"]), _number(p["rotation"])
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    doc, pages, columns = None, Pages(), [c.split()[0] for c in _PAGES.split(", ")]
+    first: list[tuple] = []
+
+    def finished() -> list[tuple]:
+        pages.insert(None, first)
+        return [(doc, *r) for r in pages.rows()]
+
+    for batch in batches:
+        out: list[tuple] = []
+        for row in batch.itertuples(index=False, name=None):
+            d, op, page_id, source_id, source_index, rotation, kind, ids, to_index, delta, more = row
+            if d != doc:
+                out += finished()
+                doc, pages, first = d, Pages(), []
+            if op == 0:
+                first.append((page_id, source_id, _number(source_index), _number(rotation)))
+                continue
+            if first:
+                pages.insert(None, first)
+                first = []
+            pages.apply(kind, ids, _number(to_index), _number(delta), None if more is None else [_page(p) for p in more])
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame(finished(), columns=columns)
 
 
 def replay(manifest: DataFrame, ops: DataFrame) -> DataFrame:
-    """The manifest after all ``ops`` (doc_id, seq, type, ids, to_index, delta, pages), in seq order."""
-    op = F.struct("type", "ids", F.col("to_index").cast("int").alias("to_index"), F.col("delta").cast("int").alias("delta"), F.col("pages")).cast(OP)
-    applied = ops.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", op.alias("op")))), lambda x: x["op"]).alias("applied"))
-    return replay_history(manifest, applied)
+    """The manifest after all ``ops`` (doc_id, seq, type, ids, to_index, delta, pages), in seq order.
+
+    A null rotation counts as 0; a document without pages begins empty; rows without a doc_id go.
+    """
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    doc = F.col("doc_id").cast("string").alias("doc_id")
+    pages = manifest.select(
+        doc, F.lit(0).alias("op"), F.col("position").cast("bigint").alias("at"), F.col("page_id").cast("string").alias("page_id"), F.col("source_id").cast("string").alias("source_id"),
+        F.col("source_index").cast("int").alias("source_index"), F.col("rotation").cast("int").alias("rotation"),
+        none("string", "type"), none("array<string>", "ids"), none("int", "to_index"), none("int", "delta"), none(f"array<{PAGE}>", "pages"),
+    )
+    steps = ops.select(
+        doc, F.lit(1).alias("op"), F.col("seq").cast("bigint").alias("at"), none("string", "page_id"), none("string", "source_id"), none("int", "source_index"), none("int", "rotation"),
+        "type", F.col("ids").cast("array<string>").alias("ids"), F.col("to_index").cast("int").alias("to_index"), F.col("delta").cast("int").alias("delta"), F.col("pages").cast(f"array<{PAGE}>").alias("pages"),
+    )
+    rows = pages.unionByName(steps).filter("doc_id IS NOT NULL").repartition("doc_id").sortWithinPartitions("doc_id", "op", "at").drop("at")
+    out = rows.mapInPandas(_replay, _PAGES)
+    return out.withColumn("doc_id", F.col("doc_id").cast(manifest.schema["doc_id"].dataType)).select(*MANIFEST)
+
+
+def replay_history(manifest: DataFrame, ops: DataFrame) -> DataFrame:
+    """The manifest after the operations in force in ``ops``, as from ``operations``, in order."""
+    return replay(manifest, ops.filter("in_force").select("doc_id", F.col("place").alias("seq"), "op.*"))

@@ -56,17 +56,25 @@ def new_nodes(requests: DataFrame, manifest: DataFrame) -> DataFrame:
     return rows.select("doc_id", "node_id", title.alias("title"), F.coalesce("source_id", "first_source").alias("source_id"), "source_index")
 
 
-def flatten(outline: DataFrame, max_depth: int = 32) -> DataFrame:
+def build_outline(raw: DataFrame, named_dests: DataFrame, page_refs: DataFrame) -> DataFrame:
+    """A source's own outline, resolved and in reading order: (source_id, node_id, parent_id, sib_index, title,
+    source_index, depth, preorder)."""
+    rows = resolve_dests(raw, named_dests, page_refs)
+    flat = flatten(from_resolved(rows, F.col("source_id")))
+    return flat.select("source_id", "node_id", "parent_id", "sib_index", "title", "source_index", "depth", "preorder")
+
+
+def flatten(outline: DataFrame) -> DataFrame:
     """Outline rows with path (sibling places from the root), anc (ancestors), depth and preorder.
 
-    One join for each level of the deepest outline; deeper ones than ``max_depth``, and rows whose
-    parents never lead to a root, are an error.
+    One join for each level of the deepest outline, however deep; rows whose parents never lead to a root are an
+    error. The levels are written to the checkpoint folder and counted when this is called.
     """
     rows = durable(outline.select(*OUTLINE))
     level = rows.filter("parent_id IS NULL").select("*", F.array("sib_index").alias("path"), F.array().cast("array<string>").alias("anc"))
     levels, seen = [], 0
     total = rows.count()
-    for _ in range(max_depth):
+    while True:
         level = durable(level)
         n = level.count()
         levels.append(level)
@@ -78,7 +86,7 @@ def flatten(outline: DataFrame, max_depth: int = 32) -> DataFrame:
             *OUTLINE, F.concat("up_path", F.array("sib_index")).alias("path"), F.concat("up_anc", F.array(F.col("parent_id").cast("string"))).alias("anc")
         )
     if seen != total:
-        raise ValueError(f"{total - seen} rows lie deeper than {max_depth} levels or under no root")
+        raise ValueError(f"{total - seen} rows lie under no root")
     order = Window.partitionBy("doc_id").orderBy("path", "node_id")
     out = reduce(DataFrame.unionByName, levels)
     return out.withColumn("depth", F.size("path") - 1).withColumn("preorder", F.row_number().over(order) - 1)

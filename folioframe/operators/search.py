@@ -10,27 +10,35 @@ from ..functions.regex import build_matcher
 _NO_HITS = "array<struct<start:int,end:int>>"
 
 
-def hit_spans(text: Column, pattern: str | None) -> Column:
-    """array<struct<start, end>> of the leftmost matches that don't overlap; empty ones don't count.
-
-    The pieces between matches and the matches take turns, so running lengths give the offsets.
-    """
-    if pattern is None:
-        return F.array().cast(_NO_HITS)
+def _turns(text: Column, pattern: str) -> Column:
+    """array<struct<gap, hit>>: the pieces between the leftmost matches and the matches take turns."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     # An empty match at the very start has no piece before it.
     pieces = F.when(F.size(between) == F.size(found), F.concat(F.array(F.lit("")), between)).otherwise(between)
-    turns = F.arrays_zip(pieces.alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NO_HITS).alias("out"))
+    return F.arrays_zip(pieces.alias("gap"), found.alias("hit"))
+
+
+def _running(numbers: Column) -> Column:
+    """The running sums of array<int>, in about log2(n) passes over it: each adds what stands twice as far back."""
 
-    def step(state: Column, turn: Column) -> Column:
-        a = state["at"] + F.length(turn["gap"])
-        b = a + F.coalesce(F.length(turn["hit"]), F.lit(0))
-        one = F.array(F.struct(a.alias("start"), b.alias("end")))
-        return F.struct(b.alias("at"), F.when(b > a, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+    def add(sums: Column, k: Column) -> Column:
+        far = F.pow(F.lit(2), k).cast("int")
+        further = F.transform(sums, lambda x, i: x + F.when(i >= far, F.coalesce(F.get(sums, i - far), F.lit(0))).otherwise(0))
+        return F.when(far >= F.size(sums), sums).otherwise(further)
 
-    spans = F.aggregate(turns, start, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_NO_HITS))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(30)), numbers, add)
+
+
+def hit_spans(text: Column, pattern: str | None) -> Column:
+    """array<struct<start, end>> of the leftmost matches that don't overlap; empty ones don't count."""
+    if pattern is None:
+        return F.array().cast(_NO_HITS)
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    sizes = F.transform(_turns(text, pattern), lambda t: F.struct(size(t["hit"]).alias("hit"), (size(t["gap"]) + size(t["hit"])).alias("both")))
+    # An array of one, so that the sizes are worked out once.
+    spans = F.transform(F.array(sizes), lambda z: F.zip_with(z, _running(F.transform(z, lambda x: x["both"])), lambda x, end: F.struct((end - x["hit"]).alias("start"), end.alias("end"))))
+    spans = F.filter(F.get(spans, 0), lambda s: s["end"] > s["start"])
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_NO_HITS)).cast(_NO_HITS)
 
 
 def find_matches(pages: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
@@ -84,20 +92,22 @@ def highlight(items: DataFrame, query: str, current: Column | int | None = None,
     repeated.
     """
     pattern = build_matcher(items.sparkSession, query, regex, case_sensitive)
-    spans = items.withColumn("__spans", F.coalesce(hit_spans(F.col("str"), pattern), F.array().cast(_NO_HITS)))
+    if pattern is None:
+        return items.withColumn("marked", F.col("str"))
+    is_hit = lambda t: (F.coalesce(F.length(t["hit"]), F.lit(0)) > 0).cast("int")
+    turns = items.withColumn("__turns", F.coalesce(_turns(F.col("str"), pattern), F.array().cast("array<struct<gap:string,hit:string>>")))
+    turns = turns.withColumn("__upto", _running(F.transform("__turns", is_hit)))
     before = Window.partitionBy("doc_id", "page").orderBy("item_no").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("__base", F.coalesce(F.sum(F.size("__spans")).over(before), F.lit(0))).withColumn("__current", F.lit(current) if current is None or isinstance(current, int) else current)
-    text = F.col("str")
+    hits = F.coalesce(F.try_element_at("__upto", F.lit(-1)), F.lit(0))
+    turns = turns.withColumn("__base", F.coalesce(F.sum(hits).over(before), F.lit(0))).withColumn("__current", F.lit(current) if current is None or isinstance(current, int) else current)
 
-    def mark(span: Column, i: Column) -> Column:
-        from_ = F.when(i == 0, 0).otherwise(F.get(F.col("__spans"), i - 1)["end"])
-        now = F.coalesce(F.col("__base") + i == F.col("__current"), F.lit(False))
+    def mark(turn: Column, upto: Column) -> Column:
+        now = F.coalesce(F.col("__base") + upto - 1 == F.col("__current"), F.lit(False))
         tag = F.when(now, '<mark class="search-hit" data-current="true">').otherwise('<mark class="search-hit">')
-        return F.concat(F.substring(text, from_ + 1, span["start"] - from_), tag, F.substring(text, span["start"] + 1, span["end"] - span["start"]), F.lit("</mark>"))
+        return F.concat(turn["gap"], F.when(is_hit(turn) == 1, F.concat(tag, turn["hit"], F.lit("</mark>"))).otherwise(""))
 
-    rest = F.substring(text, F.coalesce(F.try_element_at("__spans", F.lit(-1))["end"], F.lit(0)) + 1, F.length(text))
-    marked = F.concat(F.array_join(F.transform("__spans", mark), ""), rest)
-    return spans.withColumn("marked", marked).drop("__spans", "__base", "__current")
+    marked = F.when(F.col("str").isNotNull(), F.array_join(F.zip_with("__turns", "__upto", mark), ""))
+    return turns.withColumn("marked", marked).drop("__turns", "__upto", "__base", "__current")
 
 
 def span_gap(page_hits: DataFrame, item_hits: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import scalars
+from ..functions.durable import shared_folder
+from ..functions.regex import invalid_regex
 from ..operators import headings as H
 from ..operators import history as E
 from ..operators import manifest as M
@@ -14,6 +18,7 @@ from ..operators import outline as O
 from ..operators import search as T
 from ..operators import selection as L
 from ..sources import intake as S
+from ..streaming import streams as R
 
 QUERIES: dict = {}
 
@@ -61,11 +66,11 @@ def _documents(spark, sf) -> DataFrame:
     return _table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("cust-"), F.col("o_custkey").cast("string"), F.lit(".PDF")).alias("name"))
 
 
-def _dims(spark) -> DataFrame:
-    return spark.range(25).select(
-        (F.floor(F.col("id") / 5) + 1).cast("string").alias("source_id"), (F.col("id") % 5).cast("int").alias("source_index"),
-        (F.col("id") * 10 + 100).cast("double").alias("width"), (F.col("id") * 20 + 200).cast("double").alias("height"), (F.col("id") % 4 * 90).cast("int").alias("page_rotate"),
-    )
+def _dims(spark, sf) -> DataFrame:
+    """Parts as measured pages: their sizes and prices by source and page."""
+    k = F.col("p_partkey") % 25
+    parts = _table(spark, sf, "part").groupBy((F.floor(k / 5) + 1).cast("string").alias("source_id"), (k % 5).cast("int").alias("source_index"))
+    return parts.agg(F.max("p_size").cast("double").alias("width"), F.max("p_retailprice").alias("height"), (F.count("*") % 4 * 90).cast("int").alias("page_rotate"))
 
 
 def _tree(spark, sf) -> DataFrame:
@@ -77,20 +82,37 @@ def _tree(spark, sf) -> DataFrame:
     return rows.select("doc_id", F.col("page_id").alias("node_id"), "parent_id", sib.alias("sib_index"), F.concat(F.lit("t"), "page_id").alias("title"), "source_id", "source_index")
 
 
-def _one_node(spark, sf, n: int) -> DataFrame:
-    """The nth order of each customer that has so many."""
+def _one_node(spark, sf, n) -> DataFrame:
+    """The nth order of each customer that has so many; n may be a column of doc_id."""
     return _manifest(spark, sf).filter(F.col("position") == n).select("doc_id", F.col("page_id").alias("node_id"))
 
 
+def _some_node(spark, sf) -> DataFrame:
+    """A node of each customer's tree, another place of it from customer to customer."""
+    return _one_node(spark, sf, F.col("doc_id") % 7 + 1)
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+
+
 def _heading_lines(spark, sf) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("k")
-    o = _table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("doc_id"), F.col("o_orderkey").alias("k"))
+    o = _table(spark, sf, "orders").select(F.floor(F.col("o_custkey") / 10).alias("doc_id"), F.col("o_orderkey").alias("k"))
     a, b, c = ((F.floor(F.col("k") / d) % 7 + 1).cast("string") for d in (640, 64, 8))
     line = F.when(F.col("k") % 3 == 0, F.concat(F.lit("第 "), a, F.lit(" 章　総 則"))).when(F.col("k") % 3 == 1, F.concat(a, F.lit(". "), b, F.lit(" Scope"))).otherwise(F.concat(a, F.lit("."), b, F.lit(" ."), c, F.lit("Details")))
     line = F.when(F.col("k") % 11 == 0, F.concat(line, F.lit(" ..... 3"))).when(F.col("k") % 13 == 0, "plain words").otherwise(line)
     return o.select("doc_id", F.row_number().over(order).alias("page_number"), F.lit(0).alias("line_no"), line.alias("line"))
 
 
+def _plain_heading_lines(spark, sf) -> DataFrame:
+    """Lines as the built-in patterns want them: chapters, sections and items, and one in four that is none."""
+    k = F.col("o_orderkey")
+    a, b, c = ((F.floor(k / d) % 9 + 1).cast("string") for d in (640, 64, 8))
+    line = F.when(k % 4 == 0, F.concat(F.lit("第"), a, F.lit("章 総則"))).when(k % 4 == 1, F.concat(a, F.lit("."), b, F.lit(" 適用範囲"))).when(k % 4 == 2, F.concat(a, F.lit("."), b, F.lit("."), c, F.lit(" General"))).otherwise(F.concat(a, F.lit("."), b, F.lit(" 12.5")))
+    return _table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("page_number"), F.lit(0).alias("line_no"), line.alias("line"))
+
+
 def _heading_manifest(spark, sf) -> DataFrame:
     return _heading_lines(spark, sf).select(
         "doc_id", F.col("page_number").alias("position"), F.col("page_number").cast("string").alias("page_id"), F.lit("s").alias("source_id"), (F.col("page_number") - 1).alias("source_index"), F.lit(0).alias("rotation")
@@ -160,15 +182,39 @@ def highlight_marks(spark, sf):
 @query
 def highlight_current(spark, sf):
     items = _conversations(spark, sf).withColumn("item_no", F.col("page")).withColumn("page", F.lit(1)).withColumnRenamed("text", "str")
-    return T.highlight(items, "the", current=1).select("doc_id", "item_no", F.length("marked").alias("n_chars"), F.contains("marked", F.lit("data-current")).alias("has_current"))
+    return T.highlight(items, "the", current=1).select("doc_id", "item_no", "marked")
 
 
 @query
 def search_span_gap(spark, sf):
+    """Pages as items of twenty characters: hits across the borders are those that no item holds."""
     pages = _conversations(spark, sf)
-    items = pages.select("doc_id", "page", F.posexplode(F.split("text", " ", -1)).alias("item_no", "text"))
-    hits = T.find_matches(items.select("doc_id", F.struct("page", "item_no").alias("page"), "text"), "e a")
-    return T.span_gap(T.find_matches(pages, "e a"), hits.select("doc_id", "page.page"))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / 20).cast("int"))
+    items = pages.select("doc_id", "page", F.posexplode(F.transform(starts, lambda i: F.substring("text", i * 20 + 1, F.lit(20)))).alias("item_no", "text"))
+    hits = T.find_matches(items.select("doc_id", F.struct("page", "item_no").alias("page"), "text"), "th")
+    return T.span_gap(T.find_matches(pages, "th"), hits.select("doc_id", "page.page"))
+
+
+@query
+def search_invalid(spark, sf):
+    """Queries as expressions: whether they can't be used, and what they find."""
+    pages, out = _conversations(spark, sf), None
+    for text in ("(", "[a-", "a{2", "th+", "  ", r"on[,.]"):
+        hits = T.count_hits(pages, text, regex=True).agg(F.sum("hits").alias("hits"))
+        row = hits.select(F.lit(text).alias("query"), F.lit(invalid_regex(spark, text, True)).alias("invalid"), "hits")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def stream_search_hits(spark, sf):
+    """The same search as ``search_offsets`` over the conversations as a stream, all that is there at once."""
+    folder, source = _folder(spark), f"{sf}/conversations.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source + "*")
+    pages = rows.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), "text")
+    written = R.stream_search(pages, "ON").writeStream.format("parquet").option("path", f"{folder}/hits").option("checkpointLocation", f"{folder}/state")
+    written.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/hits")
 
 
 # ---------------------------------------------------------------------------------------- sources
@@ -209,11 +255,51 @@ def displayed_texts(spark, sf):
 def raw_items(spark, sf):
     d = _table(spark, sf, "documents").select("*", F.col("n_chars").cast("double").alias("n"))
     raw = d.select(
-        F.col("doc_id").alias("source_id"), F.lit(0).alias("source_index"), F.lit(0).alias("item_no"), F.substring("text", 1, 5).alias("str"),
+        F.col("doc_id").alias("source_id"), F.lit(0).alias("source_index"), F.lit(0).alias("item_no"), F.col("text").alias("str"),
         F.when(F.col("doc_id") % 2 == 0, 0.0).otherwise(F.col("n")).alias("height"),
         F.when(F.col("doc_id") % 5 == 0, F.array("n", "n")).otherwise(F.array("n", "n", "n", -F.col("n"), F.col("n") + 1, F.col("n") + 2)).alias("transform"),
     )
-    return S.text_items(raw)
+    return S.text_items(raw).withColumn("str", F.md5("str"))
+
+
+@query
+def files_triage(spark, sf):
+    """Pages as files' bytes, some of them with a header and an encryption token."""
+    k = F.col("page_id")
+    text = F.concat(F.when(k % 3 == 0, F.concat(F.lit("%PDF-1."), (k % 8).cast("string"), F.lit("\n"))).otherwise(""), "html", F.when(k % 5 == 0, "/Encrypt 3 0 R").otherwise(""))
+    return S.triage_content(_table(spark, sf, "pages").select("page_id", text.cast("binary").alias("content"))).select("page_id", "version", "maybe_encrypted")
+
+
+@query
+def saved_manifest(spark, sf):
+    """Written and read again."""
+    folder = _folder(spark)
+    S.save(_manifest(spark, sf), folder)
+    return spark.read.parquet(folder)
+
+
+@query
+def saved_split(spark, sf):
+    folder = _folder(spark)
+    S.save_split(M.split(_manifest(spark, sf), _cuts(spark, sf)), folder)
+    return S.load_split(spark, folder)
+
+
+@query
+def saved_extract(spark, sf):
+    folder = _folder(spark)
+    chosen = M.extract(_manifest(spark, sf), _targets(spark, sf, 3, 2))
+    S.save_extract(chosen.join(_documents(spark, sf).withColumnRenamed("name", "file_name"), "doc_id"), folder)
+    return spark.read.parquet(folder)
+
+
+@query
+def saved_patterns(spark, sf):
+    """Headings by patterns that were stored and loaded again, the section pattern switched off."""
+    folder = _folder(spark)
+    S.save_patterns(spark, [p | {"enabled": p["level"] != 2} for p in H.DEFAULT_PATTERNS], folder)
+    compiled = H.compile_patterns(spark, H.merge_patterns(S.load_patterns(spark, folder)))
+    return H.find_headings(_plain_heading_lines(spark, sf), compiled).select("doc_id", "page_number", "level", "title")
 
 
 # ---------------------------------------------------------------------------------------- scalars
@@ -350,32 +436,35 @@ def limits(spark, sf):
 
 @query
 def manifest_output(spark, sf):
-    return M.output_manifest(_manifest(spark, sf), _dims(spark))
+    return M.output_manifest(_manifest(spark, sf), _dims(spark, sf))
 
 
 @query
 def output_errors(spark, sf):
     m = _manifest(spark, sf)
-    return M.output_errors(_documents(spark, sf), m.filter(F.col("doc_id") % 3 != 0), _dims(spark).filter("source_id != '4'"))
+    return M.output_errors(_documents(spark, sf), m.filter(F.col("doc_id") % 3 != 0), _dims(spark, sf).filter("source_id != '4'"))
 
 
 @query
 def page_geometry(spark, sf):
-    return M.page_geometry(_manifest(spark, sf), _dims(spark).filter("source_index != 3"))
+    return M.page_geometry(_manifest(spark, sf), _dims(spark, sf).filter("source_index != 3"))
 
 
 # ---------------------------------------------------------------------------------------- history
 
 
 def _log(spark, sf) -> DataFrame:
-    """Events as an edit log: clicks turn, views move, purchases delete, sign-ups undo, errors redo."""
+    """Events as an edit log: clicks turn, views move, purchases delete, sign-ups undo, errors redo, and some
+    of each save or insert a page instead."""
     e = _table(spark, sf, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = e.withColumn("seq", F.row_number().over(order).cast("bigint"))
-    action = F.when(F.col("event_type") == "signup", "undo").when(F.col("event_type") == "error", "redo").otherwise("apply")
-    kind = F.when(F.col("event_type") == "click", "rotate").when(F.col("event_type") == "view", "reorder").otherwise("delete")
+    k = F.col("event_id")
+    action = F.when(k % 17 == 0, "save").when(F.col("event_type") == "signup", "undo").when(F.col("event_type") == "error", "redo").otherwise("apply")
+    new = F.array(F.struct(F.concat(F.lit("m-"), k.cast("string")).alias("page_id"), F.lit("m").alias("source_id"), (k % 5).cast("int").alias("source_index"), (k % 4 * 90).cast("int").alias("rotation")))
+    kind = F.when(k % 13 == 0, "merge").when(F.col("event_type") == "click", "rotate").when(F.col("event_type") == "view", "reorder").otherwise("delete")
     page = lambda x: F.concat(F.col("user_id").cast("string"), F.lit("-"), F.pmod(x, F.lit(400)).cast("string"))
-    op = F.struct(kind.alias("type"), F.array(page(F.col("event_id")), page(F.col("event_id") * 7 + 1)).alias("ids"), (F.col("event_id") % 9).cast("int").alias("to_index"), F.lit(90).alias("delta"), F.lit(None).alias("pages"))
+    op = F.struct(kind.alias("type"), F.array(page(F.col("event_id")), page(F.col("event_id") * 7 + 1)).alias("ids"), (F.col("event_id") % 9).cast("int").alias("to_index"), F.lit(90).alias("delta"), new.alias("pages"))
     return e.select(F.col("user_id").alias("doc_id"), "seq", action.alias("action"), op.alias("op"))
 
 
@@ -389,22 +478,49 @@ def history_sizes(spark, sf):
     return E.log_sizes(_log(spark, sf))
 
 
+def _event_pages(spark, sf) -> DataFrame:
+    """Four hundred pages for each user."""
+    pages = _table(spark, sf, "events").select(F.col("user_id").alias("doc_id")).distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("i"))
+    return pages.select("doc_id", (F.col("i") + 1).alias("position"), F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("i").cast("string")).alias("page_id"), F.col("doc_id").cast("string").alias("source_id"), F.col("i").alias("source_index"), F.lit(0).alias("rotation"))
+
+
 @query
 def manifest_replay(spark, sf):
-    log = _log(spark, sf)
-    pages = log.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("i"))
-    first = pages.select("doc_id", (F.col("i") + 1).alias("position"), F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("i").cast("string")).alias("page_id"), F.col("doc_id").cast("string").alias("source_id"), F.col("i").alias("source_index"), F.lit(0).alias("rotation"))
-    return E.replay_history(first, E.resolve_history(log))
+    return E.replay_history(_event_pages(spark, sf), E.operations(_log(spark, sf)))
+
+
+@query
+def history_operations(spark, sf):
+    """Both stacks of every user."""
+    return E.operations(_log(spark, sf)).select("doc_id", "place", "in_force", "op.type", F.array_join("op.ids", ",").alias("ids"))
+
+
+@query
+def stream_replay_pages(spark, sf):
+    """The replay of ``manifest_replay`` as a stream of log rows, all that are there at once."""
+    folder = _folder(spark)
+    log = _log(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), "seq", "action", "op.*")
+    page = F.struct("page_id", "source_id", "source_index", "rotation")
+    first = _event_pages(spark, sf).groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", page.alias("p")))), lambda x: x["p"]).alias("pages"))
+    log.unionByName(first.withColumn("seq", F.lit(0).cast("bigint")).withColumn("action", F.lit("open")), allowMissingColumns=True).write.parquet(f"{folder}/log")
+    out = R.stream_replay(spark.readStream.schema(R.LOG).parquet(f"{folder}/log"))
+    written = out.writeStream.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/pages/batch={batch}"))
+    written.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/pages")
+    latest = rows.groupBy("doc_id").agg(F.max("seq").alias("seq"))
+    return rows.join(latest, ["doc_id", "seq"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), "position", "page_id", "source_id", "source_index", "rotation")
 
 
 @query
 def replay_output(spark, sf):
-    """Orders edited by one operation of each kind, then as they will be written."""
+    """Orders turned, moved, cut and added to, then as they will be written."""
     d = _documents(spark, sf).select("doc_id")
     ids = _targets(spark, sf, 3).groupBy("doc_id").agg(F.array_sort(F.collect_list("page_id")).alias("ids"))
-    ops = d.join(ids, "doc_id").select("doc_id", "ids", F.explode(F.array(*(F.struct(F.lit(i).cast("bigint").alias("seq"), F.lit(k).alias("type")) for i, k in enumerate(("rotate", "reorder"))))).alias("o"))
-    ops = ops.select("doc_id", "o.seq", "o.type", "ids", F.lit(1).alias("to_index"), F.lit(90).alias("delta"), F.lit(None).cast(f"array<{E.PAGE}>").alias("pages"))
-    return M.output_manifest(E.replay(_manifest(spark, sf), ops), _dims(spark))
+    ops = d.join(ids, "doc_id").select("doc_id", "ids", F.explode(F.array(*(F.struct(F.lit(i).cast("bigint").alias("seq"), F.lit(k).alias("type")) for i, k in enumerate(("rotate", "reorder", "delete", "merge"))))).alias("o"))
+    ids = F.when(F.col("o.type") == "delete", F.slice("ids", 2, 1)).otherwise(F.col("ids"))
+    new = F.array(F.struct(F.concat(F.lit("new-"), F.col("doc_id").cast("string")).alias("page_id"), F.lit("2").alias("source_id"), F.lit(3).alias("source_index"), F.lit(180).alias("rotation")))
+    ops = ops.select("doc_id", "o.seq", "o.type", ids.alias("ids"), F.lit(1).alias("to_index"), F.lit(90).alias("delta"), new.alias("pages"))
+    return M.output_manifest(E.replay(_manifest(spark, sf), ops), _dims(spark, sf))
 
 
 @query
@@ -450,6 +566,18 @@ def selection_all(spark, sf):
     return L.selected_count(chosen).join(anchor, "doc_id")
 
 
+@query
+def selection_range_anchor(spark, sf):
+    return L.select_range(_manifest(spark, sf), _nth(spark, sf, 9), _nth(spark, sf, 4))[1]
+
+
+@query
+def selection_clear(spark, sf):
+    """How much stays selected after clearing what ``selection_rotate_delete`` deletes."""
+    left = L.selected_count(L.clear(_targets(spark, sf, 3)))
+    return _documents(spark, sf).select("doc_id").join(left, "doc_id", "left").select("doc_id", F.coalesce("n_selected", F.lit(0)).alias("n_selected"))
+
+
 @query
 def selection_collapse(spark, sf):
     return L.collapse_to_single(_targets(spark, sf, 3), _manifest(spark, sf), _nth(spark, sf, 5), _nth(spark, sf, 2))
@@ -472,7 +600,7 @@ def headings_found(spark, sf):
 @query
 def headings_default(spark, sf):
     """The built-in patterns alone."""
-    return H.find_headings(_heading_lines(spark, sf), H.compile_patterns(spark, H.DEFAULT_PATTERNS)).select("doc_id", "page_number", "level", "title")
+    return H.find_headings(_plain_heading_lines(spark, sf), H.compile_patterns(spark, H.DEFAULT_PATTERNS)).select("doc_id", "page_number", "level", "title")
 
 
 @query
@@ -493,10 +621,10 @@ def headings_profile(spark, sf):
 
 @query
 def html_headings(spark, sf):
-    lines = _table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_number"), F.lit(0).alias("line_no"), F.regexp_extract("html", "(?s)<body.*", 0).alias("line"))
-    patterns = [{"id": "h1", "label": "", "level": 1, "enabled": True, "pattern": "<h1>(?<title>[^<]*)</h1>"}]
-    compiled = H.compile_patterns(spark, patterns)
-    return lines.select("doc_id", F.regexp_extract("line", compiled[0][0], compiled[0][1]).alias("title"))
+    """All first-level headings of web pages, which are cut into lines before each and behind it."""
+    lines = _table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_number"), F.posexplode(F.split("html", "(?=<h1>)|(?<=</h1>)", -1)).alias("line_no", "line"))
+    compiled = H.compile_patterns(spark, [{"id": "h1", "label": "", "level": 1, "enabled": True, "pattern": "^<h1>(?<title>[^<]*)</h1>$"}])
+    return H.find_headings(lines, compiled).select("doc_id", "level", "title")
 
 
 def _items(spark, sf) -> DataFrame:
@@ -518,10 +646,12 @@ def median_fonts(spark, sf):
 
 @query
 def outline_auto(spark, sf):
-    """Lines of documents as pages: those that begin with a capital T are headings."""
-    docs = _table(spark, sf, "documents")
-    items = docs.select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n", -1)).alias("source_index", "str")).select("*", F.lit(0).alias("item_no"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("font_size"))
-    m = items.select(F.col("source_id").alias("doc_id"), (F.col("source_index") + 1).alias("position"), "source_id", "source_index")
+    """Lines of documents as pages, their words as items in two rows: rows that begin with a capital T are headings."""
+    words = _table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n", -1)).alias("source_index", "line"))
+    words = words.withColumn("n", F.size(F.split("line", " ", -1))).select("source_id", "source_index", "n", F.posexplode(F.split("line", " ", -1)).alias("item_no", "str"))
+    low = F.col("item_no") * 2 >= F.col("n")
+    items = words.select("source_id", "source_index", "item_no", "str", (-F.col("item_no") * F.when(low, -1).otherwise(1)).cast("double").alias("x"), F.when(low, 0.0).otherwise(50.0).alias("y"), F.lit(10.0).alias("font_size"))
+    m = items.select(F.col("source_id").alias("doc_id"), (F.col("source_index") + 1).alias("position"), "source_id", "source_index").distinct()
     compiled = H.compile_patterns(spark, [{"id": "t", "label": "", "level": 2, "enabled": True, "pattern": "^(?<title>T[a-z]+)"}])
     return H.auto_outline(m, items, compiled, start_page=2).select("doc_id", "sib_index", "title", "source_index")
 
@@ -565,21 +695,41 @@ def outline_remap(spark, sf):
     return O.remap(_tree(spark, sf), kept).select("doc_id", "node_id", "output_page")
 
 
-@query
-def outline_resolve(spark, sf):
-    tree = _tree(spark, sf).drop("source_index")
-    raw = tree.withColumn("source_id", F.col("doc_id").cast("string")).withColumn("dest_name", F.when(F.col("node_id").cast("bigint") % 2 == 0, F.concat(F.lit("d"), (F.col("node_id").cast("bigint") % 7).cast("string")))).withColumn("dest_ref", F.when(F.col("node_id").cast("bigint") % 3 > 0, F.col("node_id").cast("bigint") % 5))
+def _raw_outline(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trees with destinations by name and by reference, the names, and the references' pages."""
+    n = F.col("node_id").cast("bigint")
+    raw = _tree(spark, sf).drop("source_index").withColumn("source_id", F.col("doc_id").cast("string"))
+    raw = raw.withColumn("dest_name", F.when(n % 2 == 0, F.concat(F.lit("d"), (n % 7).cast("string")))).withColumn("dest_ref", F.when(n % 3 > 0, n % 5))
     ids = _documents(spark, sf).select(F.col("doc_id").cast("string").alias("source_id"))
     names = ids.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("source_id", F.concat(F.lit("d"), F.col("i").cast("string")).alias("name"), F.col("i").cast("bigint").alias("ref"))
     refs = ids.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select("source_id", F.col("i").cast("bigint").alias("ref"), (F.col("i") * 10).alias("source_index"))
-    return O.resolve_dests(raw, names, refs).select("source_id", "node_id", "source_index")
+    return raw, names, refs
+
+
+@query
+def outline_resolve(spark, sf):
+    return O.resolve_dests(*_raw_outline(spark, sf)).select("source_id", "node_id", "source_index")
+
+
+@query
+def outline_build(spark, sf):
+    return O.build_outline(*_raw_outline(spark, sf)).select("source_id", "node_id", "parent_id", "depth", "preorder", "source_index")
+
+
+@query
+def outline_to_build(spark, sf):
+    """What a writer needs of resolved outlines."""
+    rows = O.from_resolved(O.resolve_dests(*_raw_outline(spark, sf)), F.col("source_id").cast("bigint"))
+    return O.to_build(rows)
 
 
 @query
 def outline_collect(spark, sf):
-    m = _manifest(spark, sf)
-    nodes = spark.range(10).select((F.floor(F.col("id") / 2) + 1).cast("string").alias("source_id"), (F.col("id") % 2).cast("string").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), (F.col("id") % 2).cast("int").alias("sib_index"), F.lit("t").alias("title"), F.lit(0).alias("source_index"))
-    return O.collect_outlines(m, nodes).select("doc_id", "node_id", "sib_index")
+    """Brands of parts as the nodes of five sources' outlines."""
+    parts = _table(spark, sf, "part").select((F.col("p_partkey") % 5 + 1).cast("string").alias("source_id"), F.col("p_brand").alias("node_id")).distinct()
+    nodes = parts.withColumn("sib_index", F.row_number().over(Window.partitionBy("source_id").orderBy("node_id")) - 1)
+    nodes = nodes.select("*", F.lit(None).cast("string").alias("parent_id"), F.lit("t").alias("title"), F.lit(0).alias("source_index"))
+    return O.collect_outlines(_manifest(spark, sf), nodes).select("doc_id", "node_id", "sib_index")
 
 
 @query
@@ -622,28 +772,30 @@ def outline_add_child(spark, sf):
 
 @query
 def outline_move_up(spark, sf):
-    return O.move_up(_tree(spark, sf), _one_node(spark, sf, 4)).select(*_NODE)
+    return O.move_up(_tree(spark, sf), _some_node(spark, sf)).select(*_NODE)
 
 
 @query
 def outline_move_down(spark, sf):
-    return O.move_down(_tree(spark, sf), _one_node(spark, sf, 4)).select(*_NODE)
+    return O.move_down(_tree(spark, sf), _some_node(spark, sf)).select(*_NODE)
 
 
 @query
 def outline_indent(spark, sf):
-    return O.indent(_tree(spark, sf), _one_node(spark, sf, 2)).select(*_NODE)
+    return O.indent(_tree(spark, sf), _some_node(spark, sf)).select(*_NODE)
 
 
 @query
 def outline_outdent(spark, sf):
-    return O.outdent(_tree(spark, sf), _one_node(spark, sf, 4)).select(*_NODE)
+    return O.outdent(_tree(spark, sf), _some_node(spark, sf)).select(*_NODE)
 
 
 @query
 def outline_move_subtree(spark, sf):
-    a, b = _one_node(spark, sf, 1), _one_node(spark, sf, 2)
-    moves = a.join(b.select("doc_id", F.col("node_id").alias("over_id")), "doc_id").withColumn("new_parent", F.lit(None).cast("string"))
+    """Nodes 5 to 7 go to where one of the first four stands, beside it or under it."""
+    tree = _tree(spark, sf).select("doc_id", F.col("node_id").alias("over_id"), F.col("parent_id").alias("beside"))
+    a, b = _one_node(spark, sf, F.col("doc_id") % 3 + 5), _one_node(spark, sf, F.col("doc_id") % 4 + 1).withColumnRenamed("node_id", "over_id")
+    moves = a.join(b, "doc_id").join(tree, ["doc_id", "over_id"]).withColumn("new_parent", F.when(F.col("doc_id") % 2 == 0, F.col("over_id")).otherwise(F.col("beside")))
     return O.move_subtree(_tree(spark, sf), moves).select(*_NODE)
 
 

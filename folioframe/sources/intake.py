@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_pdf, maybe_encrypted, output_name, pdf_version, text_or_null
@@ -17,8 +17,12 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
 
 def triage(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, version, maybe_encrypted), which does read the bytes."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", pdf_version(F.col("content")).alias("version"), maybe_encrypted(F.col("content")).alias("maybe_encrypted"))
+    return triage_content(spark.read.format("binaryFile").load(path)).select("path", "length", "version", "maybe_encrypted")
+
+
+def triage_content(files: DataFrame) -> DataFrame:
+    """Files with a column ``content`` (binary), and what their bytes say: version and maybe_encrypted."""
+    return files.withColumn("version", pdf_version(F.col("content"))).withColumn("maybe_encrypted", maybe_encrypted(F.col("content")))
 
 
 def intake(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,12 +73,25 @@ def save(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
-def save_split(parts: DataFrame, path: str, overwrite: bool = False) -> None:
-    """A folder for each part of each document."""
-    parts.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("doc_id", "part_no").parquet(path)
+def save_split(parts: DataFrame, path: str, overwrite: bool = False, buckets: int = 64) -> None:
+    """Parts (doc_id, part_no, ...) in ``buckets`` folders: all parts of a document in one, in files sorted by
+    document, part and place, so that reading a document or a part skips the rest."""
+    rows = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    rows = rows.repartition("bucket", "doc_id").sortWithinPartitions("bucket", "doc_id", "part_no", *(["part_position"] if "part_position" in parts.columns else []))
+    rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("bucket").parquet(path)
+
+
+def load_split(spark: SparkSession, path: str, doc_id=None, part_no: int | None = None, buckets: int = 64) -> DataFrame:
+    """What ``save_split`` wrote: all of it, a document, or one of its parts."""
+    rows = spark.read.parquet(path)
+    if doc_id is not None:
+        wanted = F.lit(doc_id).cast(rows.schema["doc_id"].dataType)
+        rows = rows.filter((F.col("bucket") == F.pmod(F.xxhash64(wanted), F.lit(buckets))) & (F.col("doc_id") == wanted))
+    return (rows if part_no is None else rows.filter(F.col("part_no") == part_no)).drop("bucket")
 
 
 def save_extract(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Extracted pages; a column file_name gets the ending of extracts. Nothing to save is an error."""
     if df.isEmpty():
         raise ValueError("nothing is selected")
     save(df.withColumn("file_name", output_name(F.col("file_name"), F.lit("-extract"))) if "file_name" in df.columns else df, path, overwrite)
@@ -96,7 +113,3 @@ def save_patterns(spark: SparkSession, patterns: list[dict], path: str) -> None:
     rows = [(i, *(p.get(k) for k in ("id", "label", "pattern", "level", "enabled", "builtin"))) for i, p in enumerate(patterns)]
     spark.createDataFrame(rows, "ord int, " + PATTERN_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
 
-
-def running_order(df: DataFrame, key: str = "doc_id", by: str = "position") -> DataFrame:
-    """Positions 1, 2, ... in the present order."""
-    return df.withColumn(by, F.row_number().over(Window.partitionBy(key).orderBy(by)))

@@ -8,60 +8,65 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..operators.history import Pages
 from ..operators.search import find_matches
 
 LOG = "doc_id string, seq long, action string, type string, ids array<string>, to_index int, delta int, pages array<struct<page_id:string,source_id:string,source_index:int,rotation:int>>"
 _OUT = "doc_id string, seq long, position int, page_id string, source_id string, source_index int, rotation int"
+_COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
 
 
 def stream_search(pages: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
     return find_matches(pages, query, regex, case_sensitive)
 
 
-def _apply(pages: list[dict], op: dict) -> list[dict]:
-    ids, at = set(op.get("ids") or ()), max(0, op.get("to_index") or 0)
-    if op["type"] == "rotate":
-        turn = lambda p: int((p["rotation"] + (op.get("delta") or 0) + 45) // 90 * 90 % 360)
-        return [p | {"rotation": turn(p)} if p["page_id"] in ids else p for p in pages]
-    rest = [p for p in pages if p["page_id"] not in ids]
-    if op["type"] == "delete":
-        return rest
-    if op["type"] == "reorder":
-        return rest[:at] + [p for p in pages if p["page_id"] in ids] + rest[at:]
-    if op["type"] == "merge":
-        return pages[:at] + list(op.get("pages") or ()) + pages[at:]
-    return pages
-
-
-def _replay(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """``open`` sets the first manifest; rows wait for the ones before them, repeated ones don't count."""
-    s = json.loads(state.get[0]) if state.exists else {"first": [], "applied": [], "undone": [], "next": 0, "waiting": {}}
-    before = s["next"]
-    for batch in batches:
-        for row in json.loads(batch.to_json(orient="records", default_handler=dict)):
-            if row["seq"] >= s["next"]:
-                s["waiting"][str(row["seq"])] = row
-    while (row := s["waiting"].pop(str(s["next"]), None)) is not None:
-        s["next"] += 1
-        if row["action"] == "open":
-            s |= {"first": row["pages"] or [], "applied": [], "undone": []}
-        elif row["action"] == "apply":
-            s["applied"].append(row)
-            s["undone"] = []
-        elif row["action"] == "undo" and s["applied"]:
-            s["undone"].append(s["applied"].pop())
-        elif row["action"] == "redo" and s["undone"]:
-            s["applied"].append(s["undone"].pop())
-    state.update((json.dumps(s),))
-    if s["next"] > before:
-        pages = s["first"]
-        for op in s["applied"]:
-            pages = _apply(pages, op)
-        rows = [(key[0], s["next"] - 1, i + 1, p["page_id"], p["source_id"], p["source_index"], p["rotation"]) for i, p in enumerate(pages)]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
-
-
-def stream_replay(log: DataFrame) -> DataFrame:
+def _tuples(pages: list[dict] | None) -> list[tuple]:
+    return [(p["page_id"], p["source_id"], p["source_index"], p["rotation"]) for p in pages or ()]
+
+
+def _after(pages: list[tuple], ops: list[dict]) -> list[tuple]:
+    now = Pages()
+    now.insert(None, pages)
+    for op in ops:
+        now.apply(op["type"], op["ids"], op["to_index"], op["delta"], _tuples(op["pages"]))
+    return [r[1:] for r in now.rows()]
+
+
+def _replayer(most_undo: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        """``open`` sets the first pages; rows wait for the ones before them, repeated ones don't count. The state
+        is the pages as they were ``most_undo`` operations ago, those operations, and what was undone."""
+        s = json.loads(state.get[0]) if state.exists else {"pages": [], "applied": [], "undone": [], "next": 0, "waiting": {}}
+        before = s["next"]
+        for batch in batches:
+            for row in json.loads(batch.to_json(orient="records", default_handler=dict)):
+                if row["seq"] is not None and row["seq"] >= s["next"]:
+                    s["waiting"][str(int(row["seq"]))] = row
+        while (row := s["waiting"].pop(str(s["next"]), None)) is not None:
+            s["next"] += 1
+            if row["action"] == "open":
+                s |= {"pages": _tuples(row["pages"]), "applied": [], "undone": []}
+            elif row["action"] == "apply":
+                s["applied"].append({k: row[k] for k in ("type", "ids", "to_index", "delta", "pages")})
+                s["undone"] = []
+            elif row["action"] == "undo" and s["applied"]:
+                s["undone"].append(s["applied"].pop())
+            elif row["action"] == "redo" and s["undone"]:
+                s["applied"].append(s["undone"].pop())
+            if len(s["applied"]) > 2 * most_undo:
+                s["pages"], s["applied"] = _after(s["pages"], s["applied"][:-most_undo]), s["applied"][-most_undo:]
+        if s["next"] > before:
+            rows = [(key[0], s["next"] - 1, i + 1, *p) for i, p in enumerate(_after(s["pages"], s["applied"]))]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+        state.update((json.dumps(s),))
+
+    return run
+
+
+def stream_replay(log: DataFrame, most_undo: int = 500) -> DataFrame:
     """Each document's manifest after every batch that moves it on, from a stream of ``LOG`` rows whose
-    seq counts from 0 in each document. Use output mode update."""
-    return log.groupBy("doc_id").applyInPandasWithState(_replay, _OUT, "data string", "update", "NoTimeout")
+    seq counts from 0 in each document. Use output mode update.
+
+    The last ``most_undo`` operations can always be undone (up to twice as many are kept); older ones are
+    final, which bounds a document's state and the work of a batch."""
+    return log.groupBy("doc_id").applyInPandasWithState(_replayer(most_undo), _OUT, "data string", "update", "NoTimeout")

@@ -131,13 +131,32 @@ def test_history_and_replay_against_a_model(spark):
     log = spark.createDataFrame(logs, f"doc_id long, seq long, action string, op {E.OP}")
     history = E.resolve_history(log)
     got = {}
-    for r in sorted(E.replay_history(spark.createDataFrame(first, SCHEMA), history).collect(), key=lambda r: r.position):
+    for r in sorted(E.replay_history(spark.createDataFrame(first, SCHEMA), E.operations(log)).collect(), key=lambda r: r.position):
         got.setdefault(r.doc_id, []).append((r.page_id, r.rotation))
     assert got == {d: ps for d, ps in want.items() if ps}
     seen = {x[0] for x in logs}
     assert {r.doc_id: (r.n_applied, r.n_undone, r.unsaved) for r in E.history_flags(history).collect()} == {d: f for d, f in flags.items() if d in seen}
 
 
+def test_replay_with_nulls_and_unknown_operations(spark):
+    ops = [(1, 1, "reorder", ["p2", None], 0, None, None), (1, 2, "delete", [None], None, None, None), (1, 3, "rotate", ["p0", "zz"], None, 90, None), (1, 4, "odd", ["p0"], None, None, None),
+           (1, 5, "delete", None, None, None, None), (1, 6, "merge", None, None, None, [("m", "B", 3, 90)]), (2, 1, "merge", None, 9, None, [("n", "B", 0, 0)]), (None, 1, "delete", ["p1"], None, None, None)]
+    given = spark.createDataFrame(ops, f"doc_id long, seq long, type string, ids array<string>, to_index int, delta int, pages array<{E.PAGE}>")
+    out = sorted((r.doc_id, r.position, r.page_id, r.source_index, r.rotation) for r in E.replay(manifest(spark, ["p0", "p1", "p2"]), given).collect())
+    assert out == [(1, 1, "m", 3, 90), (1, 2, "p2", 2, 0), (1, 3, "p0", 0, 90), (1, 4, "p1", 1, 0), (2, 1, "n", 0, 0)]
+    assert E.replay(manifest(spark, ["a"]).limit(0), given.limit(0)).count() == 0
+
+
+def test_a_long_log_of_one_document(spark):
+    """A hundred thousand rows of one document: nothing grows with the square of its log."""
+    log = spark.range(100_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 2, "undo").otherwise("apply").alias("action"),
+                                      F.struct(F.lit("rotate").alias("type"), F.array(F.lit("a")).alias("ids"), F.lit(0).alias("to_index"), F.lit(90).alias("delta"), F.lit(None).cast(f"array<{E.PAGE}>").alias("pages")).alias("op"))
+    flags = E.history_flags(E.resolve_history(log)).first()
+    assert (flags.n_applied, flags.n_undone) == (33_334, 0)
+    out = E.replay_history(manifest(spark, ["a", "b"]), E.operations(log)).collect()
+    assert sorted((r.page_id, r.rotation) for r in out) == [("a", 33_334 * 90 % 360), ("b", 0)]
+
+
 def test_array_move(spark):
     rng, rows, moves, want = random.Random(1), [], [], {}
     for doc in range(30):

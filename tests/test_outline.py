@@ -142,8 +142,13 @@ def test_flatten_and_closure(spark):
     assert sorted(r.node_id for r in O.descendants(flat, ids(spark, "a")).collect()) == ["b", "c", "d"]
     assert sorted(r.node_id for r in O.prune_below(flat, ids(spark, "a")).collect()) == ["a", "e"]
     assert {r.node_id: r.n_descendants for r in O.count_descendants(flat).collect()} == {"a": 3, "b": 1, "c": 0, "d": 0, "e": 0}
+    deep = [("d0", [])]
+    for i in range(1, 40):
+        deep = [(f"d{i}", deep)]
+    assert sorted(r.depth for r in O.flatten(outline(spark, deep)).collect()) == list(range(40))
+    lost = outline(spark, TREE).withColumn("parent_id", F.when(F.col("node_id") == "b", "c").otherwise(F.col("parent_id")))
     with pytest.raises(ValueError):
-        O.flatten(outline(spark, TREE), max_depth=2)
+        O.flatten(lost)
 
 
 def test_edits(spark):

@@ -94,3 +94,17 @@ def test_selection(spark):
     assert ids(L.collapse_to_single(two, m, one(None), one(None))) == ["b"]
     assert ids(L.select_all(m)[1]) == ["a"] and L.clear(two).count() == 0
     assert [r.n_selected for r in L.selected_count(two).collect()] == [2]
+
+
+def test_many_hits_on_one_page(spark):
+    import time
+
+    n = 120_000
+    page = spark.createDataFrame([(1, 1, 0, "aé " * n)], "doc_id int, page int, item_no int, str string").cache()
+    began = time.perf_counter()
+    hits = T.find_matches(page.withColumnRenamed("str", "text"), "é")
+    found = hits.selectExpr("count(*) AS n", "sum(start) AS starts", "max(end) AS last").first()
+    assert (found.n, found.starts, found.last) == (n, sum(3 * i + 1 for i in range(n)), 3 * n - 1)
+    row = T.highlight(page, "é", current=7).first()
+    assert row.marked == "".join("a<mark class=\"search-hit\"" + (" data-current=\"true\"" if i == 7 else "") + ">é</mark> " for i in range(n))
+    assert time.perf_counter() - began < 60

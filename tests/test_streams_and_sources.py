@@ -42,6 +42,30 @@ def test_stream_replay_waits_for_gaps(spark, tmp_path):
     assert seen == {0: [("a", 0), ("b", 0), ("c", 0)], 2: [("a", 90), ("c", 0)], 4: [("c", 0), ("a", 90), ("b", 0)]}
 
 
+def test_stream_replay_keeps_a_bounded_list_to_undo(spark, tmp_path):
+    source = tmp_path / "log"
+    source.mkdir()
+    page = lambda p: {"page_id": p, "source_id": "A", "source_index": 0, "rotation": 0}
+    rows = [{"doc_id": "d", "seq": 0, "action": "open", "pages": [page("a"), page("b")]}]
+    rows += [{"doc_id": "d", "seq": i, "action": "apply", "type": "rotate", "ids": ["a"], "delta": 90} for i in range(1, 31)]
+    rows += [{"doc_id": "d", "seq": i, "action": "undo"} for i in range(31, 81)]
+    (source / "0.json").write_text("\n".join(map(json.dumps, rows)))
+    out = stream_replay(spark.readStream.schema(LOG).json(str(source)), most_undo=5)
+    got = {r.page_id: r.rotation for r in run(out, "update", "bounded", spark)}
+    assert got["b"] == 0 and got["a"] in {turns * 90 % 360 for turns in range(20, 26)}
+
+
+def test_saved_parts(spark, tmp_path):
+    rows = [(d, p, f"{d}-{p}", p // 3 + 1, p % 3 + 1) for d in range(20) for p in range(7)]
+    parts = spark.createDataFrame(rows, "doc_id long, position int, page_id string, part_no int, part_position int")
+    S.save_split(parts, str(tmp_path / "parts"), buckets=4)
+    assert sorted(tuple(r) for r in S.load_split(spark, str(tmp_path / "parts")).select(*parts.columns).collect()) == rows
+    assert sorted(r.page_id for r in S.load_split(spark, str(tmp_path / "parts"), doc_id=3, part_no=2, buckets=4).collect()) == ["3-3", "3-4", "3-5"]
+    assert len([x for x in (tmp_path / "parts").iterdir() if x.is_dir()]) <= 4
+    with pytest.raises(AnalysisException):
+        S.save_split(parts, str(tmp_path / "parts"))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"junk\n%PDF-1.4\r\n... /Encrypt 3 0 R")
     (tmp_path / "y.txt").write_bytes(b"plain")
