@@ -29,6 +29,13 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What law and slots of ``op1_hypergeometric_shards`` promise, counted from its rows."""
+    return op1_hypergeometric_shards(spark, sf_dir).groupBy("shard").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("slot").alias("n_slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")
+    )
+
+
 def op2_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest_neighbours(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -108,6 +115,11 @@ FROM docs d LEFT JOIN per p USING (doc_id)
 """
 
 
+_SHARDS_SQL = """
+WITH t AS (SELECT count(*) AS n FROM documents), s AS (SELECT CAST(i AS INTEGER) AS shard, CAST(n // 40 + CASE WHEN i < n % 40 THEN 1 ELSE 0 END AS BIGINT) AS n FROM t, range(40) r(i))
+SELECT shard, n AS n_rows, n AS n_slots, CAST(0 AS BIGINT) AS first_slot, n - 1 AS last_slot FROM s WHERE n > 0
+"""
+
 #: For pages of the given tables' shape, which all mark their article; tests/llm has others.
 _OP5_SQL = r"""
 WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\z)', 1), '') AS body FROM pages),
@@ -135,8 +147,8 @@ FROM f GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hypergeometric_shards, op2_multiprobe_neighbours, op3_simhash_components, op4_chat_turns, op5_page_text, op6_licence_scan, op7_piece_roundtrip, op8_toxicity_scores, op9_benchmark_leaks, op10_line_windows)}
+    return {f.__name__: f for f in (op1_hypergeometric_shards, op2_multiprobe_neighbours, op3_simhash_components, op4_chat_turns, op5_page_text, op6_licence_scan, op7_piece_roundtrip, op8_toxicity_scores, op9_benchmark_leaks, op10_line_windows, shard_sizes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_turns": _OP4_SQL, "op5_page_text": _OP5_SQL, "op6_licence_scan": licence_sql(), "op10_line_windows": _OP10_SQL}
+    return {"op4_chat_turns": _OP4_SQL, "op5_page_text": _OP5_SQL, "op6_licence_scan": licence_sql(), "op10_line_windows": _OP10_SQL, "shard_sizes": _SHARDS_SQL}
