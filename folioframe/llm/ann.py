@@ -127,10 +127,9 @@ def _nearest(k: int):
                 own_ids = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
                 places = min(k, len(own_ids))
                 for i in range(0, len(at), 256):
-                    block, own = q[i : i + 256], queries["query_id"].to_numpy()[at[i : i + 256]]
+                    block, own = q[i : i + 256], queries["query"].to_numpy()[at[i : i + 256]]
                     norm = np.linalg.norm(block, axis=1)
                     score = block @ m.T / norm[:, None] / size
-                    score[own[:, None] == near] = -np.inf
                     of_ids = np.maximum.reduceat(score, own_ids, axis=1) if len(own_ids) < len(near) else score
                     least = np.partition(of_ids, -places, axis=1)[:, -places]
                     a, b = np.nonzero((score >= least[:, None] - 1e-9) & np.isfinite(score))
@@ -143,15 +142,15 @@ def _nearest(k: int):
                     a, b, exact = a[order], b[order], exact[order]
                     first = np.searchsorted(a, a)
                     kept = np.arange(len(a)) - first < k
-                    out.append(pd.DataFrame({"query_id": own[a[kept]], "vec_id": near[b[kept]], "score": exact[kept]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+                    out.append(pd.DataFrame({"query": own[a[kept]], "vec_id": near[b[kept]], "score": exact[kept]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": np.zeros(0, object), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     return run
 
 
 def _met(queries: DataFrame, rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    out = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
-    return out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    out = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_nearest(k), "query string, vec_id long, score double")
+    return out.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -167,12 +166,19 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, settings:
     of ``df`` found, by largest cosine, ties to the smaller id; a row of the query's own id is left out.
 
     Null ids, and vectors that are null, zero or hold null or non-finite components, take no part.
-    Only vectors of the same length are compared. A repeated id counts with its nearest vector. A
-    query for which the buckets hold fewer than ``k`` rows is compared with all rows, exactly.
+    Only vectors of the same length are compared. A repeated id counts with its nearest vector, on either
+    side. A query for which the buckets hold no more than ``k`` rows, its own among them, is compared with all
+    rows, exactly.
     Fitting, and finding such queries, are jobs that run when this is called.
     """
-    spark = df.sparkSession
-    rows, asked = usable(df, id_col, vector_col), usable(queries, id_col, vector_col).withColumnRenamed("vec_id", "query_id")
+    # Of equal vectors only the k + 1 smallest ids can be among anyone's nearest, and equal queries have the same
+    # k + 1 nearest, of which each then leaves out itself. So a group of copies is a few rows.
+    same, k = F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), F.reverse("v")))), k + 1
+    copies = Window.partitionBy("same").orderBy("vec_id")
+    rows = usable(df, id_col, vector_col).groupBy(same.alias("same"), "vec_id").agg(F.first("v").alias("v"))
+    rows = durable(rows.withColumn("n", F.row_number().over(copies)).filter(F.col("n") <= k).select("vec_id", "v"))
+    members = durable(usable(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), same.alias("query"), "v"))
+    asked = members.groupBy("query").agg(F.first("v").alias("v"))
     total = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample_rows).select("v").toPandas()["v"]
     common = max(_by_dimension(sample), key=lambda x: len(x[0]), default=(None, np.zeros((0, 1))))[1] if len(sample) else np.zeros((0, 1))
@@ -189,9 +195,9 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, settings:
         return F.pandas_udf(run, "array<long>")
 
     indexed = rows.select("vec_id", "v", F.posexplode(spread(buckets)(F.col("v"))).alias("table", "bucket"))
-    probing = asked.select("query_id", "v", F.posexplode(spread(probes)(F.col("v"))).alias("at", "bucket"))
+    probing = asked.select("query", "v", F.posexplode(spread(probes)(F.col("v"))).alias("at", "bucket"))
     per = min(s.probes, 5**s.hashes)
-    probing = probing.select("query_id", "v", F.floor(F.col("at") / per).cast("int").alias("table"), "bucket")
+    probing = probing.select("query", "v", F.floor(F.col("at") / per).cast("int").alias("table"), "bucket")
     cell = ["table", "bucket"]
     parts = lambda n: F.ceil(F.col(n) / s.group_rows).cast("int")
     sizes = durable(
@@ -200,17 +206,25 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, settings:
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     indexed = indexed.join(sizes, cell).withColumn("r", part("vec_id", "rs")).select(*cell, "vec_id", "v", "r", each("qs").alias("q"))
-    probing = probing.join(sizes, cell).withColumn("q", part("query_id", "qs")).select(*cell, "query_id", "v", "q", each("rs").alias("r"))
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = lambda x: x.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    probing = probing.join(sizes, cell).withColumn("q", part("query", "qs")).select(*cell, "query", "v", "q", each("rs").alias("r"))
+    first = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda x: x.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query", "rank", "vec_id", "score")
+
+    def answers(found: DataFrame) -> DataFrame:
+        """Of each query's k + 1 nearest those that aren't itself."""
+        own = members.select("query_id", "query").join(found.drop("rank"), "query").filter("query_id != vec_id")
+        own = own.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        each = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return own.withColumn("rank", F.row_number().over(each)).filter(F.col("rank") < k).select("query_id", "rank", "vec_id", "score")
+
     found = durable(ranked(_met(probing, indexed, [*cell, "r", "q"], k)))
-    short = durable(asked.join(found.filter(F.col("rank") == k), "query_id", "left_anti"))
+    short = durable(asked.join(found.filter(F.col("rank") == k), "query", "left_anti"))
     if short.isEmpty():
-        return found
+        return answers(found)
     all_parts = max(1, -(-total // s.group_rows))
     everything = rows.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(all_parts)))
     query_parts = max(1, -(-short.count() // s.group_rows))
     everything = everything.select("vec_id", "v", "r", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("q"))
-    again = short.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int")).select("query_id", "v", "q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(all_parts - 1).cast("bigint"))).alias("r"))
+    again = short.withColumn("q", F.pmod(F.xxhash64("query"), F.lit(query_parts)).cast("int")).select("query", "v", "q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(all_parts - 1).cast("bigint"))).alias("r"))
     exact = ranked(_met(again, everything, ["r", "q"], k))
-    return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(exact)
+    return answers(found.join(short.select("query"), "query", "left_anti").unionByName(exact))

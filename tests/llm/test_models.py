@@ -302,6 +302,19 @@ def test_neighbours(spark):
     assert nearest_neighbours(df.limit(0), queries.limit(0), 5).count() == 0
 
 
+def test_neighbours_in_a_group_of_copies(spark):
+    rng = np.random.default_rng(18)
+    vectors = rng.standard_normal((400, 12)).astype(np.float32)
+    vectors[100:300] = vectors[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {}
+    for r in nearest_neighbours(df, df.filter("vec_id % 50 = 0"), 5, Settings(group_rows=32)).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found.keys() == set(range(0, 400, 50)) and all(len(x) == 5 for x in found.values())
+    assert found[100] == [101, 102, 103, 104, 105] and found[150] == found[200] == found[250] == [100, 101, 102, 103, 104]
+
+
 def test_neighbours_with_repeated_ids_and_few_cells(spark):
     rng = np.random.default_rng(8)
     vectors = rng.standard_normal((300, 6))
