@@ -1,10 +1,10 @@
 """Uniform shuffle into shards of exact sizes, with a hypergeometric communication matrix.
 
-1. Rows are dealt to blocks by a hash of a checkpointed row number.
+1. The rows are written to the checkpoint folder; the partitions that they have there are the blocks.
 2. For each block the number of its rows that go to each shard is drawn exactly: a binary tree over
    the blocks splits the shards' sizes in two with hypergeometric draws, level by level.
-3. Each block permutes its rows and cuts the permutation at the drawn counts.
-4. After the exchange each shard permutes what it got; a row's place is its slot.
+3. Each block permutes its rows where they are and cuts the permutation at the drawn counts.
+4. After the exchange, the only one of the rows, each shard permutes what it got; a row's place is its slot.
 
 Every assignment of rows to shards with the prescribed sizes is equally likely, whatever the sizes
 of the blocks. Draws come from hashes of the seed, so a lost task draws the same numbers again.
@@ -51,7 +51,7 @@ aggregate(sequence(0, size(m) - 1), named_struct('t', total, 'n', left_rows, 'ou
 def communication_matrix(counts: DataFrame, n_shards: int, blocks: int, seed: int) -> DataFrame:
     """(block, upto array<bigint>): row ``block`` of the matrix, summed up along the shards.
 
-    ``counts`` is (block, rows) for blocks 0 to ``blocks``-1 (a power of two); absent ones are empty.
+    ``counts`` is (block, rows) for blocks 0 to ``blocks``-1 (a power of two, from 1); absent ones are empty.
     Shard sizes differ by one at most. The tree has ``log2(blocks)`` levels, each a narrow step.
     """
     sizes = counts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.col("block").cast("int"), F.col("rows").cast("bigint")))).alias("by"))
@@ -78,27 +78,31 @@ def communication_matrix(counts: DataFrame, n_shards: int, blocks: int, seed: in
     )
 
 
-def shuffle_into_shards(df: DataFrame, n_shards: int = 40, seed: int = 42, rows_per_block: int = 250_000) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, n_shards: int = 40, seed: int = 42, rows_per_sort: int = 250_000, most_broadcast: int = 4_000_000) -> DataFrame:
     """``df`` with ``shard`` (int, 0 to n_shards-1) and ``slot`` (long, gapless from 0 in each shard).
 
     Law ``rows``: shard sizes differ by one at most and the assignment is uniform among all of that
     kind. Rows count as they come: nulls, equal rows and repeated keys each get a place of their own,
-    an empty table gives an empty result, and input columns named shard or slot are replaced.
-    Select the columns that are needed first: the rows cross the network twice.
+    an empty table gives an empty result, and input columns named shard or slot are replaced. The
+    second permutation sorts about ``rows_per_sort`` rows at a time; a matrix of up to ``most_broadcast``
+    numbers is broadcast to the blocks, a larger one joined by shuffle. Select the columns that are needed first:
+    the rows are written twice and exchanged once. Writing and drawing are jobs that run when this is called.
     """
     columns = df.columns
     rows = durable(df.select(packed(df), F.monotonically_increasing_id().alias("__row")))
-    total = rows.count()
-    blocks = 64
-    while blocks * rows_per_block < total:
+    # The number says which partition a row was written in, and it is read in that partition again.
+    block, within = F.shiftright("__row", 33).cast("int").alias("block"), F.lit(2**33 - 1)
+    counts = durable(rows.groupBy(block).agg(F.count("*").alias("rows")))
+    total, last = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
+    blocks = 1
+    while blocks <= last:
         blocks *= 2
-    sub = max(4, -(-total // (n_shards * rows_per_block)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "__row"), F.lit(blocks)).cast("int"))
-    matrix = durable(communication_matrix(rows.groupBy("block").agg(F.count("*").alias("rows")), n_shards, blocks, seed))
-    local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "__row"), "__row")
+    sub = max(4, -(-total // (n_shards * rows_per_sort)))
+    matrix = durable(communication_matrix(counts, n_shards, blocks, seed))
+    permuted = rows.sortWithinPartitions(F.xxhash64(F.lit(seed + 1), "__row"), "__row")
+    permuted = permuted.select("__in", "__row", block, (F.monotonically_increasing_id().bitwiseAND(within) + 1).alias("place"))
     dealt = (
-        rows.withColumn("place", F.row_number().over(local))
-        .join(matrix.hint("merge"), "block")
+        permuted.join(F.broadcast(matrix) if blocks * n_shards <= most_broadcast else matrix.hint("merge"), "block")
         .select("__in", "__row", F.expr("size(filter(upto, x -> x < place))").alias("shard"), uniform(F.lit(seed + 2), F.col("__row")).alias("draw"))
         .withColumn("sub", F.floor(F.col("draw") * sub).cast("int"))
     )

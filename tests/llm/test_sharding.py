@@ -31,17 +31,31 @@ def test_matrix_is_hypergeometric(spark):
 
 def test_shards_are_exact_and_repeatable(spark):
     df = spark.range(1003).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("slot"), F.lit(None).cast("string").alias("__row"))
-    out = shuffle_into_shards(df, 40, rows_per_block=10)
+    out = shuffle_into_shards(df, 40, rows_per_sort=10)
     rows = out.toPandas()
     assert list(out.columns) == ["doc_id", "__row", "shard", "slot"]
     assert len(rows) == 1003 and rows["doc_id"].isna().sum() == 335
     assert set(rows.groupby("shard").size()) == {25, 26} and rows["shard"].nunique() == 40
     assert all(sorted(g) == list(range(len(g))) for _, g in rows.groupby("shard")["slot"])
-    again = shuffle_into_shards(df, 40, rows_per_block=10).toPandas()
+    again = shuffle_into_shards(df, 40, rows_per_sort=10).toPandas()
     key = ["shard", "slot"]
     assert rows.sort_values(key)["doc_id"].fillna(-1).tolist() == again.sort_values(key)["doc_id"].fillna(-1).tolist()
 
 
+def test_blocks_of_any_size_permute_where_they_are(spark):
+    """One exchange of rows; a row's shard doesn't depend on where it stands in the input."""
+    df = spark.range(0, 4000, 1, 1).union(spark.range(4000, 4010, 1, 3)).union(spark.range(4010, 6000, 1, 7))
+    out = shuffle_into_shards(df, 8, most_broadcast=10**6).toPandas()
+    again = shuffle_into_shards(df, 8, most_broadcast=0).toPandas()
+    assert out.sort_values("id").values.tolist() == again.sort_values("id").values.tolist()
+    assert out.groupby("shard").size().tolist() == [750] * 8 and all(sorted(g) == list(range(750)) for _, g in out.groupby("shard")["slot"])
+    for part in (out[out.id < 4000], out[out.id >= 4010]):
+        want = len(part) / 8
+        assert (((part.groupby("shard").size() - want) ** 2) / want).sum() < 24
+    halves = out.assign(first=out.id < 2000, early=out.slot < 375)
+    assert abs(halves[halves["first"]].early.mean() - 0.5) < 0.05
+
+
 def test_empty_and_few_rows(spark):
     assert shuffle_into_shards(spark.range(0), 40).count() == 0
     rows = shuffle_into_shards(spark.range(3), 40).collect()
