@@ -227,7 +227,7 @@ def _encoded(texts: pd.Series, words: Vocabulary, chunk_chars: int, cached_words
             waiting, size = [], 0
 
 
-def encode(text: Column, vocabulary: Broadcast, chunk_chars: int = 1_000_000, cached_words: int = 200_000) -> Column:
+def encode(text: Column, vocabulary: Broadcast, chunk_chars: int = 600_000, cached_words: int = 120_000) -> Column:
     """array<int> of piece ids. Null gives null, empty text an empty array; equal texts equal arrays.
 
     Texts go through in chunks of about ``chunk_chars`` characters; a worker keeps the words it has met
@@ -243,7 +243,7 @@ def encode(text: Column, vocabulary: Broadcast, chunk_chars: int = 1_000_000, ca
     return run(text)
 
 
-def encode_and_check(text: Column, vocabulary: Broadcast, chunk_chars: int = 1_000_000, cached_words: int = 200_000) -> Column:
+def encode_and_check(text: Column, vocabulary: Broadcast, chunk_chars: int = 600_000, cached_words: int = 120_000) -> Column:
     """struct<ids, same>: as ``encode``, and whether decoding the ids gives the very text again; done in
     one worker, so that neither ids nor text go back and forth for it. Null text: null ids, same."""
 

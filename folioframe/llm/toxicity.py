@@ -156,7 +156,7 @@ def word_value(model: Model, word: str) -> float:
     return float(word_values(model, [word])[0])
 
 
-def features(text: Column, model: Broadcast, cached_words: int = 300_000) -> Column:
+def features(text: Column, model: Broadcast, cached_words: int = 100_000) -> Column:
     """struct<mean, most, excess, n> of each whole text; null and empty texts have zeros."""
 
     @F.pandas_udf(_FEATURES)
