@@ -53,7 +53,6 @@ _HEADERS = frozenset("header headers masthead".split())
 _NONE: frozenset[str] = frozenset()
 
 
-@lru_cache(4_096)
 def _attributes(more: str) -> tuple[frozenset[str], bool, bool]:
     """(hints of furniture, invisible, role of main content) of a start tag's attributes."""
     names, hidden, main, hints = [], False, False, set()
@@ -71,6 +70,9 @@ def _attributes(more: str) -> tuple[frozenset[str], bool, bool]:
     return frozenset(hints), hidden, main
 
 
+_known_attributes = lru_cache(4_096)(_attributes)
+
+
 class _Element:
     __slots__ = ("parent", "tag", "hints", "hidden", "marks", "words", "active", "root", "link", "holder", "weight")
 
@@ -136,7 +138,7 @@ def _parse(page: str) -> tuple[list[_Element], list[tuple]]:
                 last = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
                 at = last.start() if last else len(page)
                 break
-            hints, hidden, main = _attributes(more) if more else (_NONE, False, False)
+            hints, hidden, main = (_NONE, False, False) if not more else _known_attributes(more) if len(more) < 500 else _attributes(more)
             marks = name if name in ("article", "main") else "main" if main else ""
             if marks:
                 hints = hints & _COMMENTS
