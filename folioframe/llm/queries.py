@@ -9,9 +9,12 @@ from .ann import nearest_neighbours
 from .chat import Template, format_chats, read_back, unescape
 from .common import table
 from .decontam import leaks
+from .fingerprints import edited_fingerprints, shown
 from .html_extract import extract
+from .lexical import search
 from .licences import licence_sql, scan_licences
 from .line_dedup import remove_repeated_lines
+from .negatives import mine_hard_negatives
 from .pieces import encode_and_check, load
 from .simhash import near_duplicates
 from .sharding import shuffle_into_shards
@@ -100,6 +103,24 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_lines(docs)
 
 
+def op11_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", shown(F.col("signature")).alias("fingerprint"), shown(F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next"
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=50)
+
+
 _OP10_SQL = """
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 w AS (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS pos FROM docs WHERE len(lines) >= 3),
@@ -145,10 +166,34 @@ SELECT conv_id, count(*) AS n_turns,
 FROM f GROUP BY conv_id
 """
 
+_OP12_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id != b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+_OP13_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, len(terms) AS n, terms FROM t WHERE len(terms) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+w AS (SELECT doc_id, n, unnest(terms) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM w GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hypergeometric_shards, op2_multiprobe_neighbours, op3_simhash_components, op4_chat_turns, op5_page_text, op6_licence_scan, op7_piece_roundtrip, op8_toxicity_scores, op9_benchmark_leaks, op10_line_windows, shard_sizes)}
+    return {f.__name__: f for f in (op1_hypergeometric_shards, op2_multiprobe_neighbours, op3_simhash_components, op4_chat_turns, op5_page_text, op6_licence_scan, op7_piece_roundtrip, op8_toxicity_scores, op9_benchmark_leaks, op10_line_windows, op11_weighted_fingerprints, op12_hard_negatives, op13_ranked_search, shard_sizes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_turns": _OP4_SQL, "op5_page_text": _OP5_SQL, "op6_licence_scan": licence_sql(), "op10_line_windows": _OP10_SQL, "shard_sizes": _SHARDS_SQL}
+    return {"op4_chat_turns": _OP4_SQL, "op5_page_text": _OP5_SQL, "op6_licence_scan": licence_sql(), "op10_line_windows": _OP10_SQL, "op12_hard_negatives": _OP12_SQL, "op13_ranked_search": _OP13_SQL, "shard_sizes": _SHARDS_SQL}
