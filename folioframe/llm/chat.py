@@ -115,12 +115,14 @@ def read_back(formatted: Column, template: Template = Template()) -> Column:
     pieces = F.arrays_zip(F.split(formatted, pattern, -1).alias("text"), F.regexp_extract_all(formatted, F.lit(f"({pattern})"), F.lit(1)).alias("mark"))
     before = [template.named[1], *(b for b, _ in template.roles.values() if b)]
 
-    def turn(piece: Column, i: Column) -> Column:
-        last = F.get(pieces, i - 1)
+    def turn(held: Column, piece: Column, i: Column) -> Column:
+        last = F.get(held, i - 1)
         role = F.when((piece["mark"] == template.named[2]) & (last["mark"] == template.named[1]), unescape(last["text"]))
         for name, (b, a) in template.roles.items():
             opened = last["mark"] == b if b else ~F.coalesce(last["mark"].isin(before), F.lit(False))
             role = role.when((piece["mark"] == a) & opened, F.lit(name))
         return F.struct(role.alias("role"), unescape(piece["text"]).alias("text"))
 
-    return F.filter(F.transform(pieces, turn), lambda x: x["role"].isNotNull())
+    # An array of one, so that the pieces are worked out once and not again for every turn.
+    turns = F.transform(F.array(pieces), lambda held: F.filter(F.transform(held, lambda piece, i: turn(held, piece, i)), lambda x: x["role"].isNotNull()))
+    return F.get(turns, 0)

@@ -31,13 +31,14 @@ def _words(text: Column) -> Column:
 
 def _draw(h: Column, tf: Column, log_tf: Column) -> Column:
     """exp(-a) of a word's draw ``h`` at weight ``tf``, as a number below 2^62; null for weight 0."""
-    exponential = lambda x: -F.log((F.shiftrightunsigned(x, 2) + F.lit(0.5)) * F.lit(2.0**-62))
+    uniform = lambda x: (F.shiftrightunsigned(x, 2) + F.lit(0.5)) * F.lit(2.0**-62)
+    exponential = lambda x: -F.log(uniform(x))
     second = F.xxhash64(h)
     a1, e, w2 = exponential(h), exponential(second), exponential(F.xxhash64(second))
     r = F.greatest(F.log((a1 + e) / a1) + w2, F.lit(1e-12))
-    a = a1 * F.exp(-r * F.floor((log_tf + w2) / r))
-    # t is 0 if e > (S - 1) a1, which for S = 2 needs no logarithm.
-    first = (tf == 1) | ((tf == 2) & (F.shiftrightunsigned(second, 2) < F.shiftrightunsigned(h, 2)))
+    a = a1 * F.exp(-r * F.greatest(F.floor((log_tf + w2) / r), F.lit(1)))
+    # t is 0 if e > (S - 1) a1, so if exp(-e) < exp(-a1)^(S - 1); for S = 2 that needs no arithmetic. Then the number is S = 1's.
+    first = (tf == 1) | F.when(tf == 2, F.shiftrightunsigned(second, 2) < F.shiftrightunsigned(h, 2)).otherwise(uniform(second) < F.pow(uniform(h), tf - 1))
     return F.when(tf == 0, F.lit(None)).when(first, F.shiftrightunsigned(h, 2)).otherwise((F.exp(-a) * F.lit(2.0**62)).cast("bigint"))
 
 
