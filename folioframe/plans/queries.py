@@ -209,8 +209,8 @@ def search_invalid(spark, sf):
 @query
 def stream_search_hits(spark, sf):
     """The same search as ``search_offsets`` over the conversations as a stream, all that is there at once."""
-    folder, source = _folder(spark), f"{sf}/conversations.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source + "*")
+    folder, source = _folder(spark), f"{sf}/conversations.parque[t]"  # a pattern, since a stream reads no single file
+    rows = spark.readStream.schema(_table(spark, sf, "conversations").schema).parquet(source)
     pages = rows.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), "text")
     written = R.stream_search(pages, "ON").writeStream.format("parquet").option("path", f"{folder}/hits").option("checkpointLocation", f"{folder}/state")
     written.outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -1,72 +1,115 @@
-"""The same operators on streams: search without state, replay with one state for each document."""
+"""The same operators on streams: search without state, replay with keyed state for each document."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.history import Pages
 from ..operators.search import find_matches
 
 LOG = "doc_id string, seq long, action string, type string, ids array<string>, to_index int, delta int, pages array<struct<page_id:string,source_id:string,source_index:int,rotation:int>>"
 _OUT = "doc_id string, seq long, position int, page_id string, source_id string, source_index int, rotation int"
-_COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_search(pages: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
     return find_matches(pages, query, regex, case_sensitive)
 
 
-def _tuples(pages: list[dict] | None) -> list[tuple]:
+def _tuples(pages: list | None) -> list[tuple]:
     return [(p["page_id"], p["source_id"], p["source_index"], p["rotation"]) for p in pages or ()]
 
 
-def _after(pages: list[tuple], ops: list[dict]) -> list[tuple]:
-    now = Pages()
-    now.insert(None, pages)
-    for op in ops:
-        now.apply(op["type"], op["ids"], op["to_index"], op["delta"], _tuples(op["pages"]))
-    return [r[1:] for r in now.rows()]
-
-
-def _replayer(most_undo: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        """``open`` sets the first pages; rows wait for the ones before them, repeated ones don't count. The state
-        is the pages as they were ``most_undo`` operations ago, those operations, and what was undone."""
-        s = json.loads(state.get[0]) if state.exists else {"pages": [], "applied": [], "undone": [], "next": 0, "waiting": {}}
-        before = s["next"]
-        for batch in batches:
-            for row in json.loads(batch.to_json(orient="records", default_handler=dict)):
-                if row["seq"] is not None and row["seq"] >= s["next"]:
-                    s["waiting"][str(int(row["seq"]))] = row
-        while (row := s["waiting"].pop(str(s["next"]), None)) is not None:
-            s["next"] += 1
-            if row["action"] == "open":
-                s |= {"pages": _tuples(row["pages"]), "applied": [], "undone": []}
-            elif row["action"] == "apply":
-                s["applied"].append({k: row[k] for k in ("type", "ids", "to_index", "delta", "pages")})
-                s["undone"] = []
-            elif row["action"] == "undo" and s["applied"]:
-                s["undone"].append(s["applied"].pop())
-            elif row["action"] == "redo" and s["undone"]:
-                s["applied"].append(s["undone"].pop())
-            if len(s["applied"]) > 2 * most_undo:
-                s["pages"], s["applied"] = _after(s["pages"], s["applied"][:-most_undo]), s["applied"][-most_undo:]
-        if s["next"] > before:
-            rows = [(key[0], s["next"] - 1, i + 1, *p) for i, p in enumerate(_after(s["pages"], s["applied"]))]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
-        state.update((json.dumps(s),))
-
-    return run
-
-
-def stream_replay(log: DataFrame, most_undo: int = 500) -> DataFrame:
+class _Replay(StatefulProcessor):
+    """A document's state: its operations by place, what is in force and what is undone as two numbers, its pages
+    at every ``every``-th place, and the rows that wait for the ones before them. A row writes its own entry and the
+    numbers; a page list is written once for ``every`` operations."""
+
+    def __init__(self, every: int) -> None:
+        self.every = every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "next long, applied long, undone long, kept long, waiting long")
+        self.ops = handle.getMapState("ops", "place long", "op string")
+        self.kept = handle.getMapState("kept", "place long", "pages string")
+        self.waiting = handle.getMapState("waiting", "seq long", "row string")
+
+    def _at(self, place: int, kept: int) -> Pages:
+        """The pages after the first ``place`` operations, from the last list that was kept before them."""
+        base, now = min(place, kept) // self.every * self.every, Pages()
+        if self.kept.containsKey((base,)):
+            now.insert(None, json.loads(self.kept.getValue((base,))[0]))
+        for i in range(base + 1, place + 1):
+            now.apply(*json.loads(self.ops.getValue((i,))[0]))
+        return now
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        next_seq, applied, undone, kept, waiting = self.head.get() if self.head.exists() else (0, 0, 0, 0, 0)
+        before, now = next_seq, None
+
+        def step(action: str | None, op: list) -> None:
+            nonlocal applied, undone, kept, now
+            if action == "open":
+                self.ops.clear()
+                self.kept.clear()
+                applied = undone = kept = 0
+                now = Pages()
+                now.insert(None, op[4] or ())
+                self.kept.updateValue((0,), (json.dumps(op[4] or []),))
+            elif action == "apply":
+                applied, undone = applied + 1, 0
+                while kept >= applied:  # lists of what can't be redone any more
+                    self.kept.removeKey((kept,))
+                    kept -= self.every
+                self.ops.updateValue((applied,), (json.dumps(op),))
+                if now is not None:
+                    now.apply(*op)
+                if applied % self.every == 0:
+                    now = now or self._at(applied, kept)
+                    self.kept.updateValue((applied,), (json.dumps([r[1:] for r in now.rows()]),))
+                    kept = applied
+            elif action == "undo" and applied:
+                applied, undone, now = applied - 1, undone + 1, None
+            elif action == "redo" and undone:
+                applied, undone, now = applied + 1, undone - 1, None
+
+        for row in rows:
+            if row.seq is None or row.seq < next_seq:
+                continue
+            op = [row.type, list(row.ids or ()), row.to_index, row.delta, _tuples(row.pages)]
+            if row.seq > next_seq:
+                if not self.waiting.containsKey((row.seq,)):
+                    self.waiting.updateValue((row.seq,), (json.dumps([row.action, op]),))
+                    waiting += 1
+                continue
+            step(row.action, op)
+            next_seq += 1
+            while waiting and self.waiting.containsKey((next_seq,)):
+                step(*json.loads(self.waiting.getValue((next_seq,))[0]))
+                self.waiting.removeKey((next_seq,))
+                next_seq, waiting = next_seq + 1, waiting - 1
+        self.head.update((next_seq, applied, undone, kept, waiting))
+        if next_seq > before:
+            now = now or self._at(applied, kept)
+            for position, *page in now.rows():
+                yield Row(doc_id=key[0], seq=next_seq - 1, position=position, page_id=page[0], source_id=page[1], source_index=page[2], rotation=page[3])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_replay(log: DataFrame, every: int = 256) -> DataFrame:
     """Each document's manifest after every batch that moves it on, from a stream of ``LOG`` rows whose
     seq counts from 0 in each document. Use output mode update.
 
-    The last ``most_undo`` operations can always be undone (up to twice as many are kept); older ones are
-    final, which bounds a document's state and the work of a batch."""
-    return log.groupBy("doc_id").applyInPandasWithState(_replayer(most_undo), _OUT, "data string", "update", "NoTimeout")
+    ``open`` sets the first pages. Rows wait for the ones before them, without a bound; repeated and late ones don't
+    count. Any number of operations can be undone. What is kept for a document grows with its operations, on
+    disk, and a batch reads the last page list before the place it ends at with the ``every`` operations behind it
+    at most. A document without pages has no rows. The session's state store becomes the one on RocksDB, which keyed
+    state needs."""
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    return log.groupBy("doc_id").transformWithState(_Replay(every), _OUT, "Update", "None")

@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.errors import AnalysisException
 
 from folioframe.operators.headings import DEFAULT_PATTERNS
+from folioframe.operators.history import OP, operations, replay_history
 from folioframe.sources import intake as S
 from folioframe.streaming.streams import LOG, stream_replay, stream_search
 
@@ -42,17 +44,63 @@ def test_stream_replay_waits_for_gaps(spark, tmp_path):
     assert seen == {0: [("a", 0), ("b", 0), ("c", 0)], 2: [("a", 90), ("c", 0)], 4: [("c", 0), ("a", 90), ("b", 0)]}
 
 
-def test_stream_replay_keeps_a_bounded_list_to_undo(spark, tmp_path):
-    source = tmp_path / "log"
+def replayed(spark, source, batches, name, **more):
+    """The manifests of a stream of batches after each of them, by (document, seq)."""
+    q = stream_replay(spark.readStream.schema(LOG).json(str(source)), **more).writeStream.outputMode("update").format("memory").queryName(name).start()
+    for i, rows in enumerate(batches):
+        (source / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
+        q.processAllAvailable()
+    q.stop()
+    seen = {}
+    for r in spark.sql(f"SELECT * FROM {name} ORDER BY seq, position").collect():
+        seen.setdefault((r.doc_id, r.seq), []).append((r.page_id, r.source_id, r.source_index, r.rotation))
+    return seen
+
+
+def batch_replay(spark, rows):
+    """The last manifest of each document by the batch operators."""
+    log = [(r["doc_id"], r["seq"], r["action"], (r.get("type"), r.get("ids"), r.get("to_index"), r.get("delta"), [tuple(p.values()) for p in r.get("pages") or ()])) for r in rows if r["action"] != "open"]
+    first = [(r["doc_id"], i + 1, *p.values()) for r in rows if r["action"] == "open" for i, p in enumerate(r["pages"])]
+    manifest = spark.createDataFrame(first, "doc_id string, position int, page_id string, source_id string, source_index int, rotation int")
+    out = {}
+    for r in sorted(replay_history(manifest, operations(spark.createDataFrame(log, f"doc_id string, seq long, action string, op {OP}"))).collect(), key=lambda r: r.position):
+        out.setdefault(r.doc_id, []).append((r.page_id, r.source_id, r.source_index, r.rotation))
+    return out
+
+
+def test_stream_undoes_two_thousand_operations(spark, tmp_path):
+    source, rng = tmp_path / "log", random.Random(8)
     source.mkdir()
     page = lambda p: {"page_id": p, "source_id": "A", "source_index": 0, "rotation": 0}
-    rows = [{"doc_id": "d", "seq": 0, "action": "open", "pages": [page("a"), page("b")]}]
-    rows += [{"doc_id": "d", "seq": i, "action": "apply", "type": "rotate", "ids": ["a"], "delta": 90} for i in range(1, 31)]
-    rows += [{"doc_id": "d", "seq": i, "action": "undo"} for i in range(31, 81)]
-    (source / "0.json").write_text("\n".join(map(json.dumps, rows)))
-    out = stream_replay(spark.readStream.schema(LOG).json(str(source)), most_undo=5)
-    got = {r.page_id: r.rotation for r in run(out, "update", "bounded", spark)}
-    assert got["b"] == 0 and got["a"] in {turns * 90 % 360 for turns in range(20, 26)}
+    rows = [{"doc_id": "d", "seq": 0, "action": "open", "pages": [page(f"p{i}") for i in range(6)]}]
+    for i in range(1, 2_301):
+        rows.append({"doc_id": "d", "seq": i, "action": "apply", "type": rng.choice(["rotate", "reorder"]), "ids": [f"p{rng.randrange(6)}"], "to_index": rng.randrange(6), "delta": 90})
+    rows += [{"doc_id": "d", "seq": i, "action": "undo"} for i in range(2_301, 4_301)]
+    rows += [{"doc_id": "d", "seq": i, "action": "redo"} for i in range(4_301, 4_331)]
+    rows.append({"doc_id": "d", "seq": 4_331, "action": "apply", "type": "delete", "ids": ["p3"]})
+    cuts = [0, 900, 2_301, 3_000, 4_301, 4_331, len(rows)]
+    seen = replayed(spark, source, [rows[a:b] for a, b in zip(cuts, cuts[1:])], "undone", every=64)
+    for end in cuts[1:]:
+        assert seen["d", end - 1] == batch_replay(spark, rows[:end])["d"]
+
+
+def test_stream_equals_batch_on_mixed_late_and_repeated_rows(spark, tmp_path):
+    source, rng, rows = tmp_path / "log", random.Random(9), []
+    source.mkdir()
+    page = lambda p: {"page_id": p, "source_id": "A", "source_index": 1, "rotation": 0}
+    for doc in "abcdef":
+        rows.append({"doc_id": doc, "seq": 0, "action": "open", "pages": [page(f"{doc}{i}") for i in range(5)]})
+        for seq in range(1, 80):
+            kind = rng.choice(["rotate", "delete", "reorder", "merge", "odd"])
+            action = rng.choice(["apply", "apply", "undo", "undo", "redo", "save", None])
+            rows.append({"doc_id": doc, "seq": seq, "action": action, "type": kind, "ids": rng.sample([f"{doc}{i}" for i in range(5)], 2), "to_index": rng.randrange(-1, 7), "delta": rng.choice([90, -90, 45]), "pages": [page(f"n{doc}{seq}")]})
+    sent = rows + [r | {"action": "undo"} for r in rng.sample(rows, 60)]  # repeated ones, changed
+    late = [r for r in sent[len(rows) :]]
+    first = rows[:]
+    rng.shuffle(first)
+    seen = replayed(spark, source, [first[:150], first[150:300], first[300:], late, [{"doc_id": None, "seq": 0, "action": "undo"}, {"doc_id": "a", "seq": None, "action": "undo"}]], "mixed", every=4)
+    want = batch_replay(spark, rows)
+    assert {d: seen.get((d, 79), []) for d in "abcdef"} == {d: want.get(d, []) for d in "abcdef"}
 
 
 def test_saved_parts(spark, tmp_path):
