@@ -1,12 +1,13 @@
 """Edit logs: undo and redo, and replay of the operations that stay in force.
 
-Both are folds over a document's rows in order. Spark partitions rows by document and sorts them, and a
-task runs through its rows with the state of one document at a time: two numbers for undo and redo, the
-pages for a replay. So a log of any length streams through, and nothing is collected into one row.
+Undo and redo are a scan over ranges of the log: maps of the two numbers that a range makes of any start combine, so
+one document's log may lie in many partitions. A replay is a fold: Spark partitions rows by document and sorts them, and
+a task runs through its rows with the pages of one document at a time.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,7 +20,8 @@ from .manifest import MANIFEST
 
 PAGE = "struct<page_id:string,source_id:string,source_index:int,rotation:int>"
 OP = f"struct<type:string,ids:array<string>,to_index:int,delta:int,pages:array<{PAGE}>>"
-_STATES = "doc_id string, seq long, action string, n_applied long, n_undone long, saved_len long"
+_STATES = "doc_id string, seq long, action string, n_applied long, n_undone long"
+_MAPS = ["part", "at", "doc_id", "map", "applied", "top"]
 _PAGES = "doc_id string, position int, page_id string, source_id string, source_index int, rotation int"
 
 
@@ -27,23 +29,122 @@ def log_sizes(log: DataFrame) -> DataFrame:
     return log.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    doc, applied, undone, saved = object(), 0, 0, 0
+class Walk:
+    """What undo and redo make of (applied, T), T being what is applied and what is undone together, for all
+    starts at once, as a range of a log doesn't know where it begins.
+
+    With T given, a step of undo or redo is clamp(applied + d, 0, T), and such maps compose: (add, floor, ceiling), of
+    which floor and ceiling depend on T, are kept for each T up to the number of steps. The first apply makes
+    T = applied, so what follows depends on one number s alone, and applied and T are kept for each s. Starts
+    beyond the number of steps never meet an edge and differ by what they differ at the start.
+    """
+
+    def __init__(self, actions: list[str | None]) -> None:
+        steps = [d for d in ({"apply": 0, "undo": -1, "redo": 1}.get(x) for x in actions) if d is not None]
+        applies = [i for i, d in enumerate(steps) if d == 0]
+        first = applies[0] if applies else len(steps)
+        self.most = most = first
+        top = np.arange(most + 1)
+        self.add, self.floor, self.ceiling = 0, np.zeros(most + 1, np.int64), top.copy()
+        for d in steps[:first]:
+            self.add += d
+            self.floor, self.ceiling = (np.clip(x + d, 0, top) for x in (self.floor, self.ceiling))
+        self.after = None
+        if applies:
+            # s counts from 1: what is applied right after the first apply.
+            undos = sum(d < 0 for d in steps[first:])
+            here = np.arange(1, undos + 3)
+            top = here.copy()
+            for d in steps[first + 1 :]:
+                if d == 0:
+                    here += 1
+                    top = here.copy()
+                elif d < 0:
+                    np.maximum(here - 1, 0, out=here)
+                else:
+                    np.minimum(here + 1, top, out=here)
+            self.after = here, top
+
+    def __call__(self, applied: int, top: int) -> tuple[int, int]:
+        at, over = min(top, self.most), max(0, top - self.most)
+        here = min(max(applied + self.add, int(self.floor[at])), int(self.ceiling[at]) + over)
+        if self.after is None:
+            return here, top
+        s, (ends, tops) = here, self.after
+        at = min(s, len(ends) - 1)
+        return int(ends[at]) + s - at, int(tops[at]) + s - at
+
+    def packed(self) -> bytes:
+        return pickle.dumps((self.most, self.add, self.floor, self.ceiling, self.after))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Walk:
+        out = cls.__new__(cls)
+        out.most, out.add, out.floor, out.ceiling, out.after = pickle.loads(data)
+        return out
+
+
+_RANGE_ROWS = 2_048
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first document of a partition as maps of ranges of its rows, since it may go on from the partition before;
+    the last one's numbers at the end, if it began here."""
+    first, doc, n, part = None, None, 0, None
+    actions: list[str | None] = []
+    state = Numbers()
+    for batch in batches:
+        maps = []
+        for part, d, action in zip(batch["part"].tolist(), batch["doc_id"], batch["action"]):
+            if first is None:
+                first = d
+            if d == first:
+                actions.append(action)
+                if len(actions) == _RANGE_ROWS:
+                    maps.append((part, n, first, Walk(actions).packed(), None, None))
+                    actions, n = [], n + 1
+            elif d != doc:
+                doc, state = d, Numbers()
+            if d != first:
+                state.step(action)
+        yield pd.DataFrame(maps, columns=_MAPS)
+    if first is not None:
+        rest = [(part, n, first, Walk(actions).packed(), None, None)] + ([(part, n + 1, doc, None, state.applied, state.applied + state.undone)] if doc is not None else [])
+        yield pd.DataFrame(rest, columns=_MAPS)
+
+
+def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(part, applied, top): where the first document of each partition stands at its beginning, from one
+    document's maps in order."""
+    doc, applied, top, last = None, 0, 0, None
     for batch in batches:
         out = []
-        for d, seq, action in zip(batch["doc_id"], batch["seq"].tolist(), batch["action"]):
+        for part, _, d, data, end, end_top in batch[_MAPS].itertuples(index=False, name=None):
             if d != doc:
-                doc, applied, undone, saved = d, 0, 0, 0
-            if action == "apply":
-                applied, undone = applied + 1, 0
-            elif action == "undo" and applied:
-                applied, undone = applied - 1, undone + 1
-            elif action == "redo" and undone:
-                applied, undone = applied + 1, undone - 1
-            elif action == "save":
-                saved = applied
-            out.append((d, seq, action, applied, undone, saved))
-        yield pd.DataFrame(out, columns=["doc_id", "seq", "action", "n_applied", "n_undone", "saved_len"])
+                doc, applied, top, last = d, 0, 0, None
+            if data is None:
+                applied, top = int(end), int(end_top)
+                continue
+            if part != last:
+                out.append((part, applied, top))
+                last = part
+            applied, top = Walk.unpacked(data)(applied, top)
+        yield pd.DataFrame(out, columns=["part", "applied", "top"])
+
+
+class Numbers:
+    """What is applied, undone and saved after each row."""
+
+    def __init__(self, applied: int = 0, undone: int = 0) -> None:
+        self.applied, self.undone = applied, undone
+
+    def step(self, action: str | None) -> None:
+        if action == "apply":
+            self.applied, self.undone = self.applied + 1, 0
+        elif action == "undo" and self.applied:
+            self.applied, self.undone = self.applied - 1, self.undone + 1
+        elif action == "redo" and self.undone:
+            self.applied, self.undone = self.applied + 1, self.undone - 1
 
 
 def resolve_history(log: DataFrame) -> DataFrame:
@@ -57,14 +158,46 @@ def resolve_history(log: DataFrame) -> DataFrame:
 
 
 def _states(log: DataFrame) -> DataFrame:
-    """How many operations are applied and undone after each row of the log."""
+    """How many operations are applied and undone after each row of the log.
+
+    Rows are dealt out by ranges of (document, seq), so that a long log lies in many partitions, and written. In each
+    partition only the first document can go on from the one before. One narrow pass makes maps of its ranges,
+    a fold over a document's few maps says where each partition starts, and a second narrow pass walks through the rows.
+    """
     rows = log.filter("doc_id IS NOT NULL AND seq IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("seq").cast("bigint").alias("seq"), "action")
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInPandas(_walk, _STATES)
+    rows = rows.repartitionByRange("doc_id", "seq").sortWithinPartitions("doc_id", "seq").withColumn("part", F.spark_partition_id())
+    rows = durable(rows)
+    maps = rows.mapInPandas(_summaries, "part int, at int, doc_id string, map binary, applied long, top long")
+    starts = maps.repartition("doc_id").sortWithinPartitions("doc_id", "part", "at").mapInPandas(_starts, "part int, applied long, top long")
+    return _with_starts(rows, starts)
+
+
+def _with_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """The numbers of a partition's start travel to it in a small table, one row for each partition of the log."""
+    held = rows.sparkSession.sparkContext.broadcast({r.part: (r.applied, r.top) for r in starts.toLocalIterator()})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, state = None, None
+        for batch in batches:
+            out = []
+            for part, d, seq, action in zip(batch["part"].tolist(), batch["doc_id"], batch["seq"].tolist(), batch["action"]):
+                if state is None:
+                    applied, top = held.value[part]
+                    doc, state = d, Numbers(applied, top - applied)
+                elif d != doc:
+                    doc, state = d, Numbers()
+                state.step(action)
+                out.append((d, seq, action, state.applied, state.undone))
+            yield pd.DataFrame(out, columns=["doc_id", "seq", "action", "n_applied", "n_undone"])
+
+    return rows.mapInPandas(walk, _STATES)
 
 
 def _final(states: DataFrame, log: DataFrame) -> DataFrame:
-    last = states.groupBy("doc_id").agg(F.max_by(F.struct("n_applied", "n_undone", "saved_len"), "seq").alias("s"))
-    return last.select(F.col("doc_id").cast(log.schema["doc_id"].dataType).alias("doc_id"), F.col("s.n_applied").cast("int").alias("n_applied"), F.col("s.n_undone").cast("int").alias("n_undone"), F.col("s.saved_len").cast("int").alias("saved_len"))
+    saved = F.coalesce(F.max_by("n_applied", F.when(F.col("action") == "save", F.col("seq"))), F.lit(0))
+    last = states.groupBy("doc_id").agg(F.max_by(F.struct("n_applied", "n_undone"), "seq").alias("s"), saved.alias("saved_len"))
+    number = lambda c: F.col(c).cast("int")
+    return last.select(F.col("doc_id").cast(log.schema["doc_id"].dataType).alias("doc_id"), number("s.n_applied").alias("n_applied"), number("s.n_undone").alias("n_undone"), number("saved_len").alias("saved_len"))
 
 
 def operations(log: DataFrame) -> DataFrame:

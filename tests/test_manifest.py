@@ -138,6 +138,46 @@ def test_history_and_replay_against_a_model(spark):
     assert {r.doc_id: (r.n_applied, r.n_undone, r.unsaved) for r in E.history_flags(history).collect()} == {d: f for d, f in flags.items() if d in seen}
 
 
+def test_ranges_of_a_log_combine():
+    rng = random.Random(12)
+    for _ in range(300):
+        weights = rng.choice([(3, 2, 2, 1), (1, 4, 4, 0), (0, 1, 1, 0), (5, 6, 1, 1), (1, 1, 8, 0)])
+        log = rng.choices(["apply", "undo", "redo", "save"], weights, k=rng.randint(0, 60))
+        state = E.Numbers(rng.randint(0, 12), rng.randint(0, 12))
+        applied, top = state.applied, state.applied + state.undone
+        cuts = sorted(rng.choices(range(len(log) + 1), k=rng.randint(0, 4)))
+        for a, b in zip([0, *cuts], [*cuts, len(log)]):
+            applied, top = E.Walk.unpacked(E.Walk(log[a:b]).packed())(applied, top)
+        for action in log:
+            state.step(action)
+        assert (applied, top) == (state.applied, state.applied + state.undone), log
+
+
+def test_one_log_over_many_partitions(spark):
+    """Documents that begin, end and go on anywhere in the ranges of a log, one of them very long."""
+    rng, rows, want = random.Random(13), [], {}
+    for doc, n in [("a", 30), ("b", 60_000), ("c", 1), ("d", 9_000), *((f"e{i}", 20) for i in range(50))]:
+        state, saved = E.Numbers(), 0
+        for seq in range(n):
+            # Long stretches of one kind, down to nothing in force and up to nothing undone.
+            kinds = {0: (6, 1, 1), 1: (1, 9, 3), 2: (0, 5, 5)}[seq // 700 % 3]
+            action = "save" if seq % 97 == 5 else rng.choices(["apply", "undo", "redo"], kinds)[0]
+            state.step(action)
+            saved = state.applied if action == "save" else saved
+            rows.append((doc, seq, action))
+        want[doc] = (state.applied, state.undone, saved)
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        log = spark.createDataFrame([*rows, (None, 1, "apply"), ("a", None, "apply")], "doc_id string, seq long, action string")
+        got = {r.doc_id: (r.n_applied, r.n_undone, r.saved_len) for r in E.resolve_history(log).collect()}
+        parts = E._states(log).select("doc_id", F.spark_partition_id().alias("p")).filter("doc_id = 'b'").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want and parts > 4
+    assert E.resolve_history(log.limit(0)).count() == 0
+
+
 def test_replay_with_nulls_and_unknown_operations(spark):
     ops = [(1, 1, "reorder", ["p2", None], 0, None, None), (1, 2, "delete", [None], None, None, None), (1, 3, "rotate", ["p0", "zz"], None, 90, None), (1, 4, "odd", ["p0"], None, None, None),
            (1, 5, "delete", None, None, None, None), (1, 6, "merge", None, None, None, [("m", "B", 3, 90)]), (2, 1, "merge", None, 9, None, [("n", "B", 0, 0)]), (None, 1, "delete", ["p1"], None, None, None)]
