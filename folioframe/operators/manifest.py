@@ -173,16 +173,34 @@ def check_limits(sources: DataFrame, most_pages: int = 500, most_bytes: int = 50
 def output_manifest(manifest: DataFrame, page_dims: DataFrame) -> DataFrame:
     """(doc_id, output_index from 0, page_id, source_id, source_index, rotation): as it will be written.
 
-    The page's own turn and the manifest's add up. See ``output_errors`` for what can't be written.
+    The page's own turn and the manifest's add up; a page that wasn't measured has none of its own. Every page
+    of the manifest is there; ``output_errors`` and ``page_errors`` list what can't be written.
     """
     dims = page_dims.select("source_id", "source_index", "page_rotate").dropDuplicates(["source_id", "source_index"])
-    joined = manifest.join(dims, ["source_id", "source_index"])
+    joined = manifest.join(dims, ["source_id", "source_index"], "left")
     return joined.select("doc_id", (F.col("position") - 1).alias("output_index"), "page_id", "source_id", "source_index", normalize_rotation(F.coalesce("page_rotate", F.lit(0)) + F.col("rotation")).alias("rotation"))
 
 
-def output_errors(documents: DataFrame, manifest: DataFrame, page_dims: DataFrame) -> DataFrame:
-    """(doc_id, error) of documents without pages or with a source that isn't there."""
+def page_errors(manifest: DataFrame, sources: DataFrame) -> DataFrame:
+    """(doc_id, position, page_id, source_id, source_index, error) of every page that isn't in its source, from the
+    sources' lengths (source_id, num_pages): the source is missing, or the page lies before its first or
+    behind its last page. A source that is listed more than once has its greatest length; a null length is 0."""
+    lengths = sources.groupBy("source_id").agg(F.coalesce(F.max("num_pages"), F.lit(0)).alias("num_pages"), F.lit(True).alias("known"))
+    rows = manifest.join(lengths, "source_id", "left")
+    outside = F.coalesce((F.col("source_index") < 0) | (F.col("source_index") >= F.col("num_pages")), F.lit(True))
+    page = F.coalesce(F.col("source_index").cast("string"), F.lit("null"))
+    error = F.when(F.col("known").isNull(), F.concat(F.lit("missing source "), F.coalesce("source_id", F.lit("null")))).when(
+        outside, F.concat(F.lit("page "), page, F.lit(" of source "), F.col("source_id"), F.lit(" with "), F.col("num_pages").cast("string"), F.lit(" pages"))
+    )
+    return rows.withColumn("error", error).filter("error IS NOT NULL").select("doc_id", "position", "page_id", "source_id", "source_index", "error")
+
+
+def output_errors(documents: DataFrame, manifest: DataFrame, page_dims: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(doc_id, error) of documents without pages, with a source that isn't there or, given the ``sources``' lengths
+    (source_id, num_pages), with pages that their sources don't have."""
     missing = manifest.join(page_dims.select("source_id").distinct(), "source_id", "left_anti").select("doc_id", F.concat(F.lit("missing source "), "source_id").alias("error")).distinct()
+    if sources is not None:
+        missing = page_errors(manifest, sources).select("doc_id", "error").distinct()
     return without_pages(documents, manifest).unionByName(missing)
 
 

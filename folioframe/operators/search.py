@@ -116,3 +116,60 @@ def span_gap(page_hits: DataFrame, item_hits: DataFrame) -> DataFrame:
     b = item_hits.groupBy("doc_id", "page").agg(F.count("*").alias("item_hits"))
     both = a.join(b, ["doc_id", "page"], "left").withColumn("item_hits", F.coalesce("item_hits", F.lit(0)))
     return both.withColumn("missed", F.col("page_hits") - F.col("item_hits"))
+
+
+def _item_texts(items: DataFrame) -> DataFrame:
+    """Items that hold text, numbered in their page from 0 (``k``), with where they begin in its text."""
+    order = Window.partitionBy("doc_id", "page").orderBy("item_no")
+    held = items.filter(F.length("str") > 0).select("doc_id", "page", "item_no", "str")
+    before = F.sum(F.length("str")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return held.select("*", (F.row_number().over(order) - 1).alias("k"), F.coalesce(before, F.lit(0)).cast("int").alias("at"))
+
+
+def item_spans(items: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
+    """(doc_id, page, start, end, first_item, last_item, crosses): the hits of a page's whole text, which is its items
+    (doc_id, page, item_no, str) one after the other, and the items in which each begins and ends.
+
+    Items begin at running sums of lengths; their starts and the ends of hits are merged in order, so a page may have any
+    number of either. Null and empty items hold nothing; rows of one item_no stand in any order.
+    """
+    held = _item_texts(items)
+    texts = held.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "str"))), lambda x: x["str"]), "").alias("text"))
+    hits = find_matches(texts, query, regex, case_sensitive)
+    none = lambda c, kind="int": F.lit(None).cast(kind).alias(c)
+    item_type = items.schema["item_no"].dataType
+    starts = held.select("doc_id", "page", "at", F.lit(0).alias("side"), "item_no", "k", none("start"), none("end"))
+    ends = hits.select("doc_id", "page", F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("side")), F.struct((F.col("end") - 1).alias("at"), F.lit(2).alias("side")))), none("item_no", item_type), none("k"), "start", "end")
+    upto = Window.partitionBy("doc_id", "page").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = starts.unionByName(ends).withColumn("holds", F.last(F.when(F.col("side") == 0, F.struct("item_no", "k")), ignorenulls=True).over(upto)).filter("side > 0")
+    side = lambda n: F.max(F.when(F.col("side") == n, F.col("holds")))
+    both = merged.groupBy("doc_id", "page", "start", "end").agg(side(1).alias("a"), side(2).alias("b"))
+    return both.select("doc_id", "page", "start", "end", F.col("a.item_no").alias("first_item"), F.col("b.item_no").alias("last_item"), (F.col("a.k") != F.col("b.k")).alias("crosses"))
+
+
+def crossing_hits(items: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
+    """The hits that no single item holds: ``highlight`` can't mark them, ``highlight_across`` does."""
+    return item_spans(items, query, regex, case_sensitive).filter("crosses").drop("crosses")
+
+
+def highlight_across(items: DataFrame, query: str, current: int | None = None, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
+    """Items (doc_id, page, item_no, marked) in which every hit of the page's text is marked, in parts where it goes over
+    the borders of items. Hits count on through a page; all parts of the one numbered ``current`` say so."""
+    held = _item_texts(items)
+    spans = item_spans(items, query, regex, case_sensitive).withColumn("hit", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("start")) - 1)
+    place = held.select("doc_id", "page", "item_no", "k")
+    named = lambda c, k: place.select("doc_id", "page", F.col("item_no").alias(c), F.col("k").alias(k))
+    spans = spans.join(named("first_item", "a"), ["doc_id", "page", "first_item"]).join(named("last_item", "b"), ["doc_id", "page", "last_item"])
+    parts = spans.select("doc_id", "page", "hit", "start", "end", F.explode(F.sequence("a", "b")).alias("k"))
+    parts = parts.join(held.select("doc_id", "page", "k", "at", F.length("str").alias("n")), ["doc_id", "page", "k"])
+    part = F.struct(F.greatest(F.col("start") - F.col("at"), F.lit(0)).alias("start"), F.least(F.col("end") - F.col("at"), F.col("n")).alias("end"), "hit")
+    lists = parts.groupBy("doc_id", "page", "k").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    rows = items.select("doc_id", "page", "item_no", "str").join(place, ["doc_id", "page", "item_no"], "left").join(lists, ["doc_id", "page", "k"], "left")
+
+    def add(done: Column, x: Column) -> Column:
+        tag = F.when(F.coalesce(x["hit"] == F.lit(current), F.lit(False)), '<mark class="search-hit" data-current="true">').otherwise('<mark class="search-hit">')
+        text = F.concat(done["text"], F.substring("str", done["upto"] + 1, x["start"] - done["upto"]), tag, F.substring("str", x["start"] + 1, x["end"] - x["start"]), F.lit("</mark>"))
+        return F.struct(text.alias("text"), x["end"].alias("upto"))
+
+    done = F.aggregate("parts", F.struct(F.lit("").alias("text"), F.lit(0).alias("upto")), add, lambda d: F.concat(d["text"], F.substring("str", d["upto"] + 1, F.length("str"))))
+    return rows.select("doc_id", "page", "item_no", F.when(F.col("parts").isNull(), F.col("str")).otherwise(done).alias("marked"))

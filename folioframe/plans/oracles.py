@@ -102,6 +102,14 @@ ORACLES: dict[str, str] = {
     "search_span_gap": f"""WITH {_CONV}, x AS (SELECT doc_id, page, text, len(string_split(lower(text), 'th')) - 1 AS n FROM conv),
         y AS (SELECT doc_id, page, n, list_sum([len(string_split(lower(substring(text, i * 20 + 1, 20)), 'th')) - 1 for i in range(0, (length(text) + 19) // 20)]) AS k FROM x WHERE n > 0)
         SELECT doc_id, page, CAST(n AS BIGINT) AS page_hits, CAST(k AS BIGINT) AS item_hits, CAST(n - k AS BIGINT) AS missed FROM y""",
+    "search_crossing_hits": f"""WITH {_hits('th')} SELECT doc_id, page, start_ AS start, end_ AS "end", start_ // 20 AS first_item, (end_ - 1) // 20 AS last_item FROM hits WHERE start_ // 20 != (end_ - 1) // 20""",
+    "search_marks_across": f"""WITH {_hits('th')}, s AS (SELECT doc_id, page, list(start_) AS s FROM hits GROUP BY ALL),
+        i AS (SELECT doc_id, page, text, coalesce(s, []) AS s, unnest(range(0, greatest(length(text) - 1, 0) // 20 + 1)) AS item_no FROM conv LEFT JOIN s USING (doc_id, page))
+        SELECT doc_id, page, CAST(item_no AS INTEGER) AS item_no, array_to_string([CASE WHEN list_contains(s, c) OR (list_contains(s, c - 1) AND c % 20 = 0) THEN '<mark class="search-hit">' ELSE '' END || substring(text, c + 1, 1)
+          || CASE WHEN list_contains(s, c - 1) OR (list_contains(s, c) AND c % 20 = 19) THEN '</mark>' ELSE '' END FOR c IN range(item_no * 20, least(length(text), item_no * 20 + 20))], '') AS marked FROM i""",
+    "output_page_errors": f"""WITH {_M}, l AS (SELECT CAST(s_nationkey % 5 + 1 AS VARCHAR) AS source_id, count(*) % 5 + 1 AS n FROM supplier WHERE s_nationkey % 5 != 4 GROUP BY 1)
+        SELECT doc_id, position, page_id, source_id, source_index, CASE WHEN n IS NULL THEN 'missing source ' || source_id ELSE 'page ' || source_index || ' of source ' || source_id || ' with ' || n || ' pages' END AS error
+        FROM m LEFT JOIN l USING (source_id) WHERE n IS NULL OR source_index >= n""",
     "docs_intake": """WITH f AS (SELECT page_id % 7 AS doc_id, url || CASE WHEN page_id % 3 = 0 THEN '.PDF' ELSE '' END AS name, page_id % 5 = 0 AS typed FROM pages),
         g AS (SELECT doc_id, typed OR ends_with(lower(name), '.pdf') AS yes FROM f) SELECT doc_id, count(*) FILTER (yes) AS accepted_count, count(*) FILTER (NOT yes) AS rejected_count FROM g GROUP BY doc_id""",
     "docs_state": "SELECT doc_id % 40 AS doc_id, count(*) >= 2 AND NOT bool_or(n_chars <= 500) AS can_merge FROM documents GROUP BY 1",

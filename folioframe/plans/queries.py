@@ -195,6 +195,25 @@ def search_span_gap(spark, sf):
     return T.span_gap(T.find_matches(pages, "th"), hits.select("doc_id", "page.page"))
 
 
+def _twenties(spark, sf) -> DataFrame:
+    """Conversations as pages whose items are twenty characters each."""
+    pages = _conversations(spark, sf)
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / 20).cast("int"))
+    return pages.select("doc_id", "page", F.posexplode(F.transform(starts, lambda i: F.substring("text", i * 20 + 1, F.lit(20)))).alias("item_no", "str"))
+
+
+@query
+def search_crossing_hits(spark, sf):
+    """The hits over the borders of items, with the items in which they begin and end."""
+    return T.crossing_hits(_twenties(spark, sf), "th")
+
+
+@query
+def search_marks_across(spark, sf):
+    """Every hit of a page's text marked, in parts where it goes over a border."""
+    return T.highlight_across(_twenties(spark, sf), "th")
+
+
 @query
 def search_invalid(spark, sf):
     """Queries as expressions: whether they can't be used, and what they find."""
@@ -439,6 +458,13 @@ def manifest_output(spark, sf):
     return M.output_manifest(_manifest(spark, sf), _dims(spark, sf))
 
 
+@query
+def output_page_errors(spark, sf):
+    """Pages that their sources don't have: suppliers by nation as sources of one to five pages."""
+    lengths = _table(spark, sf, "supplier").filter("s_nationkey % 5 != 4").groupBy((F.col("s_nationkey") % 5 + 1).cast("string").alias("source_id")).agg((F.count("*") % 5 + 1).cast("int").alias("num_pages"))
+    return M.page_errors(_manifest(spark, sf), lengths)
+
+
 @query
 def output_errors(spark, sf):
     m = _manifest(spark, sf)

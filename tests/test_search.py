@@ -108,3 +108,42 @@ def test_many_hits_on_one_page(spark):
     row = T.highlight(page, "é", current=7).first()
     assert row.marked == "".join("a<mark class=\"search-hit\"" + (" data-current=\"true\"" if i == 7 else "") + ">é</mark> " for i in range(n))
     assert time.perf_counter() - began < 60
+
+
+def model_spans(items, found):
+    """First and last item of each hit (start, end) of the items' joined text."""
+    owner = [i for i, text in enumerate(items) for _ in text or ""]
+    return [(a, b, owner[a], owner[b - 1]) for a, b in found]
+
+
+def test_hits_over_the_borders_of_items(spark):
+    import random
+    import re
+
+    rng, pages = random.Random(3), {(1, 1): ["a", "aa"], (1, 2): ["", None, "x"], (2, 1): ["ab" * 400, "a", "", "b"]}
+    for doc in range(3, 40):
+        pages[doc, 1] = ["".join(rng.choice("abA") for _ in range(rng.randint(0, 4))) if rng.random() < 0.9 else None for _ in range(rng.randint(1, 12))]
+    rows = [(d, p, i * 3, t, "clash") for (d, p), items in pages.items() for i, t in enumerate(items)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, item_no int, str string, k string")
+    for query, regex, pattern in (("aa", False, "aa"), ("a+b", True, "a+b"), ("ba", False, "ba")):
+        want, marks = [], {}
+        for (d, p), items in pages.items():
+            text = "".join(t or "" for t in items)
+            spans = model_spans(items, [m.span() for m in re.finditer(pattern, text, re.I)])
+            want += [(d, p, a, b, i * 3, j * 3, i != j) for a, b, i, j in spans]
+            for n, t in enumerate(items):
+                at, done = sum(len(x or "") for x in items[:n]), ""
+                inside = {c: h for h, (a, b, *_) in enumerate(spans) for c in range(a, b)}
+                for c in range(at, at + len(t or "")):
+                    h = inside.get(c)
+                    if h is not None and (c == at or inside.get(c - 1) != h):
+                        done += '<mark class="search-hit" data-current="true">' if h == 1 else '<mark class="search-hit">'
+                    done += text[c]
+                    if h is not None and (c + 1 == at + len(t) or inside.get(c + 1) != h):
+                        done += "</mark>"
+                marks[d, p, n * 3] = None if t is None else done
+        assert sorted(map(tuple, T.item_spans(df, query, regex).collect())) == sorted(want)
+        assert sorted(tuple(r)[:6] for r in T.crossing_hits(df, query, regex).collect()) == sorted(w[:6] for w in want if w[6])
+        assert {(r.doc_id, r.page, r.item_no): r.marked for r in T.highlight_across(df, query, 1, regex).collect()} == marks
+    assert (1, 1, 0, 2, 0, 3) in {tuple(r) for r in T.crossing_hits(df, "aa").collect()}
+    assert T.crossing_hits(df.limit(0), "a").count() == 0
