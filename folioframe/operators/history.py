@@ -7,6 +7,7 @@ a task runs through its rows with the pages of one document at a time.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterable, Iterator
 
@@ -231,14 +232,82 @@ def document_dirty(pages: DataFrame, outlines: DataFrame) -> DataFrame:
     return both.select("doc_id", (F.coalesce("a", F.lit(False)) | F.coalesce("b", F.lit(False))).alias("dirty"))
 
 
+class _Block:
+    __slots__ = ("items", "rank")
+
+    def __init__(self, items: list[int], rank: int) -> None:
+        self.items, self.rank = items, rank
+
+
 class Pages:
-    """One document's pages while operations are applied: their order as numbers, and what they are."""
+    """One document's pages while operations are applied: their order as numbers in blocks of bounded length, and what
+    they are. An operation on a few pages touches their blocks and looks along the blocks' lengths; turns stay
+    with the page and touch no order. So an operation costs about the square root of the pages, not all of them."""
 
     def __init__(self) -> None:
         self.what: list[tuple] = []
         self.turns: list[int] = []
         self.of_id: dict[str, list[int]] = {}
-        self.order = np.zeros(0, np.int64)
+        self.blocks: list[_Block] = []
+        self.block_of: list[_Block | None] = []
+        self.length, self.wide = 0, 64
+
+    def _set(self, order: list[int]) -> None:
+        """Blocks anew, as wide as suits the length."""
+        self.length, self.wide = len(order), max(64, math.isqrt(len(order)))
+        self.blocks = [_Block(order[i : i + self.wide], i // self.wide) for i in range(0, len(order), self.wide)]
+        for block in self.blocks:
+            for n in block.items:
+                self.block_of[n] = block
+
+    def _order(self) -> list[int]:
+        return [n for block in self.blocks for n in block.items]
+
+    def _put(self, at: int, pages: list[int]) -> None:
+        """Pages, in this order, at a place, or at the end if there are fewer."""
+        if len(pages) > self.wide or not self.blocks or self.length > 4 * self.wide * self.wide + 4096:
+            order = self._order()
+            order[at:at] = pages
+            self._set(order)
+            return
+        for block in self.blocks:
+            if at <= len(block.items):
+                break
+            at -= len(block.items)
+        block.items[at:at] = pages
+        self.length += len(pages)
+        for n in pages:
+            self.block_of[n] = block
+        if len(block.items) > 2 * self.wide:
+            half = _Block(block.items[self.wide :], 0)
+            del block.items[self.wide :]
+            self.blocks.insert(block.rank + 1, half)
+            for n in half.items:
+                self.block_of[n] = half
+            self._rank()
+
+    def _rank(self) -> None:
+        self.blocks = [b for b in self.blocks if b.items]
+        for i, block in enumerate(self.blocks):
+            block.rank = i
+
+    def _take(self, pages: list[int]) -> list[int]:
+        """Takes pages out; those that are there come back in their order."""
+        here = [n for n in pages if self.block_of[n] is not None]
+        if len(here) > self.wide:
+            gone, order = set(here), self._order()
+            for n in gone:
+                self.block_of[n] = None
+            self._set([n for n in order if n not in gone])
+            return [n for n in order if n in gone]
+        places = sorted((self.block_of[n].rank, self.block_of[n].items.index(n), n) for n in here)
+        for rank, i, n in reversed(places):
+            del self.blocks[rank].items[i]
+            self.block_of[n] = None
+        self.length -= len(places)
+        if any(not self.blocks[rank].items for rank, *_ in places):
+            self._rank()
+        return [n for *_, n in places]
 
     def insert(self, at: int | None, pages: Iterable[tuple]) -> None:
         """Pages (page_id, source_id, source_index, rotation) at a place, or at the end."""
@@ -247,9 +316,8 @@ class Pages:
             self.of_id.setdefault(page_id, []).append(len(self.what))
             self.what.append((page_id, source_id, source_index))
             self.turns.append(rotation or 0)
-        new = np.arange(first, len(self.what))
-        at = len(self.order) if at is None else max(0, at)
-        self.order = np.concatenate([self.order[:at], new, self.order[at:]])
+            self.block_of.append(None)
+        self._put(self.length if at is None else min(max(0, at), self.length), list(range(first, len(self.what))))
 
     def apply(self, kind: str, ids: Iterable[str | None] | None, to_index: int | None, delta: int | None, pages: Iterable[tuple] | None) -> None:
         """Unknown and null ids do nothing, an unknown kind neither; a missing place is the start, a missing turn 0."""
@@ -261,15 +329,12 @@ class Pages:
             for n in hit:
                 self.turns[n] = int((self.turns[n] + int(delta or 0) + 45) // 90 * 90 % 360)
         elif kind in ("delete", "reorder"):
-            flags = np.zeros(len(self.what), bool)
-            flags[hit] = True
-            moved = flags[self.order]
-            rest = self.order[~moved]
-            at = max(0, int(to_index or 0))
-            self.order = rest if kind == "delete" else np.concatenate([rest[:at], self.order[moved], rest[at:]])
+            moved = self._take(hit)
+            if kind == "reorder":
+                self._put(min(max(0, int(to_index or 0)), self.length), moved)
 
     def rows(self) -> list[tuple]:
-        return [(i + 1, *self.what[n], self.turns[n]) for i, n in enumerate(self.order.tolist())]
+        return [(i + 1, *self.what[n], self.turns[n]) for i, n in enumerate(self._order())]
 
 
 def _number(x) -> int | None:

@@ -1,6 +1,7 @@
 """Golden cases and a plain model of manifests and edit logs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,29 @@ def test_ranges_of_a_log_combine():
         assert (applied, top) == (state.applied, state.applied + state.undone), log
 
 
+def test_blocks_of_pages_are_a_list(spark):
+    rng = random.Random(14)
+    for wide, n in ((3, 40), (64, 900)):
+        pages, plain, fresh = E.Pages(), [], 0
+        for step in range(600):
+            kind = rng.choice(["rotate", "delete", "reorder", "reorder", "merge", "odd"])
+            pages.wide = min(pages.wide, wide)
+            ids = rng.sample([p for p, _ in plain], min(len(plain), rng.choice([1, 1, 2, 30]))) + ["unknown", None]
+            new = [(f"n{fresh + i}", "B", 0, 0) for i in range(n if step == 0 else rng.choice([0, 1, 5]))]
+            fresh += len(new)
+            to = rng.randint(-3, len(plain) + 3)
+            pages.apply("merge" if step == 0 else kind, ids, to, 90, new)
+            plain = model_apply(plain, ("merge" if step == 0 else kind, ids, to, 90, [p for p, *_ in new])) if step == 0 or kind != "odd" else plain
+            assert [(r[1], r[4]) for r in pages.rows()] == plain, (kind, ids, to)
+            assert pages.length == len(plain)
+    big = E.Pages()
+    big.insert(None, [(f"p{i}", "A", i, 0) for i in range(10_000)])
+    began = time.time()
+    for _ in range(100_000):
+        big.apply("reorder", [f"p{rng.randrange(10_000)}"], rng.randrange(10_000), None, None)
+    assert time.time() - began < 20 and len({r[1] for r in big.rows()}) == 10_000
+
+
 def test_one_log_over_many_partitions(spark):
     """Documents that begin, end and go on anywhere in the ranges of a log, one of them very long."""
     rng, rows, want = random.Random(13), [], {}
