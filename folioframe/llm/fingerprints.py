@@ -42,7 +42,7 @@ def _draw(h: Column, tf: Column, log_tf: Column) -> Column:
     return F.when(tf == 0, F.lit(None)).when(first, F.shiftrightunsigned(h, 2)).otherwise((F.exp(-a) * F.lit(2.0**62)).cast("bigint"))
 
 
-def signatures(pieces: DataFrame, keys: list[str], samples: int = 32, seed: int = 42, carry: str | None = None) -> DataFrame:
+def signatures(pieces: DataFrame, keys: list[str], samples: int = 64, seed: int = 42, carry: str | None = None) -> DataFrame:
     """(keys, first, second: array<int> of ``samples`` numbers), from rows (keys, text, in_first, in_second).
 
     The rows of a key are pieces of up to two texts, each a run of whole words: a piece counts in the first, in
@@ -84,7 +84,7 @@ def shown(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = 32, seed: int = 42) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = 64, seed: int = 42) -> DataFrame:
     """(id, text_hash, signature) for each different (id, text) of ``df``; compare them with ``likeness``.
 
     A null text counts as empty; an empty text, or one of white space, has zeros only and so is like another of
@@ -118,7 +118,7 @@ def _before(buckets: DataFrame) -> DataFrame:
     return inner.join(edges, "range").select("bucket", F.coalesce("inner", "outer").alias("host"))
 
 
-def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", replaced: int = 3, samples: int = 32, seed: int = 42) -> DataFrame:
+def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", replaced: int = 3, samples: int = 64, seed: int = 42) -> DataFrame:
     """Each text beside its edited text, whose last floor(n_chars / ``replaced``) characters are the first as many
     (or all, if it has fewer) of the next document's: (id, n_chars, edited_sha256, signature, edited, near_edited,
     near_next).

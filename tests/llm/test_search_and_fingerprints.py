@@ -51,7 +51,7 @@ def plain_sample(bag, part, salt):
     return best and best[1:]
 
 
-def plain_signature(bag, samples=32, seed=42):
+def plain_signature(bag, samples=64, seed=42):
     rng = random.Random(seed)
     parts = [rng.getrandbits(62) for _ in range(samples // 8)]
     salts = [0, *(rng.getrandbits(62) for _ in range(7))]
@@ -74,9 +74,9 @@ def test_fingerprints_are_the_textbooks(spark):
         edited = text[: len(text) - cut] + after[:cut]
         assert out[i].n_chars == len(text) and out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         mine, its, next_ = (plain_signature(words_of(t)) for t in (text, edited, after))
-        assert out[i].near_edited == sum(a == b for a, b in zip(mine, its)) / 32
-        assert out[i].near_next == sum(a == b for a, b in zip(mine, next_)) / 32
-        assert len(out[i].s) == 256
+        assert out[i].near_edited == sum(a == b for a, b in zip(mine, its)) / 64
+        assert out[i].near_next == sum(a == b for a, b in zip(mine, next_)) / 64
+        assert len(out[i].s) == 512
     assert len({out[i].s for i, t in order if t == texts[0]}) == 1
     assert edited_fingerprints(df.limit(0)).count() == 0
     alone = edited_fingerprints(df.limit(1)).collect()
