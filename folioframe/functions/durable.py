@@ -23,3 +23,16 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder: its lineage is cut, and it survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet and read again. In long loops of joins this is better than a checkpoint, which keeps the
+    plan's guess of its size: each join multiplies guesses, and their digits double every round."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of our own from whatever file system it is on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

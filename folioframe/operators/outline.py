@@ -1,14 +1,14 @@
 """Outlines as flat rows: outline(doc_id, node_id, parent_id, sib_index from 0, title, source_id,
-source_index). ``flatten`` adds depth, preorder, path and anc; every edit works on all documents."""
+source_index). ``flatten`` adds depth, preorder and n_below; every edit works on all documents."""
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.durable import durable
+from ..functions.durable import durable, remove_folder, shared_folder, written
 from .manifest import source_order
 
 OUTLINE = ["doc_id", "node_id", "parent_id", "sib_index", "title", "source_id", "source_index"]
@@ -64,32 +64,53 @@ def build_outline(raw: DataFrame, named_dests: DataFrame, page_refs: DataFrame)
     return flat.select("source_id", "node_id", "parent_id", "sib_index", "title", "source_index", "depth", "preorder")
 
 
+def _doubled(rows: DataFrame) -> DataFrame:
+    """One round for rows (doc_id, node_id, up, depth, lost, size): a node points twice as far up, and has counted twice as
+    far down, as before; the counts of those that pointed to it are added."""
+    above = rows.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more_depth"), F.col("lost").alias("is_lost"))
+    below = rows.filter("up IS NOT NULL").groupBy("doc_id", F.col("up").alias("node_id")).agg(F.sum("size").alias("more"))
+    return rows.join(below, _KEYS, "left").join(above, ["doc_id", "up"], "left").select(
+        *_KEYS, F.col("further").alias("up"), (F.col("depth") + F.coalesce("more_depth", F.lit(0))).alias("depth"),
+        (F.col("lost") | F.coalesce("is_lost", F.lit(False))).alias("lost"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
+    )
+
+
 def flatten(outline: DataFrame) -> DataFrame:
-    """Outline rows with path (sibling places from the root), anc (ancestors), depth and preorder.
+    """Outline rows with depth, preorder and n_below: what lies below a node are the n_below rows after it in preorder.
 
-    One join for each level of the deepest outline, however deep; rows whose parents never lead to a root are an
-    error. The levels are written to the checkpoint folder and counted when this is called.
+    Subtrees are counted and places summed along the way to the root by pointers that double, so rounds grow with
+    the logarithm of the depth, and no row holds its path. Siblings of one sib_index go by node_id. Rows whose parents
+    never lead to a root are an error. The rounds are written to the shared folder when this is called; the last stay.
     """
     rows = durable(outline.select(*OUTLINE))
-    level = rows.filter("parent_id IS NULL").select("*", F.array("sib_index").alias("path"), F.array().cast("array<string>").alias("anc"))
-    levels, seen = [], 0
     total = rows.count()
-    while True:
-        level = durable(level)
-        n = level.count()
-        levels.append(level)
-        seen += n
-        if not n or seen == total:
-            break
-        up = level.select("doc_id", F.col("node_id").alias("parent_id"), F.col("path").alias("up_path"), F.col("anc").alias("up_anc"))
-        level = rows.join(up, ["doc_id", "parent_id"]).select(
-            *OUTLINE, F.concat("up_path", F.array("sib_index")).alias("path"), F.concat("up_anc", F.array(F.col("parent_id").cast("string"))).alias("anc")
-        )
-    if seen != total:
-        raise ValueError(f"{total - seen} rows lie under no root")
-    order = Window.partitionBy("doc_id").orderBy("path", "node_id")
-    out = reduce(DataFrame.unionByName, levels)
-    return out.withColumn("depth", F.size("path") - 1).withColumn("preorder", F.row_number().over(order) - 1)
+    known = rows.select("doc_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known")).distinct()
+    ways = rows.select(*_KEYS, "parent_id").join(known, ["doc_id", "parent_id"], "left")
+    spark, folder = outline.sparkSession, f"{shared_folder(outline.sparkSession)}/tree-{uuid.uuid4().hex}"
+    ways = written(ways.select(
+        *_KEYS, F.when(F.col("known"), F.col("parent_id")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth"),
+        (F.col("parent_id").isNotNull() & F.col("known").isNull()).alias("lost"), F.lit(1).cast("bigint").alias("size"),
+    ), f"{folder}/ways-0")
+    rounds = 0
+    while rounds <= total.bit_length() and not ways.filter("up IS NOT NULL").isEmpty():
+        ways, rounds = written(_doubled(ways), f"{folder}/ways-{rounds + 1}"), rounds + 1
+        remove_folder(spark, f"{folder}/ways-{rounds - 1}")
+    bad = ways.filter("lost OR up IS NOT NULL").count()
+    if bad:
+        raise ValueError(f"{bad} rows lie under no root")
+    sized = rows.join(ways.select(*_KEYS, "depth", "size"), _KEYS)
+    earlier = Window.partitionBy("doc_id", "parent_id").orderBy("sib_index", "node_id").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.when(F.col("parent_id").isNull(), 0).otherwise(1)
+    places = sized.select(*_KEYS, F.col("parent_id").alias("up"), step.alias("place"))
+    for i in range(rounds):
+        places = written(places, f"{folder}/places-{i}")
+        if i > 1:
+            remove_folder(spark, f"{folder}/places-{i - 2}")
+        above = places.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("further"), F.col("place").alias("more"))
+        places = places.join(above, ["doc_id", "up"], "left").select(*_KEYS, F.col("further").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
+    sized = sized.select(*OUTLINE, "depth", (F.col("size") - 1).alias("n_below"))
+    out = sized.join(places.select(*_KEYS, F.col("place").cast("int").alias("preorder")), _KEYS)
+    return out.select(*OUTLINE, "depth", "preorder", "n_below")
 
 
 def rebuild(items: DataFrame) -> DataFrame:
@@ -103,16 +124,28 @@ def rebuild(items: DataFrame) -> DataFrame:
 
 def closure(flat: DataFrame) -> DataFrame:
     """(doc_id, ancestor_id, node_id) of all pairs above each other."""
-    return flat.select("doc_id", F.explode("anc").alias("ancestor_id"), "node_id")
+    return descendants(flat, flat)
 
 
 def descendants(flat: DataFrame, ids: DataFrame) -> DataFrame:
-    wanted = ids.select("doc_id", F.col("node_id").alias("ancestor_id"))
-    return closure(flat).join(wanted, ["doc_id", "ancestor_id"], "left_semi")
+    """(doc_id, ancestor_id, node_id) of all that lies below ``ids`` (doc_id, node_id)."""
+    wanted = flat.join(ids.select(*_KEYS).distinct(), _KEYS, "left_semi").filter("n_below > 0")
+    places = F.sequence(F.col("preorder") + 1, (F.col("preorder") + F.col("n_below")).cast("int"))
+    pairs = wanted.select("doc_id", F.col("node_id").alias("ancestor_id"), F.explode(places).alias("preorder"))
+    return pairs.join(flat.select("doc_id", "preorder", "node_id"), ["doc_id", "preorder"]).select("doc_id", "ancestor_id", "node_id")
+
+
+def _below(flat: DataFrame, ids: DataFrame) -> DataFrame:
+    """``flat`` with ``hit`` (in ``ids``) and ``below`` (under one of them): subtrees are intervals of preorder, nested or
+    apart, so the furthest end so far says whether a row lies in one."""
+    marked = flat.join(ids.select(*_KEYS).distinct().withColumn("hit", F.lit(True)), _KEYS, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    before = Window.partitionBy("doc_id").orderBy("preorder").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("hit"), F.col("preorder") + F.col("n_below"))).over(before)
+    return marked.withColumn("below", F.coalesce(F.col("preorder") <= reach, F.lit(False)))
 
 
 def prune_below(flat: DataFrame, ids: DataFrame) -> DataFrame:
-    return flat.join(descendants(flat, ids).select(*_KEYS), _KEYS, "left_anti")
+    return _below(flat, ids).filter("NOT below").select(*flat.columns)
 
 
 def count_nodes(outline: DataFrame) -> DataFrame:
@@ -120,8 +153,7 @@ def count_nodes(outline: DataFrame) -> DataFrame:
 
 
 def count_descendants(flat: DataFrame) -> DataFrame:
-    below = closure(flat).groupBy("doc_id", F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n"))
-    return flat.select(*_KEYS).join(below, _KEYS, "left").select(*_KEYS, F.coalesce("n", F.lit(0)).alias("n_descendants"))
+    return flat.select(*_KEYS, F.col("n_below").alias("n_descendants"))
 
 
 def rename(outline: DataFrame, edits: DataFrame) -> DataFrame:
@@ -135,9 +167,7 @@ def _renumbered(rows: DataFrame) -> DataFrame:
 
 def remove(outline: DataFrame, ids: DataFrame) -> DataFrame:
     """Without the nodes and all below them."""
-    flat = flatten(outline)
-    gone = ids.select(*_KEYS).unionByName(descendants(flat, ids).select(*_KEYS))
-    return _renumbered(flat.join(gone, _KEYS, "left_anti"))
+    return _renumbered(_below(flatten(outline), ids).filter("NOT below AND NOT hit"))
 
 
 def add_after(outline: DataFrame, new: DataFrame) -> DataFrame:

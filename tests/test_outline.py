@@ -176,3 +176,66 @@ def test_resolve_and_remap(spark):
     names = spark.createDataFrame([("A", "chap1", 2)], "source_id string, name string, ref long")
     refs = spark.createDataFrame([("A", 2, 0), ("A", 5, 3)], "source_id string, ref long, source_index int")
     assert {r.node_id: r.source_index for r in O.resolve_dests(raw, names, refs).collect()} == {"x": 0, "y": 3, "z": None, "w": None}
+
+
+def model_tour(nodes):
+    """(depth, preorder, n_below) of nodes {id: (parent, sib_index)} by walking the tree."""
+    children, out, at = {}, {}, 0
+    for i, (parent, sib) in nodes.items():
+        children.setdefault(parent, []).append((sib, i))
+    stack = [(0, i) for _, i in sorted(children.get(None, []), reverse=True)]
+    while stack:
+        depth, i = stack.pop()
+        out[i] = [depth, at, 0]
+        at += 1
+        stack += [(depth + 1, c) for _, c in sorted(children.get(i, []), reverse=True)]
+    order = sorted(out, key=lambda i: out[i][1])
+    for n, i in enumerate(order):
+        end = n + 1
+        while end < len(order) and out[order[end]][0] > out[i][0]:
+            end += 1
+        out[i][2] = end - n - 1
+    return {i: tuple(v) for i, v in out.items()}
+
+
+def test_trees_of_any_shape_against_a_walk(spark):
+    rng, rows, want = random.Random(21), [], {}
+    for doc in range(25):
+        nodes = {}
+        for i in range(rng.randint(1, 40)):
+            parent = None if not nodes or rng.random() < 0.2 else rng.choice(list(nodes)[-3:] if doc % 2 else list(nodes))
+            nodes[f"n{i}"] = (parent, rng.randint(0, 5))
+        rows += [(doc, i, p, s, f"t{i}", "A", 0) for i, (p, s) in nodes.items()]
+        want |= {(doc, i): v for i, v in model_tour(nodes).items()}
+    df = spark.createDataFrame(rows, "doc_id long, node_id string, parent_id string, sib_index int, title string, source_id string, source_index int")
+    flat = O.flatten(df).persist()
+    assert {(r.doc_id, r.node_id): (r.depth, r.preorder, r.n_below) for r in flat.collect()} == want
+    above = {(d, i): p for d, i, p, *_ in rows}
+    pairs = set()
+    for d, i in above:
+        up = above[d, i]
+        while up is not None:
+            pairs.add((d, up, i))
+            up = above[d, up]
+    assert {tuple(r) for r in O.closure(flat).collect()} == pairs and O.closure(flat).count() == len(pairs)
+    chosen = {(d, i) for d, i in above if rng.random() < 0.15}
+    ids = spark.createDataFrame(sorted(chosen) * 2, "doc_id long, node_id string")
+    assert {tuple(r) for r in O.descendants(flat, ids).collect()} == {p for p in pairs if p[:2] in chosen}
+    below = {(d, i) for d, a, i in pairs if (d, a) in chosen}
+    assert {(r.doc_id, r.node_id) for r in O.prune_below(flat, ids).collect()} == set(above) - below
+    assert {(r.doc_id, r.node_id) for r in O.remove(df, ids).collect()} == set(above) - below - chosen
+    flat.unpersist()
+
+
+def test_a_chain_of_fifty_thousand_nodes(spark):
+    n = 50_000
+    chain = spark.range(n).select(
+        F.lit(1).cast("bigint").alias("doc_id"), F.col("id").cast("string").alias("node_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_id"),
+        F.lit(0).alias("sib_index"), F.lit("t").alias("title"), F.lit("A").alias("source_id"), F.lit(0).alias("source_index"),
+    )
+    flat = O.flatten(chain)
+    off = flat.filter((F.col("depth") != F.col("node_id").cast("int")) | (F.col("preorder") != F.col("depth")) | (F.col("n_below") != n - 1 - F.col("depth"))).count()
+    assert off == 0 and flat.count() == n
+    ring = chain.withColumn("parent_id", F.coalesce("parent_id", F.lit(str(n - 1))))
+    with pytest.raises(ValueError):
+        O.flatten(ring.filter("node_id >= 0").limit(50_000))
