@@ -40,6 +40,15 @@ s2 AS (SELECT *, coalesce(sum(CASE WHEN level <= 2 AND ok THEN 1 ELSE 0 END) OVE
 f3 AS (SELECT *, max(CASE WHEN level = 3 THEN seq END) OVER (PARTITION BY doc_id, seg ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s2),
 kept AS (SELECT doc_id, page_number, level, title, CASE WHEN level = 3 THEN top IS NULL OR seq >= top ELSE ok END AS accepted FROM f3)"""
 
+_CLICKS = """k AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey * 5 % 9 + 1 AS p,
+  CASE o_orderkey % 7 WHEN 0 THEN 'single' WHEN 1 THEN 'clear' WHEN 2 THEN 'all' WHEN 3 THEN 'range' WHEN 4 THEN 'range' ELSE 'toggle' END AS kind FROM orders),
+f AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS chosen, CAST(NULL AS BIGINT) AS a FROM k
+  UNION ALL SELECT k.doc_id, k.n, CASE WHEN kind = 'clear' THEN [] WHEN kind = 'all' THEN range(1, 8) WHEN kind = 'toggle' THEN CASE WHEN list_contains(chosen, p) THEN [x FOR x IN chosen IF x != p] ELSE list_append(chosen, p) END
+      WHEN kind = 'range' AND a IS NOT NULL AND a <= 7 AND p <= 7 THEN range(least(a, p), greatest(a, p) + 1) ELSE [p] END,
+    CASE WHEN kind = 'clear' THEN NULL WHEN kind = 'all' THEN 1 WHEN kind = 'range' AND a IS NOT NULL AND a <= 7 AND p <= 7 THEN a ELSE p END
+  FROM f JOIN k ON k.doc_id = f.doc_id AND k.n = f.n + 1),
+l AS (SELECT doc_id, arg_max(chosen, n) AS chosen, arg_max(struct_pack(a := a), n).a AS a FROM f GROUP BY doc_id)"""
+
 _PATHS = f"""{_M}, {_TREE},
 r AS (SELECT doc_id, node_id, parent_id, [sib_index] AS path, CAST([] AS VARCHAR[]) AS anc FROM t WHERE parent_id IS NULL
   UNION ALL SELECT t.doc_id, t.node_id, t.parent_id, list_append(r.path, t.sib_index), list_append(r.anc, t.parent_id) FROM t JOIN r ON r.doc_id = t.doc_id AND r.node_id = t.parent_id),
@@ -173,6 +182,18 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, page_id FROM c GROUP BY 1, 2 HAVING count(*) % 2 = 1""",
     "selection_anchor": "SELECT o_custkey AS doc_id, CAST(max(o_orderkey) % 6 AS VARCHAR) AS page_id FROM orders GROUP BY 1",
     "selection_range": f"WITH {_M}, n AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1) SELECT doc_id, page_id FROM m JOIN n USING (doc_id) WHERE n >= 4 AND CASE WHEN n >= 9 THEN position BETWEEN 4 AND 9 ELSE position = 4 END",
+    "selection_log": f"WITH RECURSIVE {_CLICKS} SELECT doc_id, 'p' || unnest(chosen) AS page_id FROM l",
+    "selection_log_anchor": f"WITH RECURSIVE {_CLICKS} SELECT doc_id, 'p' || a AS page_id FROM l WHERE a IS NOT NULL",
+    "outline_edit_log": f"""WITH RECURSIVE {_M}, {_TREE}, k AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, CAST(o_orderkey AS VARCHAR) AS node, o_orderkey % 7 AS kind FROM orders),
+        f AS (SELECT doc_id, CAST(0 AS BIGINT) AS n, list(struct_pack(id := CAST(node_id AS VARCHAR), up := CAST(parent_id AS VARCHAR), title := CAST(title AS VARCHAR)) ORDER BY sib_index, node_id) AS l FROM t GROUP BY doc_id
+          UNION ALL SELECT doc_id, n, list_concat(flatten([CASE WHEN kind = 0 AND x = i THEN [struct_pack(id := node, up := l[i].up, title := 'edited')]
+              WHEN kind = 1 AND x = i THEN [l[i], struct_pack(id := 'e' || node, up := l[i].up, title := 'edited')] WHEN kind IN (3, 4) AND j IS NOT NULL AND x = i THEN [l[j]] WHEN kind IN (3, 4) AND j IS NOT NULL AND x = j THEN [l[i]]
+              WHEN kind = 5 AND j IS NOT NULL AND x = i THEN [] WHEN kind = 6 AND l[i].up IS NOT NULL AND x = i THEN [] WHEN kind = 6 AND l[i].up IS NOT NULL AND x = q THEN [l[q], struct_pack(id := node, up := l[q].up, title := l[i].title)] ELSE [l[x]] END FOR x IN range(1, len(l) + 1)]),
+              CASE WHEN kind = 2 THEN [struct_pack(id := 'e' || node, up := node, title := 'edited')] WHEN kind = 5 AND j IS NOT NULL THEN [struct_pack(id := node, up := l[j].id, title := l[i].title)] ELSE [] END)
+            FROM (SELECT *, list_position([y.id FOR y IN l], l[i].up) AS q, CASE WHEN kind = 4 THEN list_min([y FOR y IN range(1, len(l) + 1) IF y > i AND l[y].up IS NOT DISTINCT FROM l[i].up]) ELSE list_max([y FOR y IN range(1, len(l) + 1) IF y < i AND l[y].up IS NOT DISTINCT FROM l[i].up]) END AS j
+              FROM (SELECT k.doc_id, k.n, k.node, k.kind, f.l, list_position([y.id FOR y IN f.l], k.node) AS i FROM f JOIN k ON k.doc_id = f.doc_id AND k.n = f.n + 1))),
+        z AS (SELECT doc_id, arg_max(l, n) AS l FROM f GROUP BY doc_id), u AS (SELECT doc_id, unnest(l) AS y, unnest(range(1, len(l) + 1)) AS place FROM z)
+        SELECT doc_id, y.id AS node_id, y.up AS parent_id, CAST(row_number() OVER (PARTITION BY doc_id, y.up ORDER BY place) - 1 AS INTEGER) AS sib_index, y.title AS title FROM u""",
     "selection_all": f"WITH {_M} SELECT doc_id, count(*) AS n_selected, arg_min(page_id, position) AS page_id FROM m GROUP BY doc_id",
     "selection_collapse": f"""WITH {_M}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE position WHEN 5 THEN 0 WHEN 2 THEN 1 ELSE 2 END, position) AS n FROM m WHERE k % 3 = 0)
         SELECT doc_id, page_id FROM s WHERE n = 1""",

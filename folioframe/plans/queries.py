@@ -15,6 +15,7 @@ from ..operators import headings as H
 from ..operators import history as E
 from ..operators import manifest as M
 from ..operators import outline as O
+from ..operators import outline_log as OL
 from ..operators import search as T
 from ..operators import selection as L
 from ..sources import intake as S
@@ -604,6 +605,25 @@ def selection_clear(spark, sf):
     return _documents(spark, sf).select("doc_id").join(left, "doc_id", "left").select("doc_id", F.coalesce("n_selected", F.lit(0)).alias("n_selected"))
 
 
+def _click_log(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Seven pages for each customer, and orders as clicks of all kinds, some on pages that aren't there."""
+    k = F.col("o_orderkey")
+    o = _table(spark, sf, "orders")
+    pages = o.select(F.col("o_custkey").alias("doc_id")).distinct().select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("position")).withColumn("page_id", F.concat(F.lit("p"), F.col("position").cast("string")))
+    kind = F.when(k % 7 == 0, "single").when(k % 7 == 1, "clear").when(k % 7 == 2, "all").when(k % 7 <= 4, "range").otherwise("toggle")
+    return pages, o.select(F.col("o_custkey").alias("doc_id"), k.alias("seq"), kind.alias("kind"), F.concat(F.lit("p"), (k * 5 % 9 + 1).cast("string")).alias("page_id"))
+
+
+@query
+def selection_log(spark, sf):
+    return L.replay_clicks(*_click_log(spark, sf))[0]
+
+
+@query
+def selection_log_anchor(spark, sf):
+    return L.replay_clicks(*_click_log(spark, sf))[1]
+
+
 @query
 def selection_collapse(spark, sf):
     return L.collapse_to_single(_targets(spark, sf, 3), _manifest(spark, sf), _nth(spark, sf, 5), _nth(spark, sf, 2))
@@ -685,6 +705,19 @@ def outline_auto(spark, sf):
 # ---------------------------------------------------------------------------------------- outlines
 
 
+@query
+def outline_edit_log(spark, sf):
+    """An edit of every order's node, one after the other: renamed, moved in and out, up and down, and added to."""
+    k, doc = F.col("o_orderkey"), F.col("o_custkey").alias("doc_id")
+    kinds = F.array(*map(F.lit, ("rename", "add_after", "add_child", "move_up", "move_down", "indent", "outdent")))
+    node, new = k.cast("string"), F.concat(F.lit("e"), k.cast("string"))
+    edits = _table(spark, sf, "orders").select(
+        doc, k.alias("seq"), F.get(kinds, (k % 7).cast("int")).alias("kind"), F.when((k % 7).isin(1, 2), new).otherwise(node).alias("node_id"), node.alias("at_id"), node.alias("parent_id"),
+        F.lit("edited").alias("title"), F.lit("1").alias("source_id"), F.lit(0).alias("source_index"),
+    )
+    return OL.apply_edits(_tree(spark, sf), edits).select("doc_id", "node_id", "parent_id", "sib_index", "title")
+
+
 @query
 def outline_flatten(spark, sf):
     return O.flatten(_tree(spark, sf)).select("doc_id", "node_id", "parent_id", "depth", "preorder")
