@@ -107,7 +107,9 @@ def _by_dimension(column: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.fromiter(map(len, column), np.int64, len(column))
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        yield at, np.stack(column.iloc[at].to_list()).astype(np.float64)
+        m = np.stack(column.iloc[at].to_list()).astype(np.float64)
+        # By a power of two, which changes no cosine and keeps squares of very small or large components in range.
+        yield at, np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, initial=0, keepdims=True))[1])
 
 
 def _nearest(k: int):

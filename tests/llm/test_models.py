@@ -337,3 +337,22 @@ def test_neighbours_with_repeated_ids_and_few_cells(spark):
             hits += len(set(want) & set(found[q]))
         assert hits >= 27, settings
         assert found[0][:2] == [1, 2]
+
+
+def test_neighbours_of_very_small_and_very_large_vectors(spark):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(120, 8))
+    sizes = [1e-310, 1e-200, 1.0, 1e170, 1e300]
+    rows = [(i, [float(x) for x in v * sizes[i % 5]]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest_neighbours(df, df.filter("vec_id % 10 < 5"), k=3).collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert len(found) == 60
+    met = 0
+    for q, got in found.items():
+        true = sorted(((-float(unit[q] @ unit[j]), j) for j in range(120) if j != q))[:3]
+        assert all(abs(s - float(unit[q] @ unit[j])) < 1e-6 for j, s in got)
+        met += len({j for _, j in true} & {j for j, _ in got})
+    assert met >= 0.9 * 180
