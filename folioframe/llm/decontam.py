@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -148,34 +150,61 @@ def align(items: list[np.ndarray], texts: list[np.ndarray], how: Alignment) -> l
     return list(zip(best.tolist(), end.tolist()))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about ``most_words`` words, dealt by hash, so that a broadcast is bounded."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int) -> tuple[int, Iterator[list[tuple]]]:
+    """How many blocks of about ``most_words`` words the items make, dealt by hash, and the blocks one after the other;
+    the driver reads the items once and holds one block."""
     items = benchmark.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     words = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     blocks = int(-(-words // most_words))
-    for block in range(blocks):
-        yield sorted((tuple(r) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()), key=repr)
+
+    def read() -> Iterator[list[tuple]]:
+        rows = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, blocks)))).repartition(max(1, blocks), "block").sortWithinPartitions("block")
+        for _, block in groupby(rows.toLocalIterator(), key=lambda r: r["block"]):
+            yield sorted(((r["id"], r["text"]) for r in block), key=repr)
+
+    return blocks, read()
+
+
+def _shape(benchmark: DataFrame, id_col: str) -> str:
+    return f"array<struct<item_id:{benchmark.schema[id_col].dataType.simpleString()},score:double,end_word:int>>"
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, how: Alignment = Alignment(), text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", most_words: int = 400_000) -> Column:
     """A column array<struct<item_id, score, end_word>>: the items that a text of ``df`` holds.
 
     Words are lower-cased runs of letters and digits. ``score`` is the alignment's score as a share of
-    the item's best possible one, ``end_word`` the text's word after the alignment. A benchmark of any
-    size goes through in blocks of ``most_words`` words, in one scan of ``df``; reading them is a job of its own.
+    the item's best possible one, ``end_word`` the text's word after the alignment. The benchmark goes through in
+    blocks of ``most_words`` words, in one scan of ``df``, and all blocks are held at once: use ``leak_rows`` or
+    ``drop_contaminated`` for a benchmark of any size. Reading the items is a job of its own.
     Of equal scores the first in the text counts. Items of fewer than ``seed_words`` words, null
     or empty items and texts match nothing; repeated items are each reported; equal texts give equal
     results. A copy in which every run of ``seed_words`` words is edited has no seed and is not met.
     """
-    spark, found = df.sparkSession, []
-    kind = benchmark.schema[item_id_col].dataType.simpleString()
-    shape = f"array<struct<item_id:{kind},score:double,end_word:int>>"
-    for rows in _blocks(benchmark, item_id_col, item_text_col, most_words):
-        held = spark.sparkContext.broadcast(_Items(rows, how))
-        found.append(_searcher(held, shape)(F.col(f"`{text_col}`")))
+    shape = _shape(benchmark, item_id_col)
+    found = [_searcher(df.sparkSession.sparkContext.broadcast(_Items(rows, how)), shape)(F.col(f"`{text_col}`")) for rows in _blocks(benchmark, item_id_col, item_text_col, most_words)[1]]
     return F.concat(*found) if found else F.array().cast(shape)
 
 
+def leak_rows(df: DataFrame, benchmark: DataFrame, how: Alignment = Alignment(), text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", most_words: int = 400_000) -> DataFrame:
+    """The columns of ``df`` but its text, with item_id, score and end_word, for each item that a text holds, as ``leaks``
+    finds them. Own columns of these three names are left out.
+
+    Up to one block of items is a single narrow step. Beyond, each block is a pass over ``df`` of its own, whose
+    hits are written before its items are released everywhere, so that memory doesn't grow with the benchmark.
+    """
+    shape, names = _shape(benchmark, item_id_col), [c for c in df.columns if c not in (text_col, "item_id", "score", "end_word")]
+    blocks, read = _blocks(benchmark, item_id_col, item_text_col, most_words)
+    out = None
+    for rows in read:
+        held = df.sparkSession.sparkContext.broadcast(_Items(rows, how))
+        hits = df.select(*(F.col(f"`{c}`") for c in names), F.inline(_searcher(held, shape)(F.col(f"`{text_col}`"))))
+        if blocks > 1:
+            hits = durable(hits)
+            held.destroy()
+        out = hits if out is None else out.unionByName(hits)
+    return df.select(*(F.col(f"`{c}`") for c in names), F.inline(F.array().cast(shape))) if out is None else out
+
+
 def _searcher(items: Broadcast, shape: str):
     @F.pandas_udf(shape)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -215,6 +244,18 @@ def _search(items: _Items, texts: pd.Series, at_once: int = 300_000) -> list[lis
     return [[{"item_id": items.ids[i], "score": s / (how.match * len(items.words[i])), "end_word": -e} for i, (s, e) in sorted(x.items())] for x in out]
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, how: Alignment = Alignment(), **columns: str) -> DataFrame:
-    """The rows of ``df`` without a leak; all columns stay, null and empty texts too."""
-    return df.filter(F.size(leaks(df, benchmark, how, **columns)) == 0)
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, how: Alignment = Alignment(), text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", most_words: int = 400_000) -> DataFrame:
+    """The rows of ``df`` without a leak; all columns stay, null and empty texts too.
+
+    Up to one block of items this is a filter. Beyond, the 128-bit hashes of the texts with hits come from passes as in
+    ``leak_rows``, and rows of such texts are dropped by a join.
+    """
+    columns = {"text_col": text_col, "item_id_col": item_id_col, "item_text_col": item_text_col, "most_words": most_words}
+    if _blocks(benchmark, item_id_col, item_text_col, most_words)[0] <= 1:
+        return df.filter(F.size(leaks(df, benchmark, how, **columns)) == 0)
+    text = F.col(f"`{text_col}`")
+    key = F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), F.reverse(text)).alias("h2"))
+    texts = df.filter(text.isNotNull()).select(text.alias("text"), key.alias("__key"))
+    bad = leak_rows(texts, benchmark, how, item_id_col=item_id_col, item_text_col=item_text_col, most_words=most_words).select("__key").distinct()
+    packs = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__in"), F.when(text.isNotNull(), key).alias("__key"))
+    return packs.join(bad, "__key", "left_anti").select(*(F.col(f"__in.`{c}`").alias(c) for c in df.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .ann import nearest_neighbours
 from .chat import Template, format_chats, read_back, unescape
 from .common import table
-from .decontam import leaks
+from .decontam import leak_rows
 from .fingerprints import edited_fingerprints, shown
 from .html_extract import extract
 from .lexical import search
@@ -94,8 +94,7 @@ def op8_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id", F.inline(found))
+    return leak_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm import pieces
 from folioframe.llm.ann import Settings, nearest_neighbours
-from folioframe.llm.decontam import Alignment, align, drop_contaminated, leaks
+from folioframe.llm.decontam import Alignment, align, drop_contaminated, leak_rows, leaks
 from folioframe.llm.html_extract import extract, main_text
 from folioframe.llm.toxicity import Settings as ToxicSettings
 from folioframe.llm.toxicity import score_toxicity
@@ -356,3 +356,19 @@ def test_neighbours_of_very_small_and_very_large_vectors(spark):
         assert all(abs(s - float(unit[q] @ unit[j])) < 1e-6 for j, s in got)
         met += len({j for _, j in true} & {j for j, _ in got})
     assert met >= 0.9 * 180
+
+
+def test_many_blocks_of_a_benchmark_find_what_one_does(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(150)] + [(200, None), (201, "")]
+    texts = [(i, " ".join([word(), word(), items[rng.randrange(150)][1] if i % 3 == 0 else word(), word()]), "clash", i) for i in range(90)] + [(None, items[5][1], "", 0), (91, None, "", 0), (92, items[5][1], "", 0)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, item_id string, row int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.item_id)
+    one, many = (sorted(leak_rows(df, bench, most_words=m).collect(), key=key) for m in (400_000, 2_000))
+    assert one == many and len(one) >= 32
+    kept, also = (sorted(tuple(r)[3] for r in drop_contaminated(df, bench, most_words=m).collect()) for m in (400_000, 2_000))
+    assert kept == also == sorted([*(r[3] for r in texts[:90] if r[0] % 3), 0])
+    assert drop_contaminated(df, bench, most_words=2_000).columns == df.columns
+    assert leak_rows(df, bench.limit(0)).count() == 0 and drop_contaminated(df, bench.limit(0)).count() == df.count()
