@@ -174,10 +174,11 @@ def output_manifest(manifest: DataFrame, page_dims: DataFrame) -> DataFrame:
     """(doc_id, output_index from 0, page_id, source_id, source_index, rotation): as it will be written.
 
     The page's own turn and the manifest's add up; a page that wasn't measured has none of its own. Every page
-    of the manifest is there; ``output_errors`` and ``page_errors`` list what can't be written.
+    of a source that is there is in it; ``output_errors`` and ``page_errors`` list what can't be written, and the
+    pages of missing sources.
     """
     dims = page_dims.select("source_id", "source_index", "page_rotate").dropDuplicates(["source_id", "source_index"])
-    joined = manifest.join(dims, ["source_id", "source_index"], "left")
+    joined = manifest.join(page_dims.select("source_id").distinct(), "source_id", "left_semi").join(dims, ["source_id", "source_index"], "left")
     return joined.select("doc_id", (F.col("position") - 1).alias("output_index"), "page_id", "source_id", "source_index", normalize_rotation(F.coalesce("page_rotate", F.lit(0)) + F.col("rotation")).alias("rotation"))
 
 

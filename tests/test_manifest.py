@@ -247,6 +247,6 @@ def test_pages_that_their_sources_do_not_have(spark):
     errors = {r.page_id: r.error for r in M.page_errors(found, sources).collect()}
     assert errors == {"b": "page 3 of source A with 3 pages", "c": "page -1 of source A with 3 pages", "d": "missing source Z", "e": "missing source null", "f": "page null of source A with 3 pages", "g": "page 0 of source B with 0 pages"}
     out = {r.page_id: (r.output_index, r.rotation) for r in M.output_manifest(found, dims).collect()}
-    assert out == {"a": (0, 90), "b": (1, 90), "c": (2, 0), "d": (3, 0), "e": (0, 0), "f": (1, 0), "g": (2, 0)}
+    assert out == {"a": (0, 90), "b": (1, 90), "c": (2, 0), "f": (1, 0)}
     docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
     assert {(r.doc_id, r.error) for r in M.output_errors(docs, found, dims, sources).collect()} == {(3, "no pages"), *((r[0], errors[r[2]]) for r in rows if r[2] in errors)}
