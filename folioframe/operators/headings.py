@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from ..functions.regex import group_number, is_blank, is_valid, widen
 from ..functions.scalars import is_toc_leader, leading_numbers, normalize_title
 
@@ -19,9 +20,23 @@ DEFAULT_PATTERNS = [
 ]
 
 
+#: A document is scanned in blocks of this many pages, each in one window; what a block passes on is a row.
+PAGES_PER_BLOCK = 64
+
+
+def _blocks(rows: DataFrame, pages: int) -> DataFrame:
+    # One value, so that an unknown document or page is a key like any other.
+    return durable(rows.withColumn("__block", F.struct("doc_id", F.floor(F.col("page_number") / pages).alias("n"))))
+
+
 def _before():
-    """The lines of the document before this one."""
-    return Window.partitionBy("doc_id").orderBy("page_number", "line_no").rowsBetween(Window.unboundedPreceding, -1)
+    """The lines of the same block before this one."""
+    return Window.partitionBy("__block").orderBy("page_number", "line_no").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _blocks_before(*more: str):
+    """The blocks of the document before this one."""
+    return Window.partitionBy("__block.doc_id", *more).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def compile_patterns(spark: SparkSession, patterns: list[dict]) -> list[tuple[str, int, int]]:
@@ -65,22 +80,34 @@ def find_headings(lines: DataFrame, compiled: list[tuple[str, int, int]]) -> Dat
     return found.select("doc_id", "page_number", "line_no", "h.level", "h.title").withColumn("seq", leading_numbers(F.col("title")))
 
 
-def sequence_filter(headings: DataFrame) -> DataFrame:
+def sequence_filter(headings: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
     """Headings with ``accepted``: a number below the last one accepted at its level is out.
 
     An accepted number starts the deeper levels anew; headings without a number are always in and
-    start nothing. Level by level: within the stretch since the last accepted heading of a higher
-    level the last accepted number is the largest so far. The windows share one exchange.
+    start nothing. Level by level: since the last accepted heading of a higher level, the last accepted number is
+    the largest so far. That is a running maximum in stretches, taken in blocks of pages: a block passes on how many
+    stretches it begins and the largest number of its last one, a document's blocks combine these, and each block goes
+    on from what came before it. So one document's headings lie in many tasks; only its blocks' rows, one for
+    ``pages_per_block`` pages, meet in one. Rows are checkpointed when this is called, so that no pattern is tried twice.
     """
-    out = headings.withColumn("seg", F.lit(0).cast("bigint")).withColumn("accepted", F.lit(True))
+    out = _blocks(headings.withColumn("accepted", F.lit(True)), pages_per_block)
     for level in (1, 2, 3):
-        here = F.col("level") == level
-        stretch = Window.partitionBy("doc_id", "seg").orderBy("page_number", "line_no").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumn("top", F.max(F.when(here, F.col("seq"))).over(stretch))
-        out = out.withColumn("accepted", F.when(here, F.col("seq").isNull() | F.col("top").isNull() | (F.col("seq") >= F.col("top"))).otherwise(F.col("accepted")))
-        resets = F.when((F.col("level") <= level) & F.col("seq").isNotNull() & F.col("accepted"), 1).otherwise(0)
-        out = out.withColumn("seg", F.coalesce(F.sum(resets).over(_before()), F.lit(0)))
-    return out.drop("seg", "top")
+        here = (F.col("level") == level) & F.col("seq").isNotNull()
+        begins = F.when((F.col("level") < level) & F.col("seq").isNotNull() & F.col("accepted"), 1).otherwise(0)
+        out = out.withColumn("__begins", begins).withColumn("__stretch", F.coalesce(F.sum("__begins").over(_before()), F.lit(0)))
+        out = out.withColumn("__best", F.when(here, F.struct(F.col("__stretch").alias("at"), F.col("seq").alias("seq"))))
+        ends = out.groupBy("__block").agg(F.sum("__begins").alias("begun"), F.max("__best").alias("best"))
+        before = F.coalesce(F.sum("begun").over(_blocks_before()), F.lit(0))
+        ends = ends.withColumn("before", before).withColumn("last", F.when(F.col("best.at") == F.col("begun"), F.struct((F.col("before") + F.col("begun")).alias("at"), F.col("best.seq").alias("seq"))))
+        ends = ends.withColumn("given", F.max("last").over(_blocks_before())).filter(F.col("given.at") == F.col("before"))
+        out = out.join(ends.select("__block", F.col("given.seq").alias("__given")), "__block", "left")
+        top = F.max("__best").over(_before())
+        top = F.greatest(F.when(top["at"] == F.col("__stretch"), top["seq"]), F.when(F.col("__stretch") == 0, F.col("__given")))
+        out = out.withColumn("__top", top).withColumn("accepted", F.when(here, F.col("__top").isNull() | (F.col("seq") >= F.col("__top"))).otherwise(F.col("accepted")))
+        out = out.drop("__begins", "__stretch", "__best", "__given", "__top")
+        if level < 3:
+            out = durable(out)
+    return out.select(*headings.columns, *(["accepted"] if "accepted" not in headings.columns else []))
 
 
 def detect_headings(lines: DataFrame, compiled: list[tuple[str, int, int]]) -> DataFrame:
@@ -121,22 +148,29 @@ def page_lines(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.join(lines, ["source_id", "source_index"]).select("doc_id", F.col("position").alias("page_number"), "line_no", "line")
 
 
-def build_hierarchy(headings: DataFrame, manifest: DataFrame) -> DataFrame:
+def build_hierarchy(headings: DataFrame, manifest: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
     """Outline rows (doc_id, node_id, parent_id, sib_index, title, source_id, source_index) of headings.
 
     A heading's parent is the nearest one before it with a smaller level; levels may be missing.
-    Headings on pages that the manifest doesn't have go first.
+    Headings on pages that the manifest doesn't have go first. Blocks of pages pass on their latest headings and how many
+    children each parent got, as in ``sequence_filter``; rows are checkpointed when this is called.
     """
     pages = manifest.select("doc_id", F.col("position").alias("page_number"), "source_id", "source_index")
     rows = headings.join(pages, ["doc_id", "page_number"]).withColumn("node_id", F.concat_ws("-", "doc_id", "page_number", "line_no"))
-    parent = F.coalesce(*[F.when(F.col("level") == level, _latest_above(level)) for level in (2, 3)])
-    rows = rows.withColumn("parent_id", parent)
-    order = Window.partitionBy("doc_id", "parent_id").orderBy("page_number", "line_no")
-    return rows.withColumn("sib_index", F.row_number().over(order) - 1).select("doc_id", "node_id", "parent_id", "sib_index", "title", "source_id", "source_index")
-
-
-def _latest_above(level: int) -> Column:
-    return F.last(F.when(F.col("level") < level, F.col("node_id")), ignorenulls=True).over(_before())
+    rows = _blocks(rows, pages_per_block)
+    above = {level: F.when(F.col("level") < level, F.col("node_id")) for level in (2, 3)}
+    order = F.struct("page_number", "line_no")
+    ends = rows.groupBy("__block").agg(*(F.max_by(F.col("node_id"), F.when(F.col("level") < level, order)).alias(f"last{level}") for level in above))
+    given = [F.last(f"last{level}", ignorenulls=True).over(_blocks_before()).alias(f"__given{level}") for level in above]
+    rows = rows.join(ends.select("__block", *given), "__block")
+    latest = [F.when(F.col("level") == level, F.coalesce(F.last(c, ignorenulls=True).over(_before()), F.col(f"__given{level}"))) for level, c in above.items()]
+    rows = durable(rows.withColumn("parent_id", F.coalesce(*latest)).drop("__given2", "__given3"))
+    # Roots have a parent too here: none.
+    rows = rows.withColumn("__of", F.struct("parent_id"))
+    children = rows.groupBy("__block", "__of").agg(F.count("*").alias("n"))
+    rows = rows.join(children.select("__block", "__of", F.sum("n").over(_blocks_before("__of")).alias("__older")), ["__block", "__of"])
+    place = F.row_number().over(Window.partitionBy("__block", "__of").orderBy("page_number", "line_no")) - 1 + F.coalesce("__older", F.lit(0))
+    return rows.withColumn("sib_index", place).select("doc_id", "node_id", "parent_id", F.col("sib_index").cast("int").alias("sib_index"), "title", "source_id", "source_index")
 
 
 def auto_outline(manifest: DataFrame, items: DataFrame, compiled: list[tuple[str, int, int]], start_page: int = 1) -> DataFrame:

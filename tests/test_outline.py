@@ -63,7 +63,8 @@ def model_headings(rows):
     return out, parents
 
 
-def test_sequence_filter_and_tree_on_random_documents(spark):
+@pytest.mark.parametrize("pages", [1, 7, 64])
+def test_sequence_filter_and_tree_on_random_documents(spark, pages):
     rng, rows, model = random.Random(11), [], {}
     for doc in range(60):
         items = []
@@ -74,15 +75,56 @@ def test_sequence_filter_and_tree_on_random_documents(spark):
             rows.append((doc, i + 1, 0, level, f"t{i}", seq))
         model[doc] = model_headings(items)
     heads = spark.createDataFrame(rows, "doc_id long, page_number int, line_no int, level int, title string, seq array<double>")
-    found = H.sequence_filter(heads)
+    found = H.sequence_filter(heads, pages)
     got = {(r.doc_id, r.page_number): r.accepted for r in found.collect()}
     assert all(got[d, i + 1] == ok for d, (oks, _) in model.items() for i, ok in enumerate(oks))
     manifest = spark.createDataFrame([(d, p, "s", p - 1) for d in range(60) for p in range(1, 31)], "doc_id long, position int, source_id string, source_index int")
-    tree = {(r.doc_id, r.source_index): r.parent_id for r in H.build_hierarchy(found.filter("accepted"), manifest).collect()}
+    tree = {(r.doc_id, r.source_index): r.parent_id for r in H.build_hierarchy(found.filter("accepted"), manifest, pages).collect()}
     want = {(d, i): None if p is None else f"{d}-{p + 1}-0" for d, (_, parents) in model.items() for i, p in parents.items()}
     assert tree == want
 
 
+def test_headings_of_one_huge_document_lie_in_many_tasks(spark):
+    n = 60_000
+    heads = spark.range(n, numPartitions=8).select(
+        F.lit("d").alias("doc_id"), (F.floor(F.col("id") / 4) + 1).cast("int").alias("page_number"), (F.col("id") % 4).cast("int").alias("line_no"),
+        (F.pmod(F.xxhash64("id"), F.lit(3)) + 1).cast("int").alias("level"), F.col("id").cast("string").alias("title"), F.array((F.col("id") + F.pmod(F.xxhash64("id"), F.lit(900))).cast("double")).alias("seq"),
+    )
+    heads = heads.withColumn("seq", F.when(F.col("page_number") % 5 > 0, F.col("seq")))
+    rows = [(r.level, r.seq) for r in heads.orderBy("page_number", "line_no").collect()]
+    oks, parents = model_headings_fast(rows)
+    merges = "spark.sql.adaptive.coalescePartitions.enabled"  # small partitions would be read by one task
+    spark.conf.set(merges, "false")
+    try:
+        found = H.sequence_filter(heads)
+        per_task = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset(merges)
+    assert {int(r.title): r.accepted for r in found.collect()} == dict(enumerate(oks))
+    assert max(per_task) < n / 2
+    manifest = spark.range(1, n // 4 + 1).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("position"), F.lit("s").alias("source_id"), (F.col("id") - 1).cast("int").alias("source_index"))
+    tree = {int(r.title): (r.parent_id, r.sib_index) for r in H.build_hierarchy(found.filter("accepted"), manifest).collect()}
+    assert tree == {i: (None if p is None else f"d-{p // 4 + 1}-{p % 4}", place) for i, (p, place) in parents.items()}
+
+
+def model_headings_fast(rows):
+    """As ``model_headings``, with each accepted one's parent and place, in one walk."""
+    last, latest, oks, parents, children = {1: None, 2: None, 3: None}, {1: None, 2: None, 3: None}, [], {}, {}
+    for i, (level, seq) in enumerate(rows):
+        ok = seq is None or last[level] is None or seq >= last[level]
+        oks.append(ok)
+        if not ok:
+            continue
+        if seq is not None:
+            last[level] = seq
+            last.update({deeper: None for deeper in range(level + 1, 4)})
+        parent = max((latest[above] for above in range(1, level) if latest[above] is not None), default=None)
+        parents[i] = parent, children.get(parent, 0)
+        children[parent] = children.get(parent, 0) + 1
+        latest[level] = i
+    return oks, parents
+
+
 @pytest.mark.parametrize(
     ("items", "want"),
     [
