@@ -294,8 +294,9 @@ def files_triage(spark, sf):
 def saved_manifest(spark, sf):
     """Written and read again."""
     folder = _folder(spark)
-    S.save(_manifest(spark, sf), folder)
-    return spark.read.parquet(folder)
+    S.save(_manifest(spark, sf).filter("rotation = 0"), folder)
+    S.save(_manifest(spark, sf), folder, overwrite=True)
+    return S.load(spark, folder)
 
 
 @query
@@ -310,7 +311,7 @@ def saved_extract(spark, sf):
     folder = _folder(spark)
     chosen = M.extract(_manifest(spark, sf), _targets(spark, sf, 3, 2))
     S.save_extract(chosen.join(_documents(spark, sf).withColumnRenamed("name", "file_name"), "doc_id"), folder)
-    return spark.read.parquet(folder)
+    return S.load(spark, folder)
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_pdf, maybe_encrypted, output_name, pdf_version, text_or_null
+from .commits import load, save_version, saved_folder
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
@@ -69,8 +70,9 @@ def displayed_text(manifest: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def save(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """As Parquet; an existing target is an error unless it is to be overwritten."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    """As Parquet, to be read by ``load``; an existing target is an error unless it is to be overwritten. The target
+    changes in one step (``commits.py``)."""
+    save_version(df.sparkSession, path, overwrite, df.write.parquet)
 
 
 def save_split(parts: DataFrame, path: str, overwrite: bool = False, buckets: int = 64) -> None:
@@ -78,12 +80,12 @@ def save_split(parts: DataFrame, path: str, overwrite: bool = False, buckets: in
     document, part and place, so that reading a document or a part skips the rest."""
     rows = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     rows = rows.repartition("bucket", "doc_id").sortWithinPartitions("bucket", "doc_id", "part_no", *(["part_position"] if "part_position" in parts.columns else []))
-    rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("bucket").parquet(path)
+    save_version(parts.sparkSession, path, overwrite, rows.write.partitionBy("bucket").parquet)
 
 
 def load_split(spark: SparkSession, path: str, doc_id=None, part_no: int | None = None, buckets: int = 64) -> DataFrame:
     """What ``save_split`` wrote: all of it, a document, or one of its parts."""
-    rows = spark.read.parquet(path)
+    rows = load(spark, path)
     if doc_id is not None:
         wanted = F.lit(doc_id).cast(rows.schema["doc_id"].dataType)
         rows = rows.filter((F.col("bucket") == F.pmod(F.xxhash64(wanted), F.lit(buckets))) & (F.col("doc_id") == wanted))
@@ -103,7 +105,7 @@ PATTERN_SCHEMA = "id string, label string, pattern string, level int, enabled bo
 def load_patterns(spark: SparkSession, path: str) -> list[dict] | None:
     """The stored patterns, a few rows of JSON; None if they can't be read."""
     try:
-        rows = spark.read.schema("ord int, " + PATTERN_SCHEMA).json(path).orderBy("ord").drop("ord").collect()
+        rows = spark.read.schema("ord int, " + PATTERN_SCHEMA).json(saved_folder(spark, path)).orderBy("ord").drop("ord").collect()
     except PySparkException:
         return None
     return [r.asDict() for r in rows]
@@ -111,5 +113,5 @@ def load_patterns(spark: SparkSession, path: str) -> list[dict] | None:
 
 def save_patterns(spark: SparkSession, patterns: list[dict], path: str) -> None:
     rows = [(i, *(p.get(k) for k in ("id", "label", "pattern", "level", "enabled", "builtin"))) for i, p in enumerate(patterns)]
-    spark.createDataFrame(rows, "ord int, " + PATTERN_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
+    save_version(spark, path, True, spark.createDataFrame(rows, "ord int, " + PATTERN_SCHEMA).coalesce(1).write.json)
 

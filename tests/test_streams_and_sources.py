@@ -1,11 +1,13 @@
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import AnalysisException
 
 from folioframe.operators.headings import DEFAULT_PATTERNS
 from folioframe.operators.history import OP, operations, replay_history
+from folioframe.sources import commits
 from folioframe.sources import intake as S
 from folioframe.streaming.streams import LOG, stream_replay, stream_search
 
@@ -109,7 +111,7 @@ def test_saved_parts(spark, tmp_path):
     S.save_split(parts, str(tmp_path / "parts"), buckets=4)
     assert sorted(tuple(r) for r in S.load_split(spark, str(tmp_path / "parts")).select(*parts.columns).collect()) == rows
     assert sorted(r.page_id for r in S.load_split(spark, str(tmp_path / "parts"), doc_id=3, part_no=2, buckets=4).collect()) == ["3-3", "3-4", "3-5"]
-    assert len([x for x in (tmp_path / "parts").iterdir() if x.is_dir()]) <= 4
+    assert len(list((tmp_path / "parts").glob("rows-*/bucket=*"))) <= 4
     with pytest.raises(AnalysisException):
         S.save_split(parts, str(tmp_path / "parts"))
 
@@ -127,10 +129,55 @@ def test_sources(spark, tmp_path):
     with pytest.raises(AnalysisException):
         S.save(df, str(tmp_path / "out"))
     S.save(df, str(tmp_path / "out"), overwrite=True)
+    assert S.load(spark, str(tmp_path / "out")).count() == 3
     with pytest.raises(ValueError):
         S.save_extract(df.limit(0), str(tmp_path / "none"))
 
 
+def test_a_killed_overwrite_leaves_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "out")
+    S.save(spark.range(3), path)
+    failing = spark.range(50, numPartitions=5).selectExpr("IF(id = 49, CAST(raise_error('lost') AS BIGINT), id) AS id")
+    with pytest.raises(Exception, match="lost"):
+        S.save(failing, path, overwrite=True)
+    assert S.load(spark, path).count() == 3 and len(list((tmp_path / "out").glob("rows-*"))) == 1
+    # Killed after writing rows, and after beginning a record.
+    spark.range(9).write.parquet(f"{path}/rows-dead")
+    (tmp_path / "out" / "_commits" / "00000001").write_text("rows-de")
+    assert S.load(spark, path).count() == 3
+    reader = S.load(spark, path)
+    S.save(spark.range(7), path, overwrite=True)
+    assert S.load(spark, path).count() == 7 and reader.count() == 3
+    assert commits.tidy(spark, path) == []
+    assert len(commits.tidy(spark, path, hours=0)) == 2
+    assert S.load(spark, path).count() == 7
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    path, df = str(tmp_path / "out"), spark.range(2)
+
+    def beaten(by):
+        def write(folder):
+            by()
+            df.write.parquet(folder)
+
+        return write
+
+    with pytest.raises(AnalysisException, match="meanwhile"):
+        commits.save_version(spark, path, False, beaten(lambda: S.save(spark.range(5), path)))
+    assert S.load(spark, path).count() == 5
+    with pytest.raises(AnalysisException, match="meanwhile"):
+        commits.save_version(spark, path, True, beaten(lambda: S.save(spark.range(6), path, overwrite=True)))
+    assert S.load(spark, path).count() == 6 and len(list((tmp_path / "out").glob("rows-*"))) == 2
+    with pytest.raises(AnalysisException, match="nothing saved"):
+        S.load(spark, str(tmp_path / "missing"))
+    # Many at once: each number is given to one.
+    system, at = commits._hadoop(spark, str(tmp_path / "many"))
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: commits._claim(spark, system, at, i % 4, f"rows-{i}"), range(32)))
+    assert sum(won) == 4
+
+
 def test_stored_patterns(spark, tmp_path):
     S.save_patterns(spark, DEFAULT_PATTERNS, str(tmp_path / "p"))
     assert S.load_patterns(spark, str(tmp_path / "p")) == [{k: p[k] for k in ("id", "label", "pattern", "level", "enabled", "builtin")} for p in DEFAULT_PATTERNS]
