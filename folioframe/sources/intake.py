@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_pdf, maybe_encrypted, output_name, pdf_version, text_or_null
 from .commits import load, save_version, saved_folder
+from .pieces import headers, token_pieces
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
@@ -16,9 +17,24 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
-def triage(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, version, maybe_encrypted), which does read the bytes."""
-    return triage_content(spark.read.format("binaryFile").load(path)).select("path", "length", "version", "maybe_encrypted")
+def triage(spark: SparkSession, path: str, piece: int = 16 << 20, pieces_per_task: int = 16) -> DataFrame:
+    """(path, length, version, maybe_encrypted) by the files' bytes, as ``triage_content`` gives them.
+
+    Files are read in pieces of ``piece`` bytes, each with as many bytes of the next as a token needs, so a file of
+    any size is spread over tasks and never one value; a token or a header over a border is found. Empty files
+    are not listed. How many bytes there are is counted when this is called, from the listing alone. Executors must reach the
+    files by their path.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    last = F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / piece)
+    tasks = files.agg(F.sum(last + 1)).first()[0] or 1
+    pieces = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("n"))
+    # A fixed number of partitions, since the rows are tiny and would be merged by their size.
+    spread = pieces.repartition(max(1, min(-(-tasks // pieces_per_task), 100_000)), "path", "n")
+    found = spread.mapInPandas(token_pieces(piece), "path string, length long, encrypted boolean, header_at long")
+    of_file = found.groupBy("path").agg(F.max("length").alias("length"), F.max("encrypted").alias("maybe_encrypted"), F.min("header_at").alias("header_at"))
+    # An exchange by file came before, so files are spread here too.
+    return of_file.mapInPandas(headers(), "path string, length long, version string, maybe_encrypted boolean")
 
 
 def triage_content(files: DataFrame) -> DataFrame:

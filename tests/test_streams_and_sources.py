@@ -134,6 +134,30 @@ def test_sources(spark, tmp_path):
         S.save_extract(df.limit(0), str(tmp_path / "none"))
 
 
+def test_triage_in_pieces_equals_whole_files(spark, tmp_path):
+    rng = random.Random(4)
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for i in range(60):
+        parts = [rng.choice([b"/Encrypt", b"/Encryp", b"%%PDF-1.%d" % i, b"%PDF", b"\r", b"\n", b"\xff\x00", b"text " * rng.randrange(4)]) for _ in range(rng.randrange(9))]
+        (tmp_path / "in" / f"a b%20{i}.pdf").write_bytes(b"".join(parts))
+    path = str(tmp_path / "in")
+    whole = {r.path: (r.length, r.version, r.maybe_encrypted) for r in S.triage_content(spark.read.format("binaryFile").load(path)).collect()}
+    full = [x for x in (tmp_path / "in").glob("*.pdf") if x.stat().st_size]  # the listing leaves out empty ones
+    assert len(whole) == len(full) and len({v[2] for v in whole.values()}) == 2
+    for piece in (1, 3, 8, 50, 16 << 20):
+        assert {r.path: (r.length, r.version, r.maybe_encrypted) for r in S.triage(spark, path, piece, 5).collect()} == whole
+
+
+def test_triage_of_a_file_beyond_two_gigabytes(spark, tmp_path):
+    size = (2 << 30) + 12_345
+    with open(tmp_path / "big.pdf", "wb") as file:  # sparse, so it takes no space
+        file.write(b"%PDF-1.5\n")
+        file.seek((129 << 24) - 3)  # over the border of two pieces, behind the second gigabyte
+        file.write(b"/Encrypt")
+        file.truncate(size := size + (64 << 20))
+    assert [tuple(r)[1:] for r in S.triage(spark, str(tmp_path)).collect()] == [(size, "%PDF-1.5", True)]
+
+
 def test_a_killed_overwrite_leaves_the_old_rows(spark, tmp_path):
     path = str(tmp_path / "out")
     S.save(spark.range(3), path)
