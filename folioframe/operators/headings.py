@@ -188,6 +188,17 @@ def apply_outline(existing: DataFrame, generated: DataFrame, mode: str) -> DataF
     return existing.select(*columns).unionByName(moved.select(*columns))
 
 
+def apply_outlines(existing: DataFrame, generated: DataFrame, modes: DataFrame) -> DataFrame:
+    """As ``apply_outline``, for each document by its own row of ``modes`` (doc_id, mode: replace or append), in one job.
+
+    A document without a mode keeps its outline, and what was generated for it goes; one to be replaced for which nothing
+    was generated ends without an outline. Of several rows of a document ``replace`` counts.
+    """
+    modes = modes.filter(F.col("mode").isin("replace", "append")).groupBy("doc_id").agg(F.max("mode").alias("mode"))
+    replaced, wanted = modes.filter("mode = 'replace'"), modes.select("doc_id")
+    return apply_outline(existing.join(replaced, "doc_id", "left_anti"), generated.join(wanted, "doc_id", "left_semi"), "append")
+
+
 def detection_profile(manifest: DataFrame, headings: DataFrame) -> DataFrame:
     """(doc_id, current_page, total_pages, found_count): headings found up to each page."""
     per = headings.groupBy("doc_id", F.col("page_number").alias("position")).agg(F.count("*").alias("n"))

@@ -255,6 +255,8 @@ ORACLES: dict[str, str] = {
           WHEN parent_id IS NOT DISTINCT FROM top_id AND sib_index > top_at THEN sib_index + 1 ELSE sib_index END AS INTEGER) AS sib_index, title FROM x""",
     "outline_append": f"""WITH {_M}, {_TREE} SELECT doc_id, node_id, parent_id, sib_index, title FROM t
         UNION ALL SELECT doc_id, 'g' || node_id, 'g' || parent_id, CAST(sib_index + CASE WHEN parent_id IS NULL THEN count(*) FILTER (parent_id IS NULL) OVER (PARTITION BY doc_id) ELSE 0 END AS INTEGER), title FROM t""",
+    "outline_apply_modes": f"""WITH {_M}, {_TREE} SELECT doc_id, node_id, parent_id, sib_index, title FROM t WHERE doc_id % 3 != 0
+        UNION ALL SELECT doc_id, 'g' || node_id, 'g' || parent_id, CAST(sib_index + CASE WHEN parent_id IS NULL AND doc_id % 3 = 1 THEN count(*) FILTER (parent_id IS NULL) OVER (PARTITION BY doc_id) ELSE 0 END AS INTEGER), title FROM t WHERE doc_id % 3 < 2""",
     "outline_dirty": """SELECT o_custkey AS doc_id, coalesce(max(o_orderkey) FILTER (o_orderkey % 5 != 0 AND o_orderkey % 7 != 0) > coalesce(max(o_orderkey) FILTER (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0), -1), FALSE) AS dirty FROM orders GROUP BY 1""",
     "outline_move_subtree": f"""WITH RECURSIVE {_PATHS}, l AS (SELECT doc_id, list(node_id ORDER BY preorder) AS l FROM flat GROUP BY doc_id),
         a AS (SELECT t.doc_id, t.node_id AS a_id, o.node_id AS o_id, CASE WHEN t.doc_id % 2 = 0 THEN o.node_id ELSE o.parent_id END AS up FROM t JOIN t o ON o.doc_id = t.doc_id AND o.n = o.doc_id % 4 + 1 WHERE t.n = t.doc_id % 3 + 5),
@@ -280,6 +282,8 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'on[,.]', FALSE, CAST(sum(len(regexp_extract_all(text, '(?i)on[,.]'))) AS BIGINT) FROM conversations""",
     "stream_search_hits": f"WITH {_hits('on')} SELECT doc_id, page, start_ AS start, end_ AS \"end\" FROM hits",
     "files_triage": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '%PDF-1.' || page_id % 8 ELSE '%PDF-1.7' END AS version, page_id % 5 = 0 AS maybe_encrypted FROM pages""",
+    "files_triage_pieces": """SELECT CAST(page_id % 16 AS INTEGER) AS part, CAST(sum(strlen(t) + 1) AS BIGINT) AS length, bool_or(contains(t, '/Encrypt')) AS maybe_encrypted
+        FROM (SELECT page_id, coalesce(html, '') || CASE WHEN page_id % 37 = 0 THEN '/Encrypt 3 0 R' ELSE '' END AS t FROM pages) GROUP BY 1""",
     "saved_manifest": f"WITH {_M} SELECT {_COLS} FROM m",
     "saved_split": f"""WITH {_M}, p AS (SELECT *, CAST(1 + sum(CASE WHEN k % 7 = 0 AND position > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY position) AS INTEGER) AS part_no FROM m)
         SELECT {_COLS}, part_no, CAST(row_number() OVER (PARTITION BY doc_id, part_no ORDER BY position) AS INTEGER) AS part_position FROM p""",

@@ -290,6 +290,17 @@ def files_triage(spark, sf):
     return S.triage_content(_table(spark, sf, "pages").select("page_id", text.cast("binary").alias("content"))).select("page_id", "version", "maybe_encrypted")
 
 
+@query
+def files_triage_pieces(spark, sf):
+    """The pages' texts written as sixteen files, which are read back in pieces of four thousand bytes."""
+    folder, k = _folder(spark), F.col("page_id")
+    text = F.concat(F.coalesce("html", F.lit("")), F.when(k % 37 == 0, "/Encrypt 3 0 R").otherwise(""))
+    pages = _table(spark, sf, "pages").select(text.alias("value"), (k % 16).cast("int").alias("part"))
+    pages.repartition(16, "part").write.partitionBy("part").text(folder)
+    files = S.triage(spark, f"{folder}/part=*/*.txt", piece=4_000).withColumn("part", F.regexp_extract("path", "part=([0-9]+)", 1).cast("int"))
+    return files.groupBy("part").agg(F.sum("length").alias("length"), F.bool_or("maybe_encrypted").alias("maybe_encrypted"))
+
+
 @query
 def saved_manifest(spark, sf):
     """Written and read again."""
@@ -866,6 +877,16 @@ def outline_append(spark, sf):
     return H.apply_outline(tree, tree.withColumn("node_id", ident("node_id")).withColumn("parent_id", ident("parent_id")), "append").select(*_NODE)
 
 
+@query
+def outline_apply_modes(spark, sf):
+    """Every third document's outline replaced by the generated one, every third one's extended, the others' kept."""
+    tree, third = _tree(spark, sf), F.col("doc_id") % 3
+    ident = lambda c: F.concat(F.lit("g"), c)
+    generated = tree.withColumn("node_id", ident("node_id")).withColumn("parent_id", ident("parent_id"))
+    modes = _documents(spark, sf).select("doc_id", F.when(third == 0, "replace").when(third == 1, "append").alias("mode"))
+    return H.apply_outlines(tree, generated, modes).select(*_NODE)
+
+
 @query
 def outline_dirty(spark, sf):
     o = _table(spark, sf, "orders")

@@ -107,6 +107,16 @@ def test_headings_of_one_huge_document_lie_in_many_tasks(spark):
     assert tree == {i: (None if p is None else f"d-{p // 4 + 1}-{p % 4}", place) for i, (p, place) in parents.items()}
 
 
+def test_outlines_applied_by_document(spark):
+    columns = "doc_id string, node_id string, parent_id string, sib_index int, title string, source_id string, source_index int"
+    node = lambda d, n, i, up=None: (d, n, up, i, n, "s", 0)
+    existing = spark.createDataFrame([node(d, x, i) for d in "abcd" for i, x in enumerate("xy")], columns)
+    generated = spark.createDataFrame([node(d, "g", 0) for d in "abce"] + [node("b", "h", 0, "g")], columns)
+    modes = spark.createDataFrame([("a", "replace"), ("a", "append"), ("b", "append"), ("c", None), ("d", "replace"), ("e", "append")], "doc_id string, mode string")
+    got = sorted((r.doc_id, r.node_id, r.sib_index) for r in H.apply_outlines(existing, generated, modes).collect())
+    assert got == [("a", "g", 0), ("b", "g", 2), ("b", "h", 0), ("b", "x", 0), ("b", "y", 1), ("c", "x", 0), ("c", "y", 1), ("e", "g", 0)]
+
+
 def model_headings_fast(rows):
     """As ``model_headings``, with each accepted one's parent and place, in one walk."""
     last, latest, oks, parents, children = {1: None, 2: None, 3: None}, {1: None, 2: None, 3: None}, [], {}, {}
