@@ -68,6 +68,7 @@ class Vocabulary:
         #: Words met lately, and those met before them.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young_chars = 0
 
     @classmethod
     def read(cls, model: str = MODEL) -> Vocabulary:
@@ -203,19 +204,20 @@ def load(spark: SparkSession, model: str = MODEL) -> Broadcast:
     return spark.sparkContext.broadcast(Vocabulary.read(model))
 
 
-def _encoded(texts: pd.Series, words: Vocabulary, chunk_chars: int, cached_words: int) -> Iterator[list[np.ndarray | None]]:
+def _encoded(texts: pd.Series, words: Vocabulary, chunk_chars: int, cached_words: int, cached_chars: int) -> Iterator[list[np.ndarray | None]]:
     """The ids of the texts, chunk by chunk. What is made here holds no cycles, so the collector rests."""
     waiting, size = [], 0
     for i, text in enumerate(texts):
         waiting.append(None if text is None else _marked(text))
         size += len(text or "")
         if size >= chunk_chars or i == len(texts) - 1:
-            if len(words.young) > cached_words:
-                words.old, words.young = words.young, {}
+            if len(words.young) > cached_words or words.young_chars > cached_chars:
+                words.old, words.young, words.young_chars = words.young, {}, 0
             young, old, collects = words.young, words.old, gc.isenabled()
             gc.disable()
             try:
                 new = set(chain.from_iterable(filter(None, waiting))).difference(young)
+                words.young_chars += sum(map(len, new))
                 again = new.intersection(old)
                 young.update(zip(again, map(old.__getitem__, again)))
                 young.update(words.encode_words(new.difference(again)))
@@ -227,23 +229,24 @@ def _encoded(texts: pd.Series, words: Vocabulary, chunk_chars: int, cached_words
             waiting, size = [], 0
 
 
-def encode(text: Column, vocabulary: Broadcast, chunk_chars: int = 600_000, cached_words: int = 120_000) -> Column:
+def encode(text: Column, vocabulary: Broadcast, chunk_chars: int = 600_000, cached_words: int = 120_000, cached_chars: int = 4_000_000) -> Column:
     """array<int> of piece ids. Null gives null, empty text an empty array; equal texts equal arrays.
 
     Texts go through in chunks of about ``chunk_chars`` characters; a worker keeps the words it has met
-    until there are ``cached_words`` new ones, which bounds memory and changes no result.
+    until there are ``cached_words`` new ones, or ``cached_chars`` characters in them (of 16 bytes at most, twice), which
+    bounds memory and changes no result. Beside these it holds one chunk, or one text that is longer.
     """
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            for ids in _encoded(batch, vocabulary.value, chunk_chars, cached_words):
+            for ids in _encoded(batch, vocabulary.value, chunk_chars, cached_words, cached_chars):
                 yield pd.Series(ids, dtype=object)
 
     return run(text)
 
 
-def encode_and_check(text: Column, vocabulary: Broadcast, chunk_chars: int = 600_000, cached_words: int = 120_000) -> Column:
+def encode_and_check(text: Column, vocabulary: Broadcast, chunk_chars: int = 600_000, cached_words: int = 120_000, cached_chars: int = 4_000_000) -> Column:
     """struct<ids, same>: as ``encode``, and whether decoding the ids gives the very text again; done in
     one worker, so that neither ids nor text go back and forth for it. Null text: null ids, same."""
 
@@ -251,7 +254,7 @@ def encode_and_check(text: Column, vocabulary: Broadcast, chunk_chars: int = 600
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at, words = 0, vocabulary.value
-            for ids in _encoded(batch, words, chunk_chars, cached_words):
+            for ids in _encoded(batch, words, chunk_chars, cached_words, cached_chars):
                 texts = batch.iloc[at : at + len(ids)]
                 at += len(ids)
                 yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": [t is None if x is None else words.decode(x.tolist()) == t for x, t in zip(ids, texts)]})

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,18 @@ def best_splits(word, scores, raw):
     return best[-1], ways[-1]
 
 
+def test_words_are_kept_by_their_characters():
+    words, rng = pieces.Vocabulary.read(pieces.MODEL), random.Random(2)
+    texts = pd.Series([" ".join("".join(rng.choices("abcdef0123456789", k=2_000)) for _ in range(3)) + f" the word {i}" for i in range(60)])
+    plain = [ids.tolist() for part in pieces._encoded(texts, words, 6_000, 10**6, 10**9) for ids in part]
+    few = pieces.Vocabulary.read(pieces.MODEL)
+    bounded, most = [], 0
+    for part in pieces._encoded(texts, few, 6_000, 10**6, 20_000):
+        bounded += [ids.tolist() for ids in part]
+        most = max(most, sum(map(len, few.young)) + sum(map(len, few.old)))
+    assert bounded == plain and most <= 2 * (20_000 + 3 * 6_100) < sum(map(len, words.young))
+
+
 def test_unigram_scores_take_the_best_path():
     rng = random.Random(11)
     for _ in range(20):
