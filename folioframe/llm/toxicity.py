@@ -30,8 +30,8 @@ _FEATURES = "mean double, most double, excess double, n double"
 class Settings:
     """``order``: characters of an n-gram. ``fit_rows``: at most so many labelled rows fit the four weights of the logistic
     model. ``stand_out``: log ratio beyond which a word counts as telling. ``broadcast_labels``: with more labels than
-    that they are joined by shuffle. ``broadcast_grams``: with more n-grams than that (12 bytes each) the words'
-    values are joined by shuffle."""
+    that they are joined by shuffle. ``broadcast_grams``: with more n-grams and contexts than that, taken together (12 bytes
+    each), the words' values are joined by shuffle."""
 
     order: int = 5
     discount: float = 0.75
@@ -156,23 +156,26 @@ def word_value(model: Model, word: str) -> float:
     return float(word_values(model, [word])[0])
 
 
-def features(text: Column, model: Broadcast, cached_words: int = 100_000) -> Column:
-    """struct<mean, most, excess, n> of each whole text; null and empty texts have zeros."""
+def features(text: Column, model: Broadcast, cached_words: int = 100_000, cached_chars: int = 4_000_000) -> Column:
+    """struct<mean, most, excess, n> of each whole text; null and empty texts have zeros. A worker keeps the values of words
+    until there are ``cached_words``, or ``cached_chars`` characters in them; beside these it holds one text's."""
 
     @F.pandas_udf(_FEATURES)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        held, known = model.value, {}
+        held, known, chars = model.value, {}, 0
         line = held.settings.stand_out
         for batch in batches:
             out = np.zeros((len(batch), 4))
             for i, text in enumerate(batch):
                 words = _WORD.findall(text.lower()) if text else []
                 if words:
-                    if len(known) > cached_words:
+                    if len(known) > cached_words or chars > cached_chars:
                         known.clear()
+                        chars = 0
                     new = list(set(words).difference(known))
                     if new:
                         known.update(zip(new, word_values(held, new).tolist()))
+                        chars += sum(map(len, new))
                     v = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
                     out[i] = v.mean(), v.max(), np.maximum(v - line, 0).sum(), len(words)
             yield pd.DataFrame(out, columns=["mean", "most", "excess", "n"])
@@ -256,7 +259,7 @@ def score_toxicity(df: DataFrame, labelled_docs: DataFrame, labels: DataFrame, s
     chosen = durable(rows.filter(fits).select("id").distinct().orderBy(*first).limit(settings.fit_rows).withColumn("fit", F.lit(True)))
     rows = rows.join(F.broadcast(chosen), "id", "left")
     grams, contexts = language_models(rows.filter("fit IS NULL").select("text", "toxic"), settings)
-    if grams.count() <= settings.broadcast_grams:
+    if grams.count() + contexts.count() <= settings.broadcast_grams:
         held = spark.sparkContext.broadcast(held_model(grams, contexts, settings))
         with_features = lambda given, text: given.withColumn("f", features(text, held))
     else:
