@@ -5,10 +5,12 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
 import xxhash
 
 import corpus_pipeline
 from folioframe.llm import pieces
+from folioframe.llm.similar import drop_similar, shingles
 from folioframe.llm.simhash import fingerprint
 from folioframe.llm.toxicity import Settings, _grams, held_model, language_models, word_value
 
@@ -120,6 +122,37 @@ def fixture(spark, folder):
     return rows, items
 
 
+def similar_components(texts, least=0.8):
+    """The smallest id of each component of texts of a five-word Jaccard similarity of 0.8 or more, and the number of pairs."""
+    sets, root, pairs = {i: set(shingles(t).tolist()) for i, t in texts.items()}, {i: i for i in texts}, 0
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                pairs += 1
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    return {i for i, r in root.items() if i == r}, pairs
+
+
+@pytest.mark.parametrize(("rows_of_band", "block", "shingles_of_block"), [(1, 1_000, 700), (1, 9, 10**6), (5, 1_000, 10**6)])
+def test_texts_of_one_template_and_their_edited_copies(spark, rows_of_band, block, shingles_of_block):
+    rng, texts = random.Random(12), {}
+    word = lambda: "w" + str(rng.randrange(10**6))
+    template = [word() for _ in range(60)]
+    for i in range(90):
+        texts[i] = template + [word() for _ in range(rng.choice([40, 60, 200]))]
+    for i in range(90, 150):
+        copy = list(texts[rng.randrange(90)])
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(len(copy))] = word()
+        texts[i] = copy
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    want, pairs = similar_components(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = drop_similar(df, band_rows=rows_of_band, block=block, block_shingles=shingles_of_block)
+    assert pairs > 40 and {r.doc_id for r in kept.collect()} == want
+
+
 def test_stages(spark, tmp_path):
     rows, items = fixture(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
