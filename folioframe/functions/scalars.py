@@ -86,6 +86,14 @@ def normalize_title(title: Column) -> Column:
     return trim_wide(t)
 
 
+def plain_title(title: Column) -> Column:
+    """A heading of running text: no space before a full stop, single spaces. A sentence may end before a number,
+    so numbers stay as they stand, unlike in ``normalize_title``."""
+    t = F.regexp_replace(title, "[\\t\\n\\f\\r ]+\\.", ".")
+    t = F.regexp_replace(t, "[\\t\\n\\f\\r ]{2,}", " ")
+    return F.regexp_replace(t, r"^\p{Zs}+|\p{Zs}+$", "")
+
+
 def is_toc_leader(line: Column) -> Column:
     """A line of a table of contents: its words and page are joined by dots or dashes."""
     return line.rlike(rf"\.{{4,}}|…|・{{4,}}|[-–—]{{3,}}|(?:\.{WS}){{3,}}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,21 +64,23 @@ def merge_patterns(stored: list[dict] | None, defaults: list[dict] = DEFAULT_PAT
     return [p | {"enabled": switches.get(p["id"], p["enabled"])} for p in defaults] + custom
 
 
-def match_heading(line: Column, compiled: list[tuple[str, int, int]]) -> Column:
-    """struct<level, title> by the first pattern that gives a title, or null."""
+def match_heading(line: Column, compiled: list[tuple[str, int, int]], title: Callable[[Column], Column] = normalize_title) -> Column:
+    """struct<level, title> by the first pattern that gives a title, or null. ``title`` says how a title should read."""
     if not compiled:
         return F.lit(None).cast("struct<level:int,title:string>")
     tries = []
     for pattern, group, level in compiled:
         # An array of one, so that a title is worked out once, and only where its pattern is the first to fit.
-        titled = F.array(F.struct(F.lit(level).alias("level"), normalize_title(F.regexp_extract(line, pattern, group)).alias("title")))
+        titled = F.array(F.struct(F.lit(level).alias("level"), title(F.regexp_extract(line, pattern, group)).alias("title")))
         tries.append(F.when(line.rlike(pattern), F.get(F.filter(titled, lambda x: F.length(x["title"]) > 0), 0)))
     return F.when(~is_blank(line) & ~is_toc_leader(line), F.coalesce(*tries))
 
 
-def find_headings(lines: DataFrame, compiled: list[tuple[str, int, int]]) -> DataFrame:
-    """(doc_id, page_number, line_no, level, title, seq) of lines (doc_id, page_number, line_no, line)."""
-    found = lines.withColumn("h", match_heading(F.col("line"), compiled)).filter("h IS NOT NULL")
+def find_headings(lines: DataFrame, compiled: list[tuple[str, int, int]], title: Callable[[Column], Column] = normalize_title) -> DataFrame:
+    """(doc_id, page_number, line_no, level, title, seq) of lines (doc_id, page_number, line_no, line).
+
+    Titles of numbered headings by default; ``scalars.plain_title`` leaves numbers as they stand."""
+    found = lines.withColumn("h", match_heading(F.col("line"), compiled, title)).filter("h IS NOT NULL")
     return found.select("doc_id", "page_number", "line_no", "h.level", "h.title").withColumn("seq", leading_numbers(F.col("title")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import scalars
 from folioframe.operators import headings as H
 from folioframe.operators import outline as O
+from folioframe.plans.queries import QUERIES
 
 
 def column(spark, values, f):
@@ -23,6 +24,13 @@ def test_titles(spark):
     assert column(spark, ["a ..... 3", "a…", "a ---- 5", "a . . . 1", "1.1 plain"], scalars.is_toc_leader) == [True, True, True, True, False]
 
 
+def test_headings_of_web_pages_keep_numbers_as_they_stand(spark, tmp_path):
+    html = ["<p>x</p><h1>The end. 408 and  more .</h1><h1> 1 . 2 plain</h1>", "<h1>A ..... 3</h1><h1>第 1 章１</h1>", None]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = QUERIES["html_headings"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.level, r.title) for r in rows) == [(0, 1, "1. 2 plain"), (0, 1, "The end. 408 and more."), (1, 1, "第 1 章１")]
+
+
 def test_default_patterns(spark):
     compiled = H.compile_patterns(spark, H.DEFAULT_PATTERNS)
     assert [level for _, _, level in compiled] == [3, 2, 1]
