@@ -4,11 +4,15 @@ source_index). ``flatten`` adds depth, preorder and n_below; every edit works on
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..functions.durable import durable, remove_folder, shared_folder, written
+from ..functions.durable import remove_folder, shared_folder, written
 from .manifest import source_order
 
 OUTLINE = ["doc_id", "node_id", "parent_id", "sib_index", "title", "source_id", "source_index"]
@@ -75,18 +79,95 @@ def _doubled(rows: DataFrame) -> DataFrame:
     )
 
 
-def flatten(outline: DataFrame) -> DataFrame:
+#: Documents of up to this many nodes are walked as a whole, many of them by one task.
+NODES_PER_WALK = 16_384
+
+
+def flatten(outline: DataFrame, nodes_per_walk: int = NODES_PER_WALK) -> DataFrame:
     """Outline rows with depth, preorder and n_below: what lies below a node are the n_below rows after it in preorder.
 
-    Subtrees are counted and places summed along the way to the root by pointers that double, so rounds grow with
-    the logarithm of the depth, and no row holds its path. Siblings of one sib_index go by node_id. Rows whose parents
-    never lead to a root are an error. The rounds are written to the shared folder when this is called; the last stay.
+    Rows are dealt by document once, and a task walks through one document after the other. Larger documents go node by
+    node: subtrees are counted and places summed along the way to the root by pointers that double, so rounds grow with
+    the logarithm of the depth, and no row holds its path. Siblings of one sib_index go by node_id. Rows without a doc_id
+    or node_id don't count; rows whose parents never lead to a root are an error. Rows are written to the shared folder
+    when this is called; the last stay.
     """
-    rows = durable(outline.select(*OUTLINE))
+    spark, folder = outline.sparkSession, f"{shared_folder(outline.sparkSession)}/tree-{uuid.uuid4().hex}"
+    rows = written(outline.filter("doc_id IS NOT NULL AND node_id IS NOT NULL").select(*OUTLINE), f"{folder}/rows")
+    large = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > nodes_per_walk).select("doc_id"), f"{folder}/large")
+    if large.isEmpty():
+        out = _walked(rows, f"{folder}/walked")
+        remove_folder(spark, f"{folder}/rows")
+        return out
+    small = _walked(rows.join(F.broadcast(large), "doc_id", "left_anti"), f"{folder}/walked")
+    return small.unionByName(_pointed(rows.join(F.broadcast(large), "doc_id", "left_semi"), folder))
+
+
+def _walked(rows: DataFrame, path: str) -> DataFrame:
+    kinds = StructType(rows.schema.fields + [StructField("depth", IntegerType()), StructField("preorder", IntegerType()), StructField("n_below", LongType())])
+    out = written(rows.repartition("doc_id").sortWithinPartitions("doc_id", "sib_index", "node_id").mapInArrow(_walk, kinds), path)
+    bad = out.filter("preorder IS NULL").count()
+    if bad:
+        raise ValueError(f"{bad} rows lie under no root")
+    return out
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document and sibling, with their places; a document's rows are held until the next one begins."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        docs = batch.column("doc_id")
+        last = docs[len(docs) - 1]
+        n = pc.index(docs, last).as_py()  # where the last document begins
+        if n or held and held[-1].column("doc_id")[0] != last:
+            yield from _placed(held + [batch.slice(0, n)])
+            held = []
+        held.append(batch.slice(n))
+    yield from _placed(held)
+
+
+def _placed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    docs, nodes, ups = (table.column(c).to_pylist() for c in ("doc_id", "node_id", "parent_id"))
+    at = {key: i for i, key in enumerate(zip(docs, nodes))}
+    above = [-1 if up is None else at.get((doc, up)) for doc, up in zip(docs, ups)]
+    children: list[list[int]] = [[] for _ in docs]
+    for i in range(len(docs) - 1, -1, -1):  # the first child lies on top
+        if above[i] is not None and above[i] >= 0:
+            children[above[i]].append(i)
+    depth, place, below, order = [None] * len(docs), [None] * len(docs), [0] * len(docs), []
+    doc, n = None, 0
+    for root, up in enumerate(above):
+        if up != -1:
+            continue
+        if docs[root] != doc:
+            doc, n = docs[root], 0
+        depth[root], todo = 0, [root]
+        while todo:
+            i = todo.pop()
+            place[i], n = n, n + 1
+            order.append(i)
+            for child in children[i]:
+                depth[child] = depth[i] + 1
+            todo += children[i]
+    for i in reversed(order):
+        if above[i] >= 0:
+            below[above[i]] += below[i] + 1
+    more = {"depth": pa.array(depth, pa.int32()), "preorder": pa.array(place, pa.int32()), "n_below": pa.array(below, pa.int64())}
+    for name, column in more.items():
+        table = table.append_column(name, column)
+    yield from table.combine_chunks().to_batches()
+
+
+def _pointed(outline: DataFrame, folder: str) -> DataFrame:
+    spark, rows = outline.sparkSession, written(outline, f"{folder}/pointed")
     total = rows.count()
     known = rows.select("doc_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known")).distinct()
     ways = rows.select(*_KEYS, "parent_id").join(known, ["doc_id", "parent_id"], "left")
-    spark, folder = outline.sparkSession, f"{shared_folder(outline.sparkSession)}/tree-{uuid.uuid4().hex}"
     ways = written(ways.select(
         *_KEYS, F.when(F.col("known"), F.col("parent_id")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth"),
         (F.col("parent_id").isNotNull() & F.col("known").isNull()).alias("lost"), F.lit(1).cast("bigint").alias("size"),

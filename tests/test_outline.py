@@ -270,6 +270,8 @@ def test_trees_of_any_shape_against_a_walk(spark):
     df = spark.createDataFrame(rows, "doc_id long, node_id string, parent_id string, sib_index int, title string, source_id string, source_index int")
     flat = O.flatten(df).persist()
     assert {(r.doc_id, r.node_id): (r.depth, r.preorder, r.n_below) for r in flat.collect()} == want
+    mixed = O.flatten(df, nodes_per_walk=20)  # the larger documents by pointers
+    assert {(r.doc_id, r.node_id): (r.depth, r.preorder, r.n_below) for r in mixed.collect()} == want and mixed.schema == flat.schema
     above = {(d, i): p for d, i, p, *_ in rows}
     pairs = set()
     for d, i in above:
@@ -287,6 +289,13 @@ def test_trees_of_any_shape_against_a_walk(spark):
     flat.unpersist()
 
 
+def test_small_outlines_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(O, "_doubled", None)
+    rows = [(d, str(i), str(i // 3) if i else None, i % 3, "t", "A", None) for d in range(3) for i in range(7_000)]
+    flat = O.flatten(spark.createDataFrame(rows, "doc_id int, node_id string, parent_id string, sib_index int, title string, source_id string, source_index int").filter("node_id != '0' OR doc_id < 2").withColumn("parent_id", F.expr("IF(doc_id = 2 AND parent_id = '0', NULL, parent_id)")))
+    assert flat.groupBy("doc_id").agg(F.count("*"), F.max("preorder"), F.max("n_below")).orderBy("doc_id").collect() == [(0, 7_000, 6_999, 6_999), (1, 7_000, 6_999, 6_999), (2, 6_999, 6_998, 3_718)]
+
+
 def test_a_chain_of_fifty_thousand_nodes(spark):
     n = 50_000
     chain = spark.range(n).select(
