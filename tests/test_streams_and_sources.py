@@ -4,12 +4,13 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Row
 
 from folioframe.operators.headings import DEFAULT_PATTERNS
 from folioframe.operators.history import OP, operations, replay_history
 from folioframe.sources import commits
 from folioframe.sources import intake as S
-from folioframe.streaming.streams import LOG, stream_replay, stream_search
+from folioframe.streaming.streams import LOG, _Replay, stream_replay, stream_search
 
 
 def run(df, mode, name, spark):
@@ -86,6 +87,43 @@ def test_stream_undoes_two_thousand_operations(spark, tmp_path):
         assert seen["d", end - 1] == batch_replay(spark, rows[:end])["d"]
 
 
+class _Counted:
+    """A state in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = 0, None, {}
+
+    def __getattr__(self, name):
+        def call(key=None, value=None):
+            self.calls += 1
+            if name in ("get", "update"):
+                self.value = key if name == "update" else self.value
+                return self.value
+            if name == "updateValue":
+                self.map[key] = value
+            elif name == "removeKey":
+                self.map.pop(key, None)
+            elif name == "clear":
+                self.map.clear()
+            return key in self.map if name in ("containsKey", "exists") else self.map.get(key)
+
+        return call
+
+
+def test_a_batch_in_any_order_writes_few_entries_of_state():
+    page = lambda p: {"page_id": p, "source_id": "A", "source_index": 0, "rotation": 0}
+    rows = [Row(seq=i, action="apply", op=json.dumps({"type": "rotate", "ids": [f"p{i % 5}"], "delta": 90})) for i in range(400, 0, -1)]
+    rows.append(Row(seq=0, action="open", op=json.dumps({"pages": [page(f"p{i}") for i in range(5)]})))
+    states, replay = [_Counted() for _ in range(4)], _Replay(256)
+    replay.head, replay.ops, replay.kept, replay.waiting = states
+    (out,) = replay.handleInputRows(("d",), iter(rows), None)
+    assert out.seq == 400 and json.loads(out.pages)["rotation"] == [0] * 5
+    assert sum(s.calls for s in states) < 20 and not replay.waiting.map
+    late = [Row(seq=402, action="undo", op="{}"), Row(seq=401, action="undo", op="{}")]
+    (out,) = replay.handleInputRows(("d",), iter(late), None)
+    assert out.seq == 402 and json.loads(out.pages)["rotation"] == [270, 0, 0, 0, 270]
+
+
 def test_stream_equals_batch_on_mixed_late_and_repeated_rows(spark, tmp_path):
     source, rng, rows = tmp_path / "log", random.Random(9), []
     source.mkdir()
