@@ -130,10 +130,21 @@ def reconstruct_lines(items: DataFrame, ratio: float = 0.3, least: float = 2.0)
 
     An item belongs to a line if its y is within the tolerance of the line's first item; within a line
     items go by x. Ties keep item order. One fold for each page inside the JVM; pages go in parallel.
+    Items that lie together already, an array for each page, go to ``lines_of_pages`` without a shuffle.
     """
-    item = F.struct((-F.col("y")).alias("down"), "item_no", "x", "str")
-    sizes = F.array_sort(F.collect_list(F.when(F.col("font_size") > 0, F.col("font_size"))))
-    pages = items.groupBy("source_id", "source_index").agg(F.array_sort(F.collect_list(item)).alias("items"), sizes.alias("sizes"))
+    item = F.struct(*(F.col(c) for c in _ITEM))
+    return lines_of_pages(items.groupBy("source_id", "source_index").agg(F.collect_list(item).alias("items")), ratio, least)
+
+
+_ITEM = ("item_no", "str", "x", "y", "font_size")
+
+
+def lines_of_pages(pages: DataFrame, ratio: float = 0.3, least: float = 2.0) -> DataFrame:
+    """As ``reconstruct_lines``, of pages (source_id, source_index, items: array of structs of item_no, str, x, y, font_size),
+    one row each."""
+    placed = F.transform("items", lambda z: F.struct((-z["y"]).alias("down"), z["item_no"], z["x"], z["str"]))
+    sizes = F.array_sort(F.transform(F.filter("items", lambda z: z["font_size"] > 0), lambda z: z["font_size"]))
+    pages = pages.select("source_id", "source_index", F.array_sort(placed).alias("items"), sizes.alias("sizes"))
     pages = pages.withColumn("tol", F.expr(f"greatest({float(least)}D, {float(ratio)}D * coalesce(get(sizes, CAST(floor(size(sizes) / 2) AS INT)), 0D))"))
     starts = F.expr(
         "aggregate(items, named_struct('anchor', CAST(NULL AS DOUBLE), 'i', 1, 'out', CAST(array() AS ARRAY<INT>)), (s, x) -> IF(abs(x.down - s.anchor) <= tol, "
@@ -178,8 +189,12 @@ def build_hierarchy(headings: DataFrame, manifest: DataFrame, pages_per_block: i
 
 
 def auto_outline(manifest: DataFrame, items: DataFrame, compiled: list[tuple[str, int, int]], start_page: int = 1) -> DataFrame:
-    lines = page_lines(reconstruct_lines(items), manifest.filter(F.col("position") >= start_page))
-    return build_hierarchy(detect_headings(lines, compiled), manifest)
+    """The outline of the headings on the displayed pages from ``start_page`` on. ``items`` are rows as for
+    ``reconstruct_lines``, or pages as for ``lines_of_pages``. Only lines that a pattern fits meet the manifest."""
+    lines = lines_of_pages(items) if "items" in items.columns else reconstruct_lines(items)
+    fit = lines.filter(match_heading(F.col("line"), compiled).isNotNull())
+    found = find_headings(page_lines(fit, manifest.filter(F.col("position") >= start_page)), compiled)
+    return build_hierarchy(sequence_filter(found).filter("accepted").drop("accepted"), manifest)
 
 
 def apply_outline(existing: DataFrame, generated: DataFrame, mode: str) -> DataFrame:

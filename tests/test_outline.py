@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import scalars
 from folioframe.operators import headings as H
 from folioframe.operators import outline as O
-from folioframe.plans.queries import QUERIES
+from folioframe.plans.queries import QUERIES, _items
 
 
 def column(spark, values, f):
@@ -158,6 +158,24 @@ def test_reconstruct_lines(spark, items, want):
     assert [r.line for r in sorted(H.reconstruct_lines(df).collect(), key=lambda r: r.line_no)] == want
 
 
+def test_items_of_whole_pages_need_no_shuffle(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(f"d{d}", p, i, rng.choice(["第1章", "T", "1.1 a", "b "]), float(rng.randint(0, 9)), float(rng.randint(0, 30)), rng.choice([0.0, 9.0, 12.0])) for d in range(6) for p in range(4) for i in range(rng.randint(1, 12))]
+    items = spark.createDataFrame(rows, "source_id string, source_index int, item_no int, str string, x double, y double, font_size double")
+    pages = items.groupBy("source_id", "source_index").agg(F.collect_list(F.struct("item_no", "str", "x", "y", "font_size")).alias("items"))
+    want = sorted(tuple(r) for r in H.reconstruct_lines(items).collect())
+    assert sorted(tuple(r) for r in H.lines_of_pages(pages).collect()) == want and len(want) > 50
+    manifest = spark.createDataFrame([(d, 3 * p + k, f"d{d}", p) for d in range(5) for p in range(5) for k in range(2)], "doc_id int, position int, source_id string, source_index int")
+    compiled = H.compile_patterns(spark, [{"id": "t", "label": "", "level": 1, "enabled": True, "pattern": "^(?<title>(第1章|T).*)"}])
+    one, other = (sorted(H.auto_outline(manifest, x, compiled, start_page=2).collect()) for x in (items, pages))
+    assert one == other and one
+    spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(n))) for i, n in enumerate((1, 199, 200, 201, 450))] + [(9, None), (10, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lines = QUERIES["lines_reconstruct"](spark, str(tmp_path))
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    by_rows = H.reconstruct_lines(_items(spark, str(tmp_path))).select("source_id", "source_index", "line_no", F.md5("line").alias("line"))
+    assert sorted(lines.collect()) == sorted(by_rows.collect())
+
+
 def test_median_is_the_upper_one(spark):
     df = spark.createDataFrame([("s", 0, 10.0), ("s", 0, 12.0), ("s", 0, 0.0), ("t", 0, 0.0)], "source_id string, source_index int, font_size double")
     assert {r.source_id: r.median for r in H.median_font(df).collect()} == {"s": 12.0, "t": 0.0}
